@@ -44,12 +44,12 @@ def drop_common_lines(
         ),
         "lines",
     )
-    # distinct() first, then count: partial sums leave each task with one row per key
-    common = (
-        lines.select("k1", "k2", "k3", "doc_id").distinct().groupBy("k1", "k2", "k3").count().filter(F.col("count") >= min_docs)
-    )
+    # distinct() first, then count: partial sums leave each task with one row per key. Saved, so that
+    # the join below has an exchange on both sides, which adaptive execution needs to split a hot key
+    counts = lines.select("k1", "k2", "k3", "doc_id").distinct().groupBy("k1", "k2", "k3").count()
+    common = save(counts.filter(F.col("count") >= min_docs).select("k1", "k2", "k3"), "common-lines")
     gone = (
-        lines.join(common.select("k1", "k2", "k3"), ["k1", "k2", "k3"])
+        lines.join(common, ["k1", "k2", "k3"])
         .groupBy("doc_id", "row_hash")
         .agg(F.collect_set("place").alias("gone"))
         .withColumnRenamed("doc_id", "gone_id")
