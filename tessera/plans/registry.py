@@ -1,4 +1,4 @@
-"""The registered queries over the reference tables and the SQL each must agree with."""
+"""The registered queries and the SQL each must agree with."""
 
 from __future__ import annotations
 
@@ -8,4 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "column_means"
+FLAGSHIP = "group_voxel_ttest"
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under a name, with its SQL if there is any."""
+
+    def keep(function):
+        if name in QUERIES:
+            raise ValueError(f"query {name} is registered twice")
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return function
+
+    return keep
