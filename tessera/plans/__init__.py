@@ -1,3 +1,4 @@
 """Queries over the driver's tables: importing this package registers them all."""
 
 from tessera.plans import image_queries as image_queries
+from tessera.plans import series_queries as series_queries

@@ -8,7 +8,7 @@ adj(matrix_id, i, j, value): edges of matrices, i < j where symmetric.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,8 +34,14 @@ def collect_images(long: DataFrame, *keys: str) -> DataFrame:
     return long.groupBy(*keys).agg(F.transform(packed, lambda x: x["value"]).alias("values"))
 
 
-def hourly_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean event value of each user and day: series(subject, t, value), t in days from 1970."""
     ev = table(spark, sf_dir, "events")
-    t = F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).cast("long")
+    t = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
     return ev.groupBy(F.col("user_id").alias("subject"), t.alias("t")).agg(F.avg("value").alias("value"))
+
+
+def day_angle(ts: str = "ts") -> Column:
+    """Time of day as an angle, in whatever zone the timestamp is written."""
+    seconds = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), F.col(ts)).cast("double")
+    return seconds / 86_400.0 * 6.283185307179586
