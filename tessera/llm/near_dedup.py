@@ -11,11 +11,16 @@ sets are alike, so the join looks for all pairs within `errors` differing symbol
 
 `errors` is set so that a pair exactly at the threshold is beyond it with probability `miss`.
 
-Bounds on work: equal sets are one class first, so copies never meet each other. Then each bucket
-links its members to its smallest member alone (a star). Buckets whose members have not all
-come into one component are opened a second time, for pairs of members in different components; so
-groups of near copies never make all their pairs, and no link between components is lost. A pair
-within the signature limit is confirmed on the full sets, made again from both texts.
+Bounds on work. Equal sets are one class first, so copies never meet each other. Each bucket then
+links its members to its smallest member alone (a star), and links make components. Buckets whose
+members have not all come into one component are open: pairs across their components may still be
+linked. Such pairs must share one of the rarest shingles of either set (the prefix principle: with
+shingles in one order, rarest first, two sets at the threshold meet within the first
+size - ceil(threshold * size) + 1 of both). So the members of open buckets meet again by those
+shingles, once in stars around the member with the fewest shingles of its own, then, for what is
+still in different components, pair by pair, where sizes and places allow the threshold at all. Groups of near
+copies never make all their pairs, and no link between different components is lost. Every pair within the
+signature limit is confirmed on the full sets, made again from both texts.
 """
 
 from __future__ import annotations
@@ -163,15 +168,63 @@ def _joined(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, errors: int, label: str) -> DataFrame:
-    """The pairs of class representatives whose texts reach the threshold."""
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, errors: int, label: str) -> DataFrame:
+    """The pairs of class representatives within the signature limit whose texts reach the threshold."""
     near = save(_joined(pairs, classes, "sig").mapInArrow(within_batches(errors), "a long, b long"), f"{label}-near")
-    ends = near.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-    texts = save(rows.join(ends, rows["doc_id"] == ends["end"], "left_semi").select(F.col("doc_id").alias("rep"), "text"), f"{label}-texts")
     checked = _joined(near, texts, "text").mapInArrow(confirm_batches(percent), "a long, b long")
     return save(checked.distinct(), f"{label}-links")
 
 
+def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, text) to (rep, size, token), a row for each distinct shingle."""
+    for batch in batches:
+        for lo, hi, hashes, off in shingles_of(batch.column(1)):
+            sets, at = distinct_sets(hashes, off)
+            size = np.diff(at)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), size)),
+                    pa.array(np.repeat(size, size)),
+                    pa.array(sets.view(np.int64)),
+                ],
+                names=["rep", "size", "token"],
+            )
+
+
+def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """token, rep, size, place: of each set's first size - ceil(percent % of size) + 1 shingles, rarest
+    first (by the number of sets here that hold them, then by hash), those that another set holds.
+
+    Shingles of one set alone only count as the places before these, so they are never sorted.
+    """
+    tokens = texts.mapInArrow(shingle_rows, "rep long, size long, token long")
+    shared = save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    lists = (
+        tokens.join(shared, "token").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+    )
+    own = F.col("size") - F.size("tokens")
+    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    rare = lists.withColumn("own", own).withColumn("take", (length - own).cast("int")).filter("take > 0")
+    return rare.select("rep", "size", "own", F.posexplode(F.slice("tokens", F.lit(1), F.col("take"))).alias("k", "t")).select(
+        F.col("t.token").alias("token"), "rep", "size", (F.col("own") + F.col("k")).alias("place")
+    )
+
+
+def _can_link(x: str, y: str, percent: int):
+    """Whether sets that first meet at these places can reach the threshold."""
+    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    shared = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
+    return (100 * small >= percent * large) & (100 * shared >= percent * (small + large - shared))
+
+
+def _with_components(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """rare with each rep's component, of the tokens that more than one component holds; saved."""
+    placed = rare.join(labels, rare["rep"] == labels["node"], "left").select("token", "rep", "size", "place", F.coalesce("comp", "rep").alias("comp"))
+    placed = save(placed, "placed")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("token")
+    return save(placed.join(save(mixed, "mixed"), "token", "left_semi"), "open")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Classes of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
@@ -191,30 +244,39 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     keys = classes.select("rep", "sig").mapInArrow(key_batches(errors // 2 + 1), "rep long, key long")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
     buckets = save(keys.join(hubs, "key"), "buckets")
+    members = buckets.select("rep").distinct()
+    texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    texts = save(texts, "texts")
 
     star = save(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = _confirmed(star, classes, rows, percent, errors, "star")
+    links = _confirmed(star, classes, texts, percent, errors, "star")
     labels = connected_components(links)
 
     placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     placed = save(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
-    left, right = (
-        placed.join(mixed, "key", "left_semi").select(F.col("key").alias(f"k{s}"), F.col("rep").alias(f"r{s}"), F.col("comp").alias(f"c{s}"))
-        for s in "xy"
-    )
-    across = (
-        left.join(right, (F.col("kx") == F.col("ky")) & (F.col("cx") < F.col("cy")))
-        .select(F.least("rx", "ry").alias("a"), F.greatest("rx", "ry").alias("b"))
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(across, classes, rows, percent, errors, "across")
-    labels = connected_components(links.union(more)) if not more.isEmpty() else labels
+    waiting = placed.join(save(mixed, "mixed"), "key", "left_semi").select("rep").distinct()
+    rare = save(rare_shingles(texts.join(waiting, "rep", "left_semi"), percent), "rare")
+
+    x = _with_components(rare, labels).alias("x")
+    y = x.groupBy("token").agg(F.min(F.struct("place", "rep", "size", "comp")).alias("hub")).select(F.col("token").alias("at"), "hub.*")
+    y = save(y, "centres").alias("y")
+    near = x.join(y, (F.col("x.token") == F.col("y.at")) & (F.col("x.comp") != F.col("y.comp")) & _can_link("x", "y", percent))
+    centred = save(_ordered(near).join(star, ["a", "b"], "left_anti"), "centred")
+    links = save(links.union(_confirmed(centred, classes, texts, percent, errors, "centred")), "links")
+    labels = connected_components(links)
+
+    x = _with_components(rare, labels).alias("x")
+    y = x.alias("y")
+    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _can_link("x", "y", percent))
+    left = _ordered(across).join(star.union(centred), ["a", "b"], "left_anti")
+    more = _confirmed(left, classes, texts, percent, errors, "across")
+    labels = labels if more.isEmpty() else connected_components(links.union(more))
 
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("comp", "rep").alias("component")
     )
+    named = save(named, "named")
     same = (sketch["fp1"] == named["c1"]) & (sketch["fp2"] == named["c2"]) & (sketch["n_shingles"] == named["cn"]) & sketch["doc_id"].isNotNull()
     return (
         sketch.drop("sig")
@@ -224,6 +286,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     )
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b) with a < b of pairs of x.rep and y.rep."""
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs of which one document per component stays, the one of the smallest id.
 
