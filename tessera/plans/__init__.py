@@ -2,3 +2,4 @@
 
 from tessera.plans import image_queries as image_queries
 from tessera.plans import series_queries as series_queries
+from tessera.plans import rank_queries as rank_queries
