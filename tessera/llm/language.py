@@ -25,7 +25,9 @@ from .common import remainder
 from .words import slabs, word_bounds
 
 BUCKETS = 1 << 14
-SMOOTH, ROUNDS, LARGEST_SET, PENALTY = 0.5, 12, 3, 3.0
+SMOOTH, LARGEST_SET, PENALTY = 0.5, 3, 3.0
+#: EM rounds with all languages, and with each smaller set from what those gave.
+ROUNDS, SET_ROUNDS = 8, 5
 #: Words seen in no training text say little: a word's likelihood ratios are held within this many nats.
 WORD_LIMIT = 12.0
 
@@ -95,15 +97,18 @@ def train(docs: DataFrame, allowed: Column) -> Model:
     return Model([langs[k] for k in order], table)
 
 
-def _proportions(like: np.ndarray, row: np.ndarray, n: int, words: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM for all documents of a slab at once: (proportions, log-likelihoods) with the allowed languages."""
-    share = allowed / allowed.sum(axis=1, keepdims=True)
-    for _ in range(ROUNDS):
+def _proportions(like: np.ndarray, row: np.ndarray, words: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM for all documents of a slab at once, from `share`; a language at 0 stays there.
+
+    Returns the proportions and the documents' log-likelihoods.
+    """
+    n = len(words)
+    for _ in range(rounds):
         weighted = like * share[row]
-        weighted /= weighted.sum(axis=1, keepdims=True) + 1e-300
+        weighted /= weighted.sum(axis=1, keepdims=True) + 1e-30
         share = np.stack([np.bincount(row, weighted[:, k], n) for k in range(like.shape[1])], axis=1)
-        share = np.where(words[:, None] > 0, share / np.maximum(words, 1)[:, None], allowed / allowed.sum(axis=1, keepdims=True))
-    total = np.log((like * share[row]).sum(axis=1) + 1e-300)
+        share /= np.maximum(words, 1)[:, None]
+    total = np.log(np.einsum("ij,ij->i", like, share[row]) + 1e-30)
     return share, np.bincount(row, total, n)
 
 
@@ -118,12 +123,15 @@ def infer(model: Model, data: np.ndarray, off: np.ndarray, penalty: float = PENA
     logs = np.stack([np.add.reduceat(model.table[bucket, k], at[:-1]) for k in range(n_langs)], axis=1) if len(row) else np.zeros((0, n_langs))
     logs = np.maximum(logs - logs.max(axis=1, keepdims=True), -WORD_LIMIT) if len(row) else logs
     like = np.exp(logs)
-    share, _ = _proportions(like, row, n, words, np.ones((n, n_langs)))
+    share, _ = _proportions(like, row, words, np.full((n, n_langs), 1 / n_langs), ROUNDS)
+    fits = np.stack([np.bincount(row, logs[:, k], n) for k in range(n_langs)], axis=1)  # of one language alone
+    lang = fits.argmax(axis=1)
+    best, value = fits.max(axis=1), np.zeros((n, n_langs))
+    value[np.arange(n), lang] = 1.0
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    best, value = np.full(n, -np.inf), np.zeros((n, n_langs))
-    for size in range(1, min(LARGEST_SET, n_langs) + 1):
-        allowed = (rank < size).astype(float)
-        own, fit = _proportions(like, row, n, words, allowed)
+    for size in range(2, min(LARGEST_SET, n_langs) + 1):
+        begun = np.where(rank < size, np.maximum(share, 1e-3), 0)
+        own, fit = _proportions(like, row, words, begun / begun.sum(axis=1, keepdims=True), SET_ROUNDS)
         fit = fit - penalty * (size - 1) * np.log(np.maximum(words, 2))
         better = fit > best
         best = np.where(better, fit, best)
