@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -79,18 +80,18 @@ def binom_sf(k: int, n: int, p: float) -> float:
     return 1.0 if k <= 0 else float(betainc(k, n - k + 1, p)) if k <= n else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_t(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p of t and df; null where either is."""
     return pd.Series(t_sf2(t.to_numpy(float, na_value=np.nan), df.to_numpy(float, na_value=np.nan)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_of_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_sf(*(v.to_numpy(float, na_value=np.nan) for v in (f, d1, d2))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def z_of_p(p: pd.Series, sign: pd.Series) -> pd.Series:
     """The normal score of a two-sided p, with the sign of a statistic."""
     return pd.Series(np.sign(sign.to_numpy(float)) * norm_isf(np.clip(p.to_numpy(float) / 2, 1e-300, 1)))

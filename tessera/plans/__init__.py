@@ -4,3 +4,5 @@ from tessera.plans import image_queries as image_queries
 from tessera.plans import series_queries as series_queries
 from tessera.plans import rank_queries as rank_queries
 from tessera.plans import matrix_queries as matrix_queries
+from tessera.plans import model_queries as model_queries
+from tessera.plans import inference_queries as inference_queries
