@@ -19,9 +19,12 @@ and all found.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +38,65 @@ from .words import mix
 
 MAGIC = b"TSHARD01"
 END_ID = 1
-#: Distinct words whose ids a worker keeps; then it starts anew. Only speed depends on it.
-CACHE_WORDS = 300_000
-SLICE_CHARS = 1 << 20
+#: Distinct words whose ids a worker keeps, as many again from before. Only speed depends on it.
+CACHE_WORDS = 250_000
+# The rules under which ids can be made word by word.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MARKS = re.compile(rb"(?<=[a-z])([!-&(-;=?@\[-`{}~]+)(?=[ \n]|\Z)")
+SLICE_BYTES = 1 << 20
 #: Up to so many shards their starts are broadcast; beyond, joined by shuffle.
 BROADCAST_SHARDS = 10_000
 
 ENTRY = "shard long, nth long, doc_id long, n_tokens long, ids_crc32 long"
 
 
+class Words(dict):
+    """Ids (as bytes) of words, made when first asked for, with those of the time before at hand."""
+
+    def __init__(self, tokenizer, code: str) -> None:
+        super().__init__()
+        self.tokenizer, self.code, self.older = tokenizer, code, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        done = self.older.get(word)
+        if done is None:
+            if word.isalpha() and word.islower():  # a-z alone: one piece, which nothing normalises
+                ids = [t.id for t in self.tokenizer.model.tokenize(word.decode())]
+            else:
+                ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            done = array(self.code, ids).tobytes()
+        if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[word] = done
+        return done
+
+
 class WordEncoder:
     """Ids of whole texts, from ids of words kept by word.
 
-    Cutting at blanks and line ends changes no id: the tokenizer's pieces never span white space and
-    its normaliser composes nothing across it.
+    This holds for tokenizers like the one named in the query: NFC, white space, lower case, then
+    pieces of letters, single digits and marks. There none of these cuts or changes alters an id. Cutting at blanks
+    and line ends: the pieces never span white space and the normaliser composes nothing
+    across it. Lower-casing A-Z: the normaliser does so itself. Cutting marks off after a letter at a
+    word's end: letters and marks are never in one piece (the apostrophe, which can be, is not cut
+    off). A text with "<|" in it, which may be a special token's beginning, is cut at blanks alone.
+    With any other tokenizer each text is encoded whole.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -57,19 +105,19 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.words: dict[str, bytes] = {}
+        rules = json.loads(tokenizer_json)
+        self.by_word = (rules["normalizer"], rules["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER) and rules["model"]["type"] == "BPE"
+        self.words = Words(self.tokenizer, "H" if self.kind.itemsize == 2 else "I")
+        self.end = np.array([END_ID], self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids and the end id."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words, new = {}, set().union(*split)
-        new = list(new)
-        for word, done in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[word] = np.array(done.ids, self.kind).tobytes()
-        end, get = np.array([END_ID], self.kind).tobytes(), self.words.__getitem__
-        return [b"".join(map(get, words)) + end for words in split]
+        if not self.by_word:
+            done = self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(d.ids, self.kind).tobytes() + self.end for d in done]
+        plain = (t if b"<|" in t else _MARKS.sub(rb" \1", t.lower()) for t in texts)
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace(b"\n", b" ").split(b" "))) + self.end for t in plain]
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -193,12 +241,12 @@ def _shard_bytes(tokenizer_json: str):
         ids, valid, count, offset, end = [], [], [], [], 0
         width = encoder.kind.itemsize
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(1).cast(pa.large_binary())
             lo = 0
             while lo < batch.num_rows:
                 hi, held, part = lo, 0, []
-                while hi < batch.num_rows and (not part or held < SLICE_CHARS):
-                    part.append(texts[hi].as_py() or "")
+                while hi < batch.num_rows and (not part or held < SLICE_BYTES):
+                    part.append(texts[hi].as_py() or b"")
                     held += len(part[-1])
                     hi += 1
                 done = encoder.encode(part)
