@@ -1 +1 @@
-
+"""Incremental versions of the aggregates, on Structured Streaming."""
