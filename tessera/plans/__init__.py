@@ -7,3 +7,4 @@ from tessera.plans import matrix_queries as matrix_queries
 from tessera.plans import model_queries as model_queries
 from tessera.plans import inference_queries as inference_queries
 from tessera.plans import spatial_queries as spatial_queries
+from tessera.plans import more_queries as more_queries

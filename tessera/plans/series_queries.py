@@ -21,12 +21,12 @@ def series(spark, d):
     return op.with_row_id(daily_series(spark, d), ["subject"], "t").select("subject", "row_id", "value")
 
 
-def out(frame):
-    return frame.select("subject", F.col("row_id").cast("long"), r6(F.col("value")).alias("value"))
+def out(frame, digits=6):
+    return frame.select("subject", F.col("row_id").cast("long"), (F.round("value", digits) + F.lit(0.0)).alias("value"))
 
 
-def simple(name, change, body):
-    query(name, f"WITH {S} {body}")(lambda spark, d: out(change(series(spark, d))))
+def simple(name, change, body, digits=6):
+    query(name, f"WITH {S} {body}")(lambda spark, d: out(change(series(spark, d)), digits))
 
 
 def cell(value):
@@ -50,7 +50,13 @@ for _how, _value in (
         f"""SELECT subject, row_id * 4 + k AS row_id, round({_value}, 6) + 0.0 AS value
         FROM (SELECT *, lead(value) OVER (PARTITION BY subject ORDER BY row_id) AS next FROM S), (SELECT unnest([0, 1, 2, 3]) AS k) WHERE next IS NOT NULL""",
     )
-simple("series_detrend_constant", lambda s: op.detrend(s, BY, "constant"), cell("value - avg(value) OVER (PARTITION BY subject)"))
+# ten digits: means of a few values with six end in exact halves of the sixth
+simple(
+    "series_detrend_constant",
+    lambda s: op.detrend(s, BY, "constant"),
+    "SELECT subject, row_id, round(value - avg(value) OVER (PARTITION BY subject), 10) + 0.0 AS value FROM S",
+    10,
+)
 simple(
     "series_detrend_linear",
     lambda s: op.detrend(s, BY),

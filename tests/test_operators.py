@@ -185,3 +185,54 @@ def test_empty_tables_give_empty_results(spark):
     assert images.standardize_voxels(f).count() == 0
     assert inference.one_sample_permutation(f, 9).count() == 0
     assert matrices.edge_ttest(frame(spark, [], "matrix_id long, i long, j long, value double")).agg(F.count("i")).first()[0] == 0
+
+
+def test_pchip_keeps_points_and_does_not_overshoot():
+    from tessera.operators import signals
+
+    y = np.array([0.0, 1.0, 1.0, 4.0, 0.0])
+    close(signals.pchip(y, np.arange(5.0)), y)
+    fine = signals.pchip(y, np.linspace(1, 2, 50))
+    close(fine, np.ones(50))
+    close(signals.pchip(np.array([1.0, 3.0]), np.array([0.5])), [2.0])
+
+
+def test_filters_pass_and_stop():
+    from tessera.operators import signals
+
+    t = np.arange(400)
+    slow, fast = np.sin(2 * np.pi * 0.01 * t), np.sin(2 * np.pi * 0.3 * t)
+    kept = signals.bandpassed(slow + fast, 1.0, None, 0.1)
+    assert np.abs(kept - slow)[20:-20].max() < 0.05
+    y = np.random.default_rng(1).normal(size=101)
+    z = signals.phase_randomized(y, 3)
+    close(np.abs(np.fft.rfft(z)), np.abs(np.fft.rfft(y)), 1e-8)
+    close(np.diff(np.unwrap(signals.hilbert_angle(slow)))[50:-50], np.full(299, 2 * np.pi * 0.01), 1e-3)
+
+
+def test_newton_classifiers_reach_their_optimum(spark):
+    from tessera.operators import iterative
+
+    r = np.random.default_rng(7)
+    x = r.normal(size=(120, 2))
+    y = (x @ [1.5, -1.0] + 0.3 + r.logistic(size=120) > 0).astype(int)
+    f = frame(spark, [(1, int(b), list(map(float, a))) for a, b in zip(x, y, strict=True)], "roi int, y int, x array<double>")
+    for loss in ("logistic", "squared_hinge"):
+        w = iterative.newton_classifier(f, "roi", "x", "y", loss, rounds=12)[1]
+
+        def cost(v, loss=loss):
+            m = (2 * y - 1) * (v[0] + x @ v[1:])
+            return v[1:] @ v[1:] / 2 + (np.log1p(np.exp(-m)).sum() if loss == "logistic" else (np.maximum(1 - m, 0) ** 2).sum())
+
+        assert all(cost(w) <= cost(w + d) + 1e-9 for d in 1e-3 * r.normal(size=(20, 3)))
+
+
+def test_principal_components_match_numpy(spark):
+    from tessera.operators import iterative
+
+    v = np.random.default_rng(8).normal(size=(60, 4)) * [3, 2, 1, 0.5] + 5
+    f = frame(spark, [(k, list(map(float, a))) for k, a in enumerate(v)], "image_id long, values array<double>")
+    parts, variance = iterative.principal_components(images.gram(f), images.reduce_images(f, "mean"), 2, 60)
+    want = np.sort(np.linalg.eigvalsh(np.cov(v.T)))[::-1][:2]
+    close(variance, want, 1e-8)
+    close(parts @ np.cov(v.T) @ parts.T, np.diag(want), 1e-8)
