@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, save
+from .common import batch_rows, new_path, save
 from .words import mix
 
 MAGIC = b"TSHARD01"
@@ -59,6 +59,7 @@ PRE_TOKENIZER = {
 }
 _MARKS = re.compile(rb"(?<=[a-z])([!-&(-;=?@\[-`{}~]+)(?=[ \n]|\Z)")
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 #: Up to so many shards their starts are broadcast; beyond, joined by shuffle.
 BROADCAST_SHARDS = 10_000
 
@@ -274,7 +275,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, doc_id: str = "
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(_shard_bytes(tokenizer_json), "value binary")
-    encoded.select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(path)
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        encoded.select(F.col("value").cast("string").alias("value")).write.option("compression", "none").text(path)
 
 
 def _shards(spark: SparkSession, path: str) -> DataFrame:
