@@ -40,6 +40,23 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Saved tables of one operator's run that nothing needs once its result is saved."""
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.folder, self.n = spark, new_path(spark, label), 0
+
+    def save(self, df: DataFrame, label: str) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}-{label}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_saved(spark: SparkSession, *frames: DataFrame) -> None:
     """Delete the folders behind frames made by save() once nothing reads them any more."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import Scratch
 
 
 def _hop(labels: DataFrame, onto: DataFrame) -> DataFrame:
@@ -13,31 +13,32 @@ def _hop(labels: DataFrame, onto: DataFrame) -> DataFrame:
     return labels.join(onto, labels["comp"] == onto["hi"], "left").select("node", F.coalesce("lo", "comp").alias("comp"))
 
 
-def connected_components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """links(a, b) to (node, comp): comp is the smallest node reachable, the node itself included.
 
     Each round hooks every label onto the smallest one linked with it, follows those hooks twice
     more, and contracts the links; a star takes one round, a path of n nodes a logarithmic number.
-    Nodes without links do not appear. Null ends are left out. Only counts reach the driver.
+    Nodes without links do not appear. Null ends are left out. Only counts reach the driver. Tables
+    between rounds, and the result, are in scratch.
     """
     links = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
     edges = links.filter("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
-    edges = save(edges, "edges")
+    edges = scratch.save(edges, "edges")
     for _ in range(max_rounds):
         if edges.isEmpty():
             return labels
-        hooks = save(edges.groupBy("hi").agg(F.min("lo").alias("lo")), "hooks")
+        hooks = scratch.save(edges.groupBy("hi").agg(F.min("lo").alias("lo")), "hooks")
         for _ in range(2):
             nxt = hooks.select(F.col("hi").alias("at"), F.col("lo").alias("to"))
             hooks = hooks.join(nxt, hooks["lo"] == nxt["at"], "left").select("hi", F.coalesce("to", "lo").alias("lo"))
-        hooks = save(hooks, "hooks")
-        labels = save(_hop(labels, hooks), "labels")
+        hooks = scratch.save(hooks, "hooks")
+        labels = scratch.save(_hop(labels, hooks), "labels")
         ends = edges
         for end in ("hi", "lo"):
             onto = hooks.select(F.col("hi").alias("at"), F.col("lo").alias("to"))
             ends = ends.join(onto, ends[end] == onto["at"], "left").withColumn(end, F.coalesce("to", end)).drop("at", "to")
-        edges = save(
+        edges = scratch.save(
             ends.filter("hi != lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct(), "edges"
         )
     raise RuntimeError(f"links did not settle in {max_rounds} rounds")

@@ -161,4 +161,5 @@ def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     times = taken.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times"))
     times = times.filter("times > 0").withColumnRenamed("doc_id", "mix_id")
     joined = docs.join(times, docs["doc_id"] == times["mix_id"])
-    return joined.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[docs[c] for c in docs.columns])
+    row = F.struct(*[docs[c].alias(c) for c in docs.columns])
+    return joined.select(row.alias("row"), F.explode(F.sequence(F.lit(1), times["times"])).alias("turn")).select("row.*")

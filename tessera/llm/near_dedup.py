@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import Scratch, save
 from .graph import connected_components
 from .words import mix, shingles_of
 
@@ -168,11 +168,11 @@ def _joined(pairs: DataFrame, side: DataFrame, column: str) -> DataFrame:
     return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, errors: int, label: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, errors: int, scratch: Scratch, label: str) -> DataFrame:
     """The pairs of class representatives within the signature limit whose texts reach the threshold."""
-    near = save(_joined(pairs, classes, "sig").mapInArrow(within_batches(errors), "a long, b long"), f"{label}-near")
+    near = scratch.save(_joined(pairs, classes, "sig").mapInArrow(within_batches(errors), "a long, b long"), f"{label}-near")
     checked = _joined(near, texts, "text").mapInArrow(confirm_batches(percent), "a long, b long")
-    return save(checked.distinct(), f"{label}-links")
+    return scratch.save(checked.distinct(), f"{label}-links")
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,14 +191,14 @@ def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+def rare_shingles(texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """token, rep, size, place: of each set's first size - ceil(percent % of size) + 1 shingles, rarest
     first (by the number of sets here that hold them, then by hash), those that another set holds.
 
     Shingles of one set alone only count as the places before these, so they are never sorted.
     """
     tokens = texts.mapInArrow(shingle_rows, "rep long, size long, token long")
-    shared = save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    shared = scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
     lists = (
         tokens.join(shared, "token").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
     )
@@ -217,12 +217,12 @@ def _can_link(x: str, y: str, percent: int):
     return (100 * small >= percent * large) & (100 * shared >= percent * (small + large - shared))
 
 
-def _with_components(rare: DataFrame, labels: DataFrame) -> DataFrame:
+def _with_components(rare: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """rare with each rep's component, of the tokens that more than one component holds; saved."""
     placed = rare.join(labels, rare["rep"] == labels["node"], "left").select("token", "rep", "size", "place", F.coalesce("comp", "rep").alias("comp"))
-    placed = save(placed, "placed")
+    placed = scratch.save(placed, "placed")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("token")
-    return save(placed.join(save(mixed, "mixed"), "token", "left_semi"), "open")
+    return scratch.save(placed.join(scratch.save(mixed, "mixed"), "token", "left_semi"), "open")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,47 +236,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     """
     errors = allowed_errors(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    scratch = Scratch(docs.sparkSession, "near-dedup")
     sketch = save(rows.mapInArrow(sketch_batches, SKETCH), "sketch")
     full = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = save(
+    classes = scratch.save(
         full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes"
     )
     keys = classes.select("rep", "sig").mapInArrow(key_batches(errors // 2 + 1), "rep long, key long")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
-    buckets = save(keys.join(hubs, "key"), "buckets")
+    buckets = scratch.save(keys.join(hubs, "key"), "buckets")
     members = buckets.select("rep").distinct()
     texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    texts = save(texts, "texts")
+    texts = scratch.save(texts, "texts")
 
-    star = save(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    links = _confirmed(star, classes, texts, percent, errors, "star")
-    labels = connected_components(links)
+    star = scratch.save(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star")
+    links = _confirmed(star, classes, texts, percent, errors, scratch, "star")
+    labels = connected_components(links, scratch)
 
     placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    placed = save(placed, "placed")
+    placed = scratch.save(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
-    waiting = placed.join(save(mixed, "mixed"), "key", "left_semi").select("rep").distinct()
-    rare = save(rare_shingles(texts.join(waiting, "rep", "left_semi"), percent), "rare")
+    waiting = placed.join(scratch.save(mixed, "mixed"), "key", "left_semi").select("rep").distinct()
+    rare = scratch.save(rare_shingles(texts.join(waiting, "rep", "left_semi"), percent, scratch), "rare")
 
-    x = _with_components(rare, labels).alias("x")
+    x = _with_components(rare, labels, scratch).alias("x")
     y = x.groupBy("token").agg(F.min(F.struct("place", "rep", "size", "comp")).alias("hub")).select(F.col("token").alias("at"), "hub.*")
-    y = save(y, "centres").alias("y")
+    y = scratch.save(y, "centres").alias("y")
     near = x.join(y, (F.col("x.token") == F.col("y.at")) & (F.col("x.comp") != F.col("y.comp")) & _can_link("x", "y", percent))
-    centred = save(_ordered(near).join(star, ["a", "b"], "left_anti"), "centred")
-    links = save(links.union(_confirmed(centred, classes, texts, percent, errors, "centred")), "links")
-    labels = connected_components(links)
+    centred = scratch.save(_ordered(near).join(star, ["a", "b"], "left_anti"), "centred")
+    links = scratch.save(links.union(_confirmed(centred, classes, texts, percent, errors, scratch, "centred")), "links")
+    labels = connected_components(links, scratch)
 
-    x = _with_components(rare, labels).alias("x")
+    x = _with_components(rare, labels, scratch).alias("x")
     y = x.alias("y")
     across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _can_link("x", "y", percent))
     left = _ordered(across).join(star.union(centred), ["a", "b"], "left_anti")
-    more = _confirmed(left, classes, texts, percent, errors, "across")
-    labels = labels if more.isEmpty() else connected_components(links.union(more))
+    more = _confirmed(left, classes, texts, percent, errors, scratch, "across")
+    labels = labels if more.isEmpty() else connected_components(links.union(more), scratch)
 
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("comp", "rep").alias("component")
     )
-    named = save(named, "named")
+    named = save(named, "named")  # all that the result needs besides the sketches
+    scratch.drop()
     same = (sketch["fp1"] == named["c1"]) & (sketch["fp2"] == named["c2"]) & (sketch["n_shingles"] == named["cn"]) & sketch["doc_id"].isNotNull()
     return (
         sketch.drop("sig")

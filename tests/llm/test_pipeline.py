@@ -26,3 +26,34 @@ def test_run_is_the_stages_in_order(spark):
     assert len(a) and (a.start == (a.n_tokens.cumsum() - a.n_tokens)).all()
     assert a.doc_id.is_monotonic_increasing
     assert a.groupby("doc_id").size().max() <= 3
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_rows():
+    long_text = " ".join(f"word{k % 700}" for k in range(20_000))
+    return [
+        (1, None, None, None, None), (2, "", "en", "a", 0), (3, long_text, "en", None, 1), (4, long_text, None, "b", 1), (4, long_text, None, "b", 1),
+        (None, "one two three four five six", "en", "a", 1), (5, "one", "en", "a", 1), (6, "one two three four five six seven", "en", "b", 1),
+    ]
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark, monkeypatch):
+    odd = spark.createDataFrame(odd_rows(), DOCS)
+    for name in ("times", "turn", "kept_id", "found_id", "mix_id", "rep", "size", "taken", "label", "score", "row", "gone"):
+        odd = odd.withColumn(name, F.lit(None).cast("string"))
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, SMALL).collect()
+            assert (len(got) > 0) == (docs is odd) or name == "quality", name
+            if name not in ("tokens", "mixing"):
+                assert len(got) <= len(odd_rows())
+    columns = [stage(spark, odd, SMALL).columns for _, stage in corpus_pipeline.STAGES[:-1]]
+    assert all(c == odd.columns for c in columns)
+
+
+def test_near_dedup_stage_keeps_one_row_of_repeats(spark):
+    odd = spark.createDataFrame(odd_rows(), DOCS)
+    got = sorted((r["doc_id"] or 0) for r in corpus_pipeline.keep_one_of_near_copies(spark, odd, SMALL).collect())
+    assert got == [0, 1, 2, 3, 5, 6]
