@@ -234,3 +234,18 @@ def isfc(frame: DataFrame) -> DataFrame:
     mean = others.select("subject", "t", F.col("voxel_id").alias("j"), ((F.col("total") - F.col("value")) / (F.col("k") - 1)).alias("y"))
     own = frame.select("subject", "t", F.col("voxel_id").alias("i"), F.col("value").alias("x"))
     return own.join(mean, ["subject", "t"]).groupBy("subject", "i", "j").agg(*moments("x", "y")).select("subject", "i", "j", corr_of_moments().alias("r"))
+
+
+def bootstrap_splits(ids: DataFrame, key: str, replicates: int, seed: int = 0) -> DataFrame:
+    """replicate, key, weight, held_out: Poisson counts of each sample; those of weight 0 are out of bag."""
+    weigh = bootstrap_weights(seed)
+    numbers = np.arange(1, replicates + 1)
+    kind = dict(ids.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            w = weigh(batch[key].to_numpy(), numbers)
+            yield pd.DataFrame({"replicate": np.repeat(numbers, len(batch)), key: np.tile(batch[key].to_numpy(), len(numbers)), "weight": w.reshape(-1)})
+
+    drawn = ids.select(key).mapInPandas(run, f"replicate long, {key} {kind}, weight double")
+    return drawn.withColumn("held_out", F.col("weight") == 0)

@@ -217,3 +217,44 @@ def spearman_vectors(frame: DataFrame) -> DataFrame:
 
 def centred(frame: DataFrame) -> DataFrame:
     return frame.withColumn("values", array_center(F.col("values")))
+
+
+def threshold_by_p(stats: DataFrame, cut: float, binary: bool = False) -> DataFrame:
+    """stats(..., stat, p): the statistic where p < cut, 0 elsewhere; nothing for a cut of 0 or less."""
+    passed = (F.col("p") < cut) & F.lit(cut > 0)
+    return stats.withColumn("stat", F.when(passed, F.lit(1.0) if binary else F.col("stat")).otherwise(F.lit(0.0)))
+
+
+def multi_threshold(stats: DataFrame, cuts: list[float]) -> DataFrame:
+    """Over several cuts, how often the statistic passes and is positive less how often it is negative."""
+    count = sum((F.when((F.col("p") < c) & F.lit(c > 0), F.signum("stat")).otherwise(F.lit(0.0)) for c in cuts), F.lit(0.0))
+    return stats.withColumn("stat", count)
+
+
+def corrected_distance_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
+    """matrix_id, n, dcor2, t, df: the bias-corrected squared distance correlation and its t-test."""
+    x, y = u_center(a), u_center(b).withColumnRenamed("value", "other")
+    s = x.join(y, ["matrix_id", "i", "j"]).groupBy("matrix_id").agg(
+        F.countDistinct("i").alias("n"),
+        F.sum(F.col("value") * F.col("other")).alias("xy"),
+        F.sum(F.col("value") * F.col("value")).alias("xx"),
+        F.sum(F.col("other") * F.col("other")).alias("yy"),
+    )
+    r = safe_div(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    made = s.select("matrix_id", "n", r.alias("dcor2"), (F.col("n") * (F.col("n") - 3) / 2 - 1).alias("df"))
+    t = F.sqrt("df") * safe_div(F.col("dcor2"), F.sqrt(F.greatest(1 - F.col("dcor2") * F.col("dcor2"), F.lit(0.0))))
+    return made.withColumn("t", t)
+
+
+def label_distance_test(adj: DataFrame, labels: DataFrame, moves: DataFrame) -> DataFrame:
+    """label, stat, p: mean distance to others less inside each label, under labels moved among nodes by
+    moves(replicate, i, to); replicate 0 moves nothing."""
+    from tessera.operators.inference import p_from_replicates
+
+    moved = labels.join(moves, "i").select("replicate", F.col("to").alias("i"), "label")
+    a = moved.select("replicate", "i", F.col("label").alias("li"))
+    b = moved.select("replicate", F.col("i").alias("j"), F.col("label").alias("lj"))
+    named = adj.join(F.broadcast(a), "i").join(F.broadcast(b), ["replicate", "j"])
+    ends = named.select("replicate", F.explode(F.array_distinct(F.array("li", "lj"))).alias("label"), (F.col("li") == F.col("lj")).alias("same"), "value")
+    diff = F.avg(F.when(~F.col("same"), F.col("value"))) - F.avg(F.when(F.col("same"), F.col("value")))
+    return p_from_replicates(ends.groupBy("replicate", "label").agg(diff.alias("value")).filter("value IS NOT NULL"), ["label"])

@@ -192,3 +192,51 @@ def clean_columns(corr: DataFrame, columns: Sequence[str], limit: float) -> list
             if i not in gone and j not in gone and r.get((i, j), 0.0) >= limit:
                 gone.add(j)
     return [c for k, c in enumerate(columns) if k not in gone]
+
+
+def with_fit(frame: DataFrame, fit: DataFrame, design: Sequence[str], target: str, by: Sequence[str]) -> DataFrame:
+    """frame with predicted and residual from the terms of fit_linear (or ridge_by_fold's, by fold)."""
+    wide = fit.groupBy(*by).pivot("term", list(design)).agg(F.first("effect"))
+    named = wide.select(*by, *[F.col(d).alias(f"beta_{d}") for d in design])
+    predicted = sum((F.col(d) * F.col(f"beta_{d}") for d in design), F.lit(0.0))
+    joined = frame.join(named, list(by)).withColumn("predicted", predicted).drop(*[f"beta_{d}" for d in design])
+    return joined.withColumn("residual", F.col(target) - F.col("predicted"))
+
+
+def _fold_solver(design: Sequence[str], by: Sequence[str], fold: str, alphas: Sequence[float], best_only: bool):
+    k = len(design)
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        grams, xys = np.stack([_gram(x, k) for x in table["xx"]]), np.stack(table["xy"].to_list())
+        n, sy, yy = (table[c].to_numpy(float) for c in ("n", "sy", "yy"))
+        r2, betas = np.zeros((len(alphas), len(table))), {}
+        for a, alpha in enumerate(alphas):
+            for i in range(len(table)):
+                beta = np.linalg.solve(grams.sum(0) - grams[i] + alpha * np.eye(k), xys.sum(0) - xys[i])
+                sse, sst = yy[i] - 2 * beta @ xys[i] + beta @ grams[i] @ beta, yy[i] - sy[i] ** 2 / n[i]
+                r2[a, i] = 1 - sse / sst if sst > 0 else 0.0
+                betas[a, i] = beta
+        best = int(np.argmax(r2.mean(axis=1).round(12) + 1e-13 * np.arange(len(alphas))))
+        keys = [table[b].iloc[0] for b in by]
+        if best_only:
+            return pd.DataFrame([[*keys, float(alphas[best]), float(r2[best].mean())]], columns=[*by, "alpha", "r2"])
+        rows = [[*keys, f, d, float(betas[best, i][j])] for i, f in enumerate(table[fold]) for j, d in enumerate(design)]
+        return pd.DataFrame(rows, columns=[*by, fold, "term", "effect"])
+
+    return run
+
+
+def ridge_cv_by_target(frame: DataFrame, design: Sequence[str], target: str, fold: str, by: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+    """by..., alpha, r2: each target's own best alpha over the folds, the larger of equals."""
+    sums = cross_products(frame, design, target, [*by, fold])
+    kinds = dict(sums.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "alpha double", "r2 double"])
+    return sums.groupBy(*by).applyInPandas(_fold_solver(list(design), list(by), fold, list(alphas), True), schema)
+
+
+def ridge_by_fold(frame: DataFrame, design: Sequence[str], target: str, fold: str, by: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+    """by..., fold, term, effect: trained without the fold, at the best alpha; with_fit gives held-out predictions."""
+    sums = cross_products(frame, design, target, [*by, fold])
+    kinds = dict(sums.dtypes)
+    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), f"{fold} {kinds[fold]}", "term string", "effect double"])
+    return sums.groupBy(*by).applyInPandas(_fold_solver(list(design), list(by), fold, list(alphas), False), schema)

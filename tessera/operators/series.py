@@ -212,3 +212,30 @@ def collapse_masks(masks: DataFrame) -> DataFrame:
     total = F.broadcast(masks.agg(F.countDistinct("mask_id").alias("n_masks")))
     held = masks.filter("value <> 0").groupBy("voxel_id").agg(F.sum(F.col("mask_id") + 1).alias("label"), F.count(F.lit(1)).alias("n"))
     return held.join(total).filter("n < n_masks").select("voxel_id", "label")
+
+
+# haemodynamic responses
+
+#: The double-gamma shapes (peak delay, undershoot delay, their dispersions, undershoot ratio).
+RESPONSES = {"spm": (6.0, 16.0, 1.0, 1.0, 1 / 6), "glover": (6.0, 12.0, 0.9, 0.9, 0.48)}
+
+
+def response_kernel(tr: float, model: str = "glover", oversampling: int = 16, length: float = 32.0) -> list[float]:
+    """The response to a brief event, sampled at tr / oversampling and normalised to sum 1 there, then
+    averaged over each tr: weights of this row, the row before, and so on."""
+    delay, under, dispersion, under_dispersion, ratio = RESPONSES[model]
+    step = tr / oversampling
+
+    def gamma(t: float, shape: float, scale: float) -> float:
+        return 0.0 if t <= 0 else math.exp((shape - 1) * math.log(t / scale) - t / scale - math.lgamma(shape)) / scale
+
+    fine = [
+        gamma(k * step, delay / dispersion, dispersion) - ratio * gamma(k * step, under / under_dispersion, under_dispersion)
+        for k in range(int(length / step))
+    ]
+    total = sum(fine)
+    return [sum(fine[k : k + oversampling]) / total for k in range(0, len(fine), oversampling)]
+
+
+def beats_per_minute(sampling_freq: float, interval: Column) -> Column:
+    return F.lit(60.0 * sampling_freq) / interval

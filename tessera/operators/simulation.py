@@ -51,3 +51,9 @@ def detection_rates(cells: DataFrame, t_threshold: float) -> DataFrame:
     hits, false = F.sum((F.col("found") & F.col("on")).cast("long")), F.sum((F.col("found") & ~F.col("on")).cast("long"))
     on, off = F.sum(F.col("on").cast("long")), F.sum((~F.col("on")).cast("long"))
     return found.groupBy("run").agg(safe_div(hits, on).alias("tpr"), safe_div(false, off).alias("fpr"), safe_div(false, hits + false).alias("fdr"))
+
+
+def correlated_with(frame: DataFrame, y: str, r: float, key: str, seed: int = 0) -> DataFrame:
+    """frame with x: standard normal noise mixed with a standardised y, to a correlation of r."""
+    noise = normal(seed, key)
+    return frame.withColumn("x", F.lit(float(r)) * F.col(y) + F.lit(math.sqrt(1 - r * r)) * noise)

@@ -118,3 +118,36 @@ def label_coordinates(points: DataFrame, atlas: DataFrame, size: int, voxel_mm:
         inside = inside & F.col(n).between(0, size - 1)
     clipped = placed.withColumns({n: F.when(inside, F.col(n)).otherwise(F.lit(0)) for n in "ijk"})
     return clipped.join(F.broadcast(atlas), ["i", "j", "k"], "left").select("point_id", "i", "j", "k", F.coalesce("label", F.lit("no label")).alias("label"))
+
+
+def resample_nearest(long: DataFrame, source: DataFrame, target: DataFrame, ratio: float) -> DataFrame:
+    """image_id, voxel_id, value on the target grid, whose voxels are `ratio` source voxels wide: each takes
+    the source voxel its centre lies in."""
+    place = {n: F.floor((F.col(n) + 0.5) * ratio).cast("int") for n in "ijk"}
+    at = target.select(F.col("voxel_id").alias("target_id"), *[c.alias(n) for n, c in place.items()])
+    found = at.join(source, ["i", "j", "k"]).select("target_id", "voxel_id")
+    return long.join(F.broadcast(found), "voxel_id").select("image_id", F.col("target_id").alias("voxel_id"), "value")
+
+
+def sphere_features(long: DataFrame, voxels: DataFrame, radius: float) -> DataFrame:
+    """center_id, image_id, x: each sphere's values in the order of voxels, for models of neighbourhoods."""
+    near = F.broadcast(neighbourhoods(voxels, radius))
+    joined = long.join(near, long["voxel_id"] == near["neighbor_id"])
+    packed = F.array_sort(F.collect_list(F.struct("neighbor_id", "value")))
+    return joined.groupBy("center_id", "image_id").agg(F.transform(packed, lambda p: p["value"]).alias("x"))
+
+
+def separate_peaks(labelled: DataFrame, voxels: DataFrame, min_distance: float) -> DataFrame:
+    """image_id, cluster, voxel_id, value: a cluster's voxels of largest |value| at least min_distance apart.
+    A group is one cluster."""
+    placed = labelled.join(F.broadcast(voxels), "voxel_id")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.assign(a=group["value"].abs()).sort_values(["a", "voxel_id"], ascending=[False, True])
+        points, kept = group[["i", "j", "k"]].to_numpy(float), []
+        for n in range(len(group)):
+            if all(((points[n] - points[m]) ** 2).sum() >= min_distance**2 for m in kept):
+                kept.append(n)
+        return group.iloc[kept][["image_id", "cluster", "voxel_id", "value"]]
+
+    return placed.groupBy("image_id", "cluster").applyInPandas(run, "image_id long, cluster long, voxel_id int, value double")

@@ -236,3 +236,39 @@ def test_principal_components_match_numpy(spark):
     want = np.sort(np.linalg.eigvalsh(np.cov(v.T)))[::-1][:2]
     close(variance, want, 1e-8)
     close(parts @ np.cov(v.T) @ parts.T, np.diag(want), 1e-8)
+
+
+def test_response_kernel_has_its_peak_and_undershoot():
+    for model, peak in (("spm", 5), ("glover", 5)):
+        k = series.response_kernel(1.0, model)
+        close(sum(k), 1.0, 1e-9)
+        assert k.index(max(k)) in (peak - 1, peak) and min(k) < 0
+
+
+def test_bootstrap_splits_hold_out_about_a_third(spark):
+    ids = spark.range(3000)
+    got = inference.bootstrap_splits(ids, "id", 5).groupBy("replicate").agg(F.avg(F.col("held_out").cast("double")).alias("out"), F.avg("weight").alias("w")).collect()
+    assert all(abs(r["out"] - math.exp(-1)) < 0.03 and abs(r["w"] - 1) < 0.08 for r in got)
+    again = inference.bootstrap_splits(ids.repartition(7), "id", 5)
+    assert again.exceptAll(inference.bootstrap_splits(ids, "id", 5)).count() == 0
+
+
+def test_held_out_ridge_predictions(spark):
+    r = np.random.default_rng(9)
+    x, fold = r.normal(size=(60, 2)), np.arange(60) % 4
+    y = x @ [2.0, -1.0] + 0.1 * r.normal(size=60)
+    f = frame(spark, [(1, k, int(fold[k]), *map(float, x[k]), float(y[k])) for k in range(60)], "g int, id int, fold int, a double, b double, y double")
+    fits = models.ridge_by_fold(f, ["a", "b"], "y", "fold", ["g"], [0.01])
+    got = {q["id"]: q["predicted"] for q in models.with_fit(f, fits, ["a", "b"], "y", ["g", "fold"]).collect()}
+    for k in range(60):
+        t = fold != fold[k]
+        close(got[k], x[k] @ np.linalg.solve(x[t].T @ x[t] + 0.01 * np.eye(2), x[t].T @ y[t]), 1e-8)
+
+
+def test_simulated_numbers_are_normal_and_reproducible(spark):
+    from tessera.operators import simulation
+
+    v = np.array([r["x"] for r in spark.range(20_000).select(simulation.normal(3, "id").alias("x")).collect()])
+    assert abs(v.mean()) < 0.03 and abs(v.std() - 1) < 0.03 and len(set(v)) > 19_990
+    rates = simulation.detection_rates(simulation.noise_grid(spark, 12, 15, 4, 2.0, 1.0, runs=3), 3.0).collect()
+    assert all(r["tpr"] > 0.9 and r["fpr"] < 0.05 for r in rates)
