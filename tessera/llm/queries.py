@@ -73,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op4_near_dedup": near_dedup.ORACLE_SQL,
+    "op5_secrets": secrets.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
 }

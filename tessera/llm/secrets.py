@@ -142,3 +142,32 @@ def find_secrets(
         F.coalesce(_joined(F.col("all")), F.lit("")).alias("spans"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_example")],
     )
+
+
+def _sql_kind(kind: int, pattern: str, group: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return (
+        f"SELECT doc_id, source, {kind} AS kind, regexp_extract_all(text, '{quoted}', 0) AS m, "
+        f"string_split_regex(text, '{quoted}') AS gaps, regexp_extract_all(text, '{quoted}', {group}) AS v FROM d"
+    )
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+k AS ({" UNION ALL ".join(_sql_kind(n, p, 2 * (n == 0)) for n, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN)))}),
+e AS (SELECT doc_id, source, kind, generate_subscripts(m, 1) AS nth, unnest(m) AS m, unnest(gaps[1:len(m)]) AS gap, unnest(v) AS v FROM k WHERE len(m) > 0),
+p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY nth)::BIGINT AS stop FROM e),
+c AS (SELECT doc_id, source, kind, stop - length(m) AS start, stop, v FROM p
+      WHERE kind IN (1, 2) OR kind = 0 AND length(v) >= {ASSIGN_MIN}
+         OR kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')),
+o AS (SELECT v, count(DISTINCT source) <= {MAX_OWNERS} AS live FROM c GROUP BY v),
+s AS (SELECT c.*, live FROM c JOIN o USING (v) WHERE kind < 3 OR NOT EXISTS
+      (SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.start < c.stop AND c.start < b.stop)),
+t AS (SELECT *, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop AS span FROM s)
+SELECT d.doc_id, (count(*) FILTER (WHERE kind = 0))::BIGINT AS n_assign, (count(*) FILTER (WHERE kind = 1))::BIGINT AS n_access,
+       (count(*) FILTER (WHERE kind = 2))::BIGINT AS n_hex,
+       sha256(coalesce(string_agg(span, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY start, kind, stop) FILTER (WHERE kind < 3 OR live), '') AS spans,
+       (count(*) FILTER (WHERE live))::BIGINT AS n_live, (count(*) FILTER (WHERE NOT live))::BIGINT AS n_example
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id GROUP BY d.doc_id
+"""

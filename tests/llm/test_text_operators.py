@@ -146,6 +146,10 @@ def test_near_dedup_matches_brute_force(spark, percent):
     assert sorted(rows_of(got)) == sorted(plain_components(rows, percent))
 
 
+def test_near_dedup_matches_sql(spark):
+    against_sql(spark, near_dedup.near_duplicates(table(spark, "documents")), near_dedup.ORACLE_SQL, ["documents"])
+
+
 def test_near_dedup_edges(spark, odd, none):
     got = near_dedup.near_duplicates(odd)
     assert sorted(rows_of(got), key=str) == sorted(plain_components([(r["doc_id"], r["text"]) for r in odd.collect()], 85), key=str)
@@ -426,6 +430,10 @@ def test_secrets_match_plain_regexes(spark, odd, none):
     assert rows_of(secrets.find_secrets(none)) == []
 
 
+def test_secrets_match_sql(spark):
+    against_sql(spark, secrets.find_secrets(table(spark, "documents")), secrets.ORACLE_SQL, ["documents"])
+
+
 def test_secrets_widely_copied_values_are_examples(spark):
     rows = [(k, "see Abcdefgh12345678IJKLmnop", f"owner{k % 4}") for k in range(8)] + [(9, "key Zyxwvuts98765432MNOPqrst", "owner1")]
     got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
