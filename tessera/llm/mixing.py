@@ -133,8 +133,8 @@ def mix(
         sources = F.broadcast(sources)
     placed = (
         sized.join(sources, sized["source"].eqNullSafe(sources["src"]))
-        .withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
-        .withColumn("shard", F.pmod(F.xxhash64("order"), F.col("shards").cast("long")))
+        .withColumn("order", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+        .withColumn("shard", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % F.col("shards"))
         .drop("src", "shards")
     )
     shards = placed.groupBy("place", "shard", "quota").agg(F.sum("size").alias("shard_size"))
@@ -163,3 +163,41 @@ def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     joined = docs.join(times, docs["doc_id"] == times["mix_id"])
     row = F.struct(*[docs[c].alias(c) for c in docs.columns])
     return joined.select(row.alias("row"), F.explode(F.sequence(F.lit(1), times["times"])).alias("turn")).select("row.*")
+
+
+ORACLE_SQL = r"""
+WITH z AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS size, ceil(sqrt(count(*)))::BIGINT AS shards FROM z GROUP BY source
+), w AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s
+), r AS (  -- by size for each weight: those before a source are full, the rest share what is left
+  SELECT *, sum(size) OVER () - coalesce(sum(3 * size) OVER up, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER up, 0) AS left_weight
+  FROM w WINDOW up AS (ORDER BY 3 * size / weight::DOUBLE, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), cut AS (
+  SELECT min_by(rest, 3 * size / weight::DOUBLE) AS rest, min_by(left_weight, 3 * size / weight::DOUBLE) AS left_weight FROM r WHERE 3 * size * left_weight > rest * weight
+), t AS (
+  SELECT w.*, CASE WHEN cut.rest IS NULL OR 3 * size * cut.left_weight <= cut.rest * weight THEN 3 * size * coalesce(cut.left_weight, 1) ELSE cut.rest * weight END AS vote,
+         coalesce(cut.left_weight, 1) AS share FROM w, cut
+), q AS (
+  SELECT place, count(*) AS quota FROM (
+    SELECT place FROM t, (SELECT unnest(generate_series(0, (SELECT CAST(sum(size) // 8 + 1 AS BIGINT) FROM s))) AS k) WHERE vote > 0
+    ORDER BY vote / (2 * k + 1)::DOUBLE DESC, place LIMIT (SELECT ceil(sum(size) / 8.0)::BIGINT FROM s)) GROUP BY place
+), d AS (
+  SELECT z.*, t.place, t.size AS source_size, vote / share::DOUBLE AS target, quota, CAST('0x' || substr(h, 1, 8) AS BIGINT) % shards AS shard
+  FROM z JOIN t ON z.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON q.place = t.place
+), g AS (
+  SELECT place, shard, any_value(quota) AS quota, sum(size)::BIGINT AS words FROM d GROUP BY place, shard
+), b AS (
+  SELECT place, shard, count(*) AS seats FROM (
+    SELECT g.place, g.shard, g.quota, row_number() OVER (PARTITION BY g.place ORDER BY words / (2 * k + 1)::DOUBLE DESC, g.shard) AS i
+    FROM g, LATERAL (SELECT unnest(generate_series(0, g.quota)) AS k) WHERE words > 0) WHERE i <= quota GROUP BY place, shard
+), e AS (
+  SELECT d.*, words, least(coalesce(seats, 0) * 8, 3 * words) AS take,
+         sum(size) OVER (PARTITION BY d.place, d.shard ORDER BY h, d.doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before
+  FROM d JOIN g ON d.place = g.place AND d.shard = g.shard LEFT JOIN b ON b.place = d.place AND b.shard = d.shard
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN words = 0 THEN 0 ELSE CAST(take // words * size + greatest(0, least(size, take % words - before)) AS BIGINT) END AS taken FROM e
+"""

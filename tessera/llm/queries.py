@@ -77,4 +77,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_secrets": secrets.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
 }

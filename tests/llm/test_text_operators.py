@@ -438,3 +438,18 @@ def test_secrets_widely_copied_values_are_examples(spark):
     rows = [(k, "see Abcdefgh12345678IJKLmnop", f"owner{k % 4}") for k in range(8)] + [(9, "key Zyxwvuts98765432MNOPqrst", "owner1")]
     got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[0]["spans"] == "" and got[0]["n_example"] == 1 and got[9]["spans"] == "token:4:28" and got[9]["n_live"] == 1
+
+
+def test_mixing_matches_sql(spark, tmp_path):
+    against_sql(spark, mixing.mix(table(spark, "documents")).drop("source"), mixing.ORACLE_SQL, ["documents"])
+    # one source so small that its target is capped, and a null one
+    rows = [(k, words(k % 9, k), ["a", "b", None, "tiny"][k % 4 if k % 40 else 3]) for k in range(400) if k % 4 != 3 or k % 40 == 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = con.sql(mixing.ORACLE_SQL).df()
+    got = mixing.mix(docs).toPandas()[list(want.columns)]
+    a, b = (x.sort_values("doc_id").reset_index(drop=True) for x in (got, want))
+    assert (a.drop(columns="target").values == b.drop(columns="target").values).all()
+    np.testing.assert_allclose(a.target, b.target, rtol=1e-12)
