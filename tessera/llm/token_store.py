@@ -342,11 +342,43 @@ def _fetch(wanted: list[int]):
     return run
 
 
-def fetch(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            shard = Shard(content.as_py())
+            ids = shard.ids[shard.valid]
+            rows.append((path, shard.shard, int(ids[0]) if len(ids) else None, int(ids[-1]) if len(ids) else None, len(shard.ids), int(shard.count.sum())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RANGE, strict=True)], schema=_RANGE)
+
+
+_RANGE = pa.schema(
+    [("file", pa.string()), *((c, pa.int64()) for c in ("shard", "first_id", "last_id", "n_docs", "n_tokens"))]
+)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """file, shard, first_id, last_id, n_docs, n_tokens of each shard of a store: a row a shard, for a
+    caller to keep. Ids ascend over shards, so an id is in one shard (its repeats too)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    return files.mapInArrow(_ranges, "file string, shard long, first_id long, last_id long, n_docs long, n_tokens long")
+
+
+def fetch(spark: SparkSession, path: str, doc_ids: list[int], known: DataFrame | None = None) -> DataFrame:
     """doc_id and ids (the end id last) of the documents asked for; of repeated ids the first one.
 
-    An id that no shard holds passes a shard's fingerprint with probability 2**-32."""
-    return _shards(spark, path).mapInArrow(_fetch(list(doc_ids)), "doc_id long, ids array<long>")
+    With a kept manifest only the shards whose ranges hold an id asked for are opened. An id that no
+    shard holds passes a shard's fingerprint with probability 2**-32.
+    """
+    if known is None:
+        return _shards(spark, path).mapInArrow(_fetch(list(doc_ids)), "doc_id long, ids array<long>")
+    asked = spark.createDataFrame([(int(d),) for d in doc_ids], "asked long")
+    ranges = known.join(F.broadcast(asked), F.col("asked").between(F.col("first_id"), F.col("last_id")), "left_semi")
+    files = [r["file"] for r in ranges.select("file").collect()]  # at most one for each id asked for
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    opened = spark.read.format("binaryFile").load(files).select("content")
+    return opened.mapInArrow(_fetch(list(doc_ids)), "doc_id long, ids array<long>")
 
 
 def encode_and_read(docs: DataFrame, tokenizer_path: str) -> DataFrame:

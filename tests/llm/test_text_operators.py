@@ -262,6 +262,10 @@ def test_token_store_access_by_key(spark, tmp_path):
     tok = token_store.WordEncoder(open(TOKENIZER, encoding="utf-8").read()).tokenizer
     got = {r["doc_id"]: r["ids"] for r in token_store.fetch(spark, str(tmp_path / "store"), [0, 7, 1400, 5, 10**12]).collect()}
     assert got == {k: [*tok.encode(dict(rows)[k], add_special_tokens=False).ids, 1] for k in (0, 7, 1400)}
+    known = token_store.manifest(spark, str(tmp_path / "store")).cache()
+    assert known.agg(F.sum("n_docs")).first()[0] == 300
+    again = {r["doc_id"]: r["ids"] for r in token_store.fetch(spark, str(tmp_path / "store"), [0, 7, 1400, 5, 10**12], known).collect()}
+    assert again == got and token_store.fetch(spark, str(tmp_path / "store"), [10**12], known).count() == 0
 
 
 def test_word_encoder_changes_no_id(monkeypatch):
