@@ -107,7 +107,7 @@ def _proportions(like: np.ndarray, row: np.ndarray, words: np.ndarray, share: np
         weighted = like * share[row]
         weighted /= weighted.sum(axis=1, keepdims=True) + 1e-30
         share = np.stack([np.bincount(row, weighted[:, k], n) for k in range(like.shape[1])], axis=1)
-        share /= np.maximum(words, 1)[:, None]
+        share = share / np.maximum(words, 1)[:, None]  # of no words at all, bincount gives whole numbers
     total = np.log(np.einsum("ij,ij->i", like, share[row]) + 1e-30)
     return share, np.bincount(row, total, n)
 
