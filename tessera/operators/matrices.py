@@ -6,6 +6,8 @@ otherwise. Reducers over edges ignore NaN, unlike those of images; null is skipp
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +20,31 @@ def with_norms(frame: DataFrame) -> DataFrame:
     return frame.withColumns({"norm2": dot(v, v), "sum": array_sum(v)})
 
 
+#: Images in a block, about. A join key is a pair of blocks, so no task needs more than two of them at once.
+BLOCK = 512
+
+
+def block_count(frame: DataFrame) -> int:
+    """Into how many blocks the images go; counts them."""
+    return max(1, -(-frame.count() // BLOCK))
+
+
+def join_blocks(left: DataFrame, right: DataFrame, blocks: int, by: Sequence[str] = ()) -> DataFrame:
+    """Every pair of a row of left (image_id_i, ...) and one of right (image_id_j, ...) with equal `by` and
+    image_id_i < image_id_j. Ids are hashed into blocks; each side goes once to each block of the other."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = left.select("*", F.pmod(F.hash("image_id_i"), F.lit(blocks)).alias("block_i"), every.alias("block_j"))
+    b = right.select("*", every.alias("block_i"), F.pmod(F.hash("image_id_j"), F.lit(blocks)).alias("block_j"))
+    return a.join(b.hint("merge"), [*by, "block_i", "block_j"]).filter("image_id_i < image_id_j").drop("block_i", "block_j")
+
+
 def pair_images(a: DataFrame, b: DataFrame, same: bool) -> DataFrame:
-    """The pairs of two bounded sets of images: both ends, their values and sums. The second set is sent
-    to all tasks, so it is one of those a user names (templates, group means), not a whole table."""
+    """The pairs of two sets of images: both ends, their values and sums. With `same`, the pairs of one set
+    with image_id_i < image_id_j, a whole table if need be: a join of blocks. Otherwise the second set is
+    sent to all tasks, so it is one of those a user names (templates, group means), not a whole table."""
     left = with_norms(a).select(*[F.col(c).alias(f"{c}_i") for c in ("image_id", "values", "norm2", "sum")])
     right = with_norms(b).select(*[F.col(c).alias(f"{c}_j") for c in ("image_id", "values", "norm2", "sum")])
-    pairs = left.join(F.broadcast(right), F.col("image_id_i") < F.col("image_id_j") if same else F.lit(True))
+    pairs = join_blocks(left, right, block_count(a)) if same else left.join(F.broadcast(right), F.lit(True))
     return pairs.withColumn("xy", dot(F.col("values_i"), F.col("values_j"))).withColumn("n", F.size("values_i"))
 
 

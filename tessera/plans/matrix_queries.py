@@ -13,11 +13,18 @@ from tessera.sources.tables import explode_images, images, table
 
 
 def few(spark, d):
+    """At most 80 images, as the SQL beside the queries without _all has it."""
     return images(spark, d).filter("image_id % 25 = 0 AND image_id < 2000").select("image_id", "values", "label")
 
 
+def every(spark, d):
+    return images(spark, d).select("image_id", "values", "label")
+
+
 _PAIR = f"""WITH {LONG}, W AS (SELECT * FROM L WHERE image_id % 25 = 0 AND image_id < 2000) SELECT a.image_id AS i, b.image_id AS j, round({{}}, 6) + 0.0 AS value
 FROM W a JOIN W b ON a.voxel_id = b.voxel_id AND a.image_id < b.image_id GROUP BY ALL"""
+_PAIR_ALL = f"""WITH {LONG} SELECT a.image_id AS i, b.image_id AS j, round({{}}, 6) + 0.0 AS value
+FROM L a JOIN L b ON a.voxel_id = b.voxel_id AND a.image_id < b.image_id GROUP BY ALL"""
 _SIM = {
     "dot": "sum(a.value * b.value)",
     "cosine": "sum(a.value * b.value) / sqrt(sum(a.value * a.value) * sum(b.value * b.value))",
@@ -38,8 +45,10 @@ def pairs(frame, column):
 
 for _how, _sql in _SIM.items():
     query(f"similarity_{_how}", _PAIR.format(_sql))(lambda spark, d, h=_how: pairs(few(spark, d), op.similarity(h)))
+    query(f"similarity_{_how}_all", _PAIR_ALL.format(_sql))(lambda spark, d, h=_how: pairs(every(spark, d), op.similarity(h)))
 for _how, _sql in _DIST.items():
     query(f"distance_{_how}", _PAIR.format(_sql))(lambda spark, d, h=_how: pairs(few(spark, d), op.distance(h)))
+    query(f"distance_{_how}_all", _PAIR_ALL.format(_sql))(lambda spark, d, h=_how: pairs(every(spark, d), op.distance(h)))
 
 
 @query(
@@ -52,6 +61,15 @@ def similarity_spearman(spark, d):
     return pairs(op.spearman_vectors(few(spark, d)), op.similarity("correlation"))
 
 
+@query(
+    "similarity_spearman_all",
+    f"""WITH {LONG}, W AS (SELECT image_id, voxel_id, rank() OVER (PARTITION BY image_id ORDER BY value) + (count(*) OVER (PARTITION BY image_id, value) - 1) / 2 AS value FROM L)
+    SELECT a.image_id AS i, b.image_id AS j, round(corr(a.value, b.value), 6) + 0.0 AS value FROM W a JOIN W b ON a.voxel_id = b.voxel_id AND a.image_id < b.image_id GROUP BY ALL""",
+)
+def similarity_spearman_all(spark, d):
+    return pairs(op.spearman_vectors(every(spark, d)), op.similarity("correlation"))
+
+
 @query(
     "similarity_to_templates",
     f"""WITH {LONG}, M AS (SELECT label, voxel_id, avg(value) AS value FROM L GROUP BY ALL)
@@ -73,17 +91,30 @@ def similarity_to_templates(spark, d):
     round(sqrt(sum((a.value - b.value) ** 2)), 6) + 0.0 AS value FROM W a JOIN W b ON a.voxel_id = b.voxel_id AND a.image_id < b.image_id GROUP BY ALL""",
 )
 def distance_by_roi(spark, d):
-    long = explode_images(few(spark, d).select("image_id", "values")).withColumn("roi", F.floor(F.col("voxel_id") / 8))
+    return roi_distances(few(spark, d))
+
+
+def roi_distances(frame):
+    long = explode_images(frame.select("image_id", "values")).withColumn("roi", F.floor(F.col("voxel_id") / 8))
     packed = F.transform(F.array_sort(F.collect_list(F.struct("voxel_id", "value"))), lambda x: x["value"])
     parts = long.groupBy("roi", "image_id").agg(packed.alias("values"))
-    a = op.with_norms(parts).select("roi", *[F.col(c).alias(f"{c}_i") for c in ("image_id", "values", "norm2", "sum")])
-    b = op.with_norms(parts).select("roi", *[F.col(c).alias(f"{c}_j") for c in ("image_id", "values", "norm2", "sum")])
-    made = a.join(b, "roi").filter("image_id_i < image_id_j")
+    a = parts.select("roi", *[F.col(c).alias(f"{c}_i") for c in ("image_id", "values")])
+    b = parts.select("roi", *[F.col(c).alias(f"{c}_j") for c in ("image_id", "values")])
+    made = op.join_blocks(a, b, op.block_count(frame), ["roi"])
     gaps = F.zip_with("values_i", "values_j", lambda x, y: (x - y) * (x - y))
     value = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x))
     return made.select("roi", F.col("image_id_i").alias("i"), F.col("image_id_j").alias("j"), r6(value).alias("value"))
 
 
+@query(
+    "distance_by_roi_all",
+    f"""WITH {LONG} SELECT a.voxel_id // 8 AS roi, a.image_id AS i, b.image_id AS j,
+    round(sqrt(sum((a.value - b.value) ** 2)), 6) + 0.0 AS value FROM L a JOIN L b ON a.voxel_id = b.voxel_id AND a.image_id < b.image_id GROUP BY ALL""",
+)
+def distance_by_roi_all(spark, d):
+    return roi_distances(every(spark, d))
+
+
 @query(
     "column_correlations",
     f"""WITH {LONG}, W AS (SELECT * FROM L WHERE voxel_id < 16) SELECT a.voxel_id AS i, b.voxel_id AS j, round(corr(a.value, b.value), 6) + 0.0 AS r
