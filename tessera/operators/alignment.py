@@ -8,6 +8,7 @@ where a region's data of all subjects is small enough for one group.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,24 +178,31 @@ def transform(subjects: DataFrame, maps: DataFrame) -> DataFrame:
 def align_regions(long: DataFrame, rounds: int = 2) -> DataFrame:
     """subject, roi, voxel_id, t, value: Procrustes alignment of each region's subjects to their mean.
 
-    long(subject, roi, voxel_id, t, value). A region of one voxel keeps its values.
+    long(subject, roi, voxel_id, t, value). A region of one voxel keeps its values. Subjects need not have
+    the same voxels or times: rotations come from the times that all subjects of the region have and turn
+    all times of the subject; a voxel that a subject lacks, or lacks at some time, is at its mean. So each
+    subject has all voxels of the region in the result. No shared time is an error.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        cubes = {s: g.pivot(index="t", columns="voxel_id", values="value").sort_index(axis=1) for s, g in group.groupby("subject")}
-        first = next(iter(cubes.values()))
-        if first.shape[1] < 2 or any(c.shape != first.shape for c in cubes.values()):
+        if group["voxel_id"].nunique() < 2:
             return group[["subject", "roi", "voxel_id", "t", "value"]]
-        data = {s: c.to_numpy() - c.to_numpy().mean(axis=0) for s, c in cubes.items()}
-        data = {s: x / (np.linalg.norm(x) or 1.0) for s, x in data.items()}
+        voxels = np.sort(group["voxel_id"].unique())
+        cubes = {s: g.pivot(index="t", columns="voxel_id", values="value").reindex(columns=voxels) for s, g in group.groupby("subject")}
+        times = functools.reduce(lambda a, b: a.intersection(b), (c.index for c in cubes.values()))
+        if not len(times):
+            raise ValueError("subjects of a region need times that all of them have")
+        whole = {s: (c - c.loc[times].mean()).fillna(0.0) for s, c in cubes.items()}
+        whole = {s: c / (np.linalg.norm(c.loc[times]) or 1.0) for s, c in whole.items()}
+        data = {s: c.loc[times].to_numpy() for s, c in whole.items()}
         template = np.mean(list(data.values()), axis=0)
-        turned = data
+        turns = {s: np.eye(len(voxels)) for s in data}
         for _ in range(rounds):
-            turned = {s: x @ rotation_onto(x.T, template.T) for s, x in data.items()}
-            template = np.mean(list(turned.values()), axis=0)
+            turns = {s: rotation_onto(x.T, template.T) for s, x in data.items()}
+            template = np.mean([x @ turns[s] for s, x in data.items()], axis=0)
         out = []
-        for s, x in turned.items():
-            frame = pd.DataFrame(x, index=cubes[s].index, columns=cubes[s].columns).stack().rename("value").reset_index()
+        for s, c in whole.items():
+            frame = pd.DataFrame(c.to_numpy() @ turns[s], index=cubes[s].index, columns=cubes[s].columns).stack().rename("value").reset_index()
             out.append(frame.assign(subject=s, roi=group["roi"].iloc[0]))
         return pd.concat(out)[["subject", "roi", "voxel_id", "t", "value"]]
 

@@ -118,16 +118,37 @@ def bootstrap_mean(spark, d):
 
 _ISC = f"""{LONG}, T AS (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t FROM embeddings),
 Z AS (SELECT label AS subject, t, voxel_id, value FROM L JOIN T ON image_id = vec_id WHERE t < 30 AND voxel_id < 16)"""
+_ISC_ALL = _ISC.replace(" WHERE t < 30 AND voxel_id < 16", "")
 _LOO = """, O AS (SELECT *, (sum(value) OVER (PARTITION BY t, voxel_id) - value) / (count(*) OVER (PARTITION BY t, voxel_id) - 1) AS others FROM Z),
 R AS (SELECT subject, voxel_id, corr(value, others) AS r FROM O GROUP BY ALL)"""
+#: At the last times only one subject has images.
+_LOO_ALL = _LOO.replace("(count(*) OVER (PARTITION BY t, voxel_id) - 1)", "nullif(count(*) OVER (PARTITION BY t, voxel_id) - 1, 0)")
 _PAIRS = ", R AS (SELECT x.subject AS a, y.subject AS b, x.voxel_id, corr(x.value, y.value) AS r FROM Z x JOIN Z y ON x.t = y.t AND x.voxel_id = y.voxel_id AND x.subject < y.subject GROUP BY ALL)"
 
 
 def subjects(spark, d):
-    """A label is a subject, the order of its images time, the first 16 voxels the regions."""
+    """A label is a subject, the order of its images time, the first 16 voxels the regions; a fixed part of
+    the table, as the SQL beside the queries without _all has it."""
+    s = all_subjects(spark, d)
+    return s.filter("t < 30 AND voxel_id < 16")
+
+
+def subject_images(spark, d):
+    """A label is a subject, the order of its images time: subject, t, values."""
     t = F.row_number().over(Window.partitionBy("label").orderBy("image_id")) - 1
-    i = images(spark, d).select(F.col("label").alias("subject"), t.cast("long").alias("t"), "values").filter("t < 30")
-    return i.select("subject", "t", F.posexplode(F.slice("values", 1, 16)).alias("voxel_id", "value")).withColumn("voxel_id", F.col("voxel_id").cast("long"))
+    return images(spark, d).select(F.col("label").alias("subject"), t.cast("long").alias("t"), "values")
+
+
+def all_subjects(spark, d):
+    """All voxels at all times of each subject; a subject of fewer images lacks the last times."""
+    i = subject_images(spark, d).select("subject", "t", F.posexplode("values").alias("voxel_id", "value"))
+    return i.withColumn("voxel_id", F.col("voxel_id").cast("long"))
+
+
+def shared_subjects(spark, d):
+    """All voxels at the times that all subjects have, for maps that need equal numbers of samples."""
+    least = images(spark, d).groupBy("label").count().agg(F.min("count").alias("shared"))
+    return all_subjects(spark, d).join(F.broadcast(least), F.col("t") < F.col("shared")).drop("shared")
 
 
 @query("isc_leave_one_out", f"WITH {_ISC}{_LOO} SELECT subject, voxel_id, round(r, 6) + 0.0 AS r FROM R")
@@ -135,26 +156,39 @@ def isc_leave_one_out(spark, d):
     return rounded(op.isc_leave_one_out(subjects(spark, d)), "r")
 
 
+@query("isc_leave_one_out_all", f"WITH {_ISC_ALL}{_LOO_ALL} SELECT subject, voxel_id, round(r, 6) + 0.0 AS r FROM R")
+def isc_leave_one_out_all(spark, d):
+    return rounded(op.isc_leave_one_out(all_subjects(spark, d)), "r")
+
+
 @query("isc_pairwise", f"WITH {_ISC}{_PAIRS} SELECT a, b, voxel_id, round(r, 6) + 0.0 AS r FROM R")
 def isc_pairwise(spark, d):
     return rounded(op.isc_pairwise(subjects(spark, d)), "r")
 
 
+@query("isc_pairwise_all", f"WITH {_ISC_ALL}{_PAIRS} SELECT a, b, voxel_id, round(r, 6) + 0.0 AS r FROM R")
+def isc_pairwise_all(spark, d):
+    return rounded(op.isc_pairwise(all_subjects(spark, d)), "r")
+
+
 for _how, _sql in (("median", "quantile_cont(r, 0.5)"), ("mean", "tanh(avg(atanh(greatest(least(r, 0.999), -0.999))))")):
-    for _kind, _cte, _fn in (("loo", _LOO, op.isc_leave_one_out), ("pairs", _PAIRS, op.isc_pairwise)):
+    for _kind, _cte, _all, _fn in (("loo", _LOO, _LOO_ALL, op.isc_leave_one_out), ("pairs", _PAIRS, _PAIRS, op.isc_pairwise)):
         query(f"isc_{_kind}_{_how}", f"WITH {_ISC}{_cte} SELECT voxel_id, round({_sql}, 6) + 0.0 AS isc FROM R GROUP BY voxel_id")(
             lambda spark, d, h=_how, f=_fn: rounded(op.summarize_isc(f(subjects(spark, d)), h), "isc")
         )
+        query(f"isc_{_kind}_{_how}_all", f"WITH {_ISC_ALL}{_all} SELECT voxel_id, round({_sql}, 6) + 0.0 AS isc FROM R GROUP BY voxel_id")(
+            lambda spark, d, h=_how, f=_fn: rounded(op.summarize_isc(f(all_subjects(spark, d)), h), "isc")
+        )
 
 
 @query("isc_bootstrap")
 def isc_bootstrap(spark, d):
-    return op.isc_bootstrap(op.isc_leave_one_out(subjects(spark, d)), 999)
+    return op.isc_bootstrap(op.isc_leave_one_out(all_subjects(spark, d)), 999)
 
 
 @query("isc_group_difference")
 def isc_group_difference(spark, d):
-    return op.isc_group_difference(op.isc_leave_one_out(subjects(spark, d)), F.col("subject") < 5, 499)
+    return op.isc_group_difference(op.isc_leave_one_out(all_subjects(spark, d)), F.col("subject") < 5, 499)
 
 
 @query(
@@ -166,3 +200,10 @@ def isfc(spark, d):
     return rounded(op.isfc(subjects(spark, d).filter("voxel_id < 8")), "r")
 
 
+@query(
+    "isfc_all",
+    f"""WITH {_ISC_ALL}, O AS (SELECT *, (sum(value) OVER (PARTITION BY t, voxel_id) - value) / nullif(count(*) OVER (PARTITION BY t, voxel_id) - 1, 0) AS others FROM Z)
+    SELECT a.subject, a.voxel_id AS i, b.voxel_id AS j, round(corr(a.value, b.others), 6) + 0.0 AS r FROM O a JOIN O b ON a.subject = b.subject AND a.t = b.t GROUP BY ALL""",
+)
+def isfc_all(spark, d):
+    return rounded(op.isfc(all_subjects(spark, d)), "r")

@@ -11,7 +11,7 @@ from tessera.operators import images as im
 from tessera.operators import iterative, models, signals
 from tessera.operators.series import phase_summary
 from tessera.plans.image_queries import LONG
-from tessera.plans.inference_queries import subjects
+from tessera.plans.inference_queries import all_subjects
 from tessera.plans.matrix_queries import ADJ, flows
 from tessera.plans.model_queries import DESIGN, design
 from tessera.plans.registry import query
@@ -37,7 +37,7 @@ def series_phase_randomize(spark, d):
 
 @query("isps")
 def isps(spark, d):
-    s = subjects(spark, d).withColumnRenamed("t", "row_id")
+    s = all_subjects(spark, d).withColumnRenamed("t", "row_id")
     return phase_summary(signals.phases(s, ["subject", "voxel_id"], 1.0, 0.05, 0.3), ["voxel_id", "row_id"], "value")
 
 

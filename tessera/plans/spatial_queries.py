@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import r6
 from tessera.operators import alignment, prediction, simulation, spatial
 from tessera.plans.image_queries import LONG, atlas
-from tessera.plans.inference_queries import subjects
+from tessera.plans.inference_queries import all_subjects, shared_subjects
 from tessera.plans.registry import query
 from tessera.sources.tables import explode_images, images, table
 
@@ -85,7 +85,7 @@ def label_coordinates(spark, d):
 
 
 def matrices(spark, d):
-    return alignment.subject_matrices(subjects(spark, d))
+    return alignment.subject_matrices(shared_subjects(spark, d))
 
 
 @query("align_det_srm")
@@ -111,7 +111,7 @@ def align_hyperalignment(spark, d):
 
 @query("align_regions")
 def align_regions(spark, d):
-    return alignment.align_regions(subjects(spark, d).withColumn("roi", F.floor(F.col("voxel_id") / 8).cast("int")))
+    return alignment.align_regions(all_subjects(spark, d).withColumn("roi", F.floor(F.col("voxel_id") / 8).cast("int")))
 
 
 # prediction: the first half of the labels against the rest, in eight regions

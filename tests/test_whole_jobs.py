@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import tessera.plans  # noqa: F401
-from tessera.operators import matrices
+from tessera.operators import alignment, matrices
 from tessera.plans import registry
 
 TINY = "/root/testdata/sf0.001"
@@ -35,3 +35,33 @@ def test_all_pairs_of_images_by_roi(spark, embeddings):
     i, j = np.triu_indices(len(ids), 1)
     assert len(got) == 8 * len(i)
     np.testing.assert_allclose(got["value"][got["roi"] == 3], np.linalg.norm(v[i, 24:32] - v[j, 24:32], axis=1), atol=1e-6)
+
+
+def test_subjects_keep_all_voxels_and_times(spark, embeddings):
+    ids, label, v = embeddings
+    n = {s: int((label == s).sum()) for s in set(label.tolist())}
+    shared = min(n.values())
+    cube = {s: v[label == s] for s in n}
+    got = {(r["subject"], r["voxel_id"]): r["r"] for r in registry.QUERIES["isc_leave_one_out_all"](spark, TINY).collect()}
+    assert len(n) > 1 and len(set(n.values())) > 1 and set(got) == {(s, k) for s in n for k in range(64)}
+    for s in n:
+        rest = [cube[o] for o in n if o != s]
+        t = [k for k in range(n[s]) if any(len(o) > k for o in rest)]
+        others = np.array([np.mean([o[k] for o in rest if len(o) > k], axis=0) for k in t])
+        np.testing.assert_allclose([got[s, k] for k in (0, 40)], [np.corrcoef(cube[s][t, k], others[:, k])[0, 1] for k in (0, 40)], atol=1e-6)
+    assert len(registry.QUERIES["isc_bootstrap"](spark, TINY).collect()) == 64
+    assert {np.shape(r["shared"]) for r in registry.QUERIES["align_det_srm"](spark, TINY).collect()} == {(4, shared)}
+    assert registry.QUERIES["align_regions"](spark, TINY).count() == len(ids) * 64
+
+
+def test_regions_of_unequal_subjects_are_aligned(spark):
+    r = np.random.default_rng(11)
+    base = r.normal(size=(30, 3))
+    turn = np.linalg.qr(r.normal(size=(3, 3)))[0]
+    cubes = {0: base, 1: (base @ turn)[:24], 2: (base @ turn.T)[:, :2]}
+    rows = [(s, 0, k, t, float(x[t, k])) for s, x in cubes.items() for t in range(len(x)) for k in range(x.shape[1])]
+    got = alignment.align_regions(spark.createDataFrame(rows, "subject int, roi int, voxel_id long, t long, value double"), rounds=10).toPandas()
+    out = {s: g.pivot(index="t", columns="voxel_id", values="value").to_numpy() for s, g in got.groupby("subject")}
+    assert {s: x.shape for s, x in out.items()} == {0: (30, 3), 1: (24, 3), 2: (30, 3)}
+    a, b = out[0][:24], out[1]
+    assert np.corrcoef(a.ravel(), b.ravel())[0, 1] > 0.97
