@@ -59,6 +59,14 @@ for _op, _sign in (("add", "+"), ("sub", "-"), ("mul", "*"), ("div", "/")):
             "a.value AS av, b.value AS bv", "a AS a, b AS b"
         ),
     )
+    simple(
+        f"image_pair_{_op}_all",  # image 2k with image 2k + 1
+        lambda i, o=_op: op.arithmetic_images(
+            i.filter("image_id % 2 = 0").withColumn("image_id", F.expr("image_id div 2")), i.filter("image_id % 2 = 1").withColumn("image_id", F.expr("image_id div 2")), o
+        ),
+        f"CASE WHEN {int(_op == 'div')} = 1 AND b = 0 THEN NULL ELSE a {_sign} b END",
+        source="(SELECT a.image_id // 2 AS image_id, a.voxel_id, a.value AS a, b.value AS b FROM L a JOIN L b ON b.image_id = a.image_id + 1 AND a.voxel_id = b.voxel_id WHERE a.image_id % 2 = 0)",
+    )
 simple("image_scalar_rsub", lambda i: op.arithmetic(i, "rsub", 1.0), "1.0::DOUBLE - value")
 simple("image_fisher_r_to_z", lambda i: op.map_values(i, lambda x: fisher_r_to_z(x / 2)), "atanh(value / 2)", source="L")
 simple("image_fisher_z_to_r", lambda i: op.map_values(i, fisher_z_to_r), "tanh(value)")

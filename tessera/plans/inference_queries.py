@@ -58,12 +58,28 @@ _ORDER = "(image_id * 7919 + replicate * (image_id % 31 + 1) * 104729) % 1000003
     FROM M o JOIN M s ON o.voxel_id = s.voxel_id AND o.replicate = 0 AND s.replicate > 0 GROUP BY o.voxel_id, o.m""",
 )
 def permutation_two_sample(spark, d):
-    i = images(spark, d).filter("label < 4")
+    return two_samples(images(spark, d).filter("label < 4"), F.col("label") < 2)
+
+
+def two_samples(i, first):
     image = F.col("id.image_id")
     mixed = (image * 7919 + F.col("replicate") * (image % 31 + 1) * 104729) % 1000003
     # a struct like the samples' own order, so that both can be one sort key
     order = F.struct(F.lit(False).alias("late"), mixed.alias("image_id"))
-    return rounded(op.two_sample_permutation(i, F.col("label") < 2, N, order), "stat", "p").withColumn("voxel_id", F.col("voxel_id").cast("long"))
+    return rounded(op.two_sample_permutation(i, first, N, order), "stat", "p").withColumn("voxel_id", F.col("voxel_id").cast("long"))
+
+
+@query(
+    "permutation_two_sample_all",
+    f"""WITH {LONG}, I AS (SELECT vec_id AS image_id, label < 5 AS first, embedding FROM embeddings), R AS (SELECT unnest(generate_series(0, {N})) AS replicate),
+    P AS (SELECT replicate, image_id, row_number() OVER (PARTITION BY replicate ORDER BY CASE WHEN replicate = 0 THEN CASE WHEN first THEN 0 ELSE 1 END ELSE {_ORDER} END, NOT first, image_id)
+          <= (SELECT count(*) FROM I WHERE first) AS one FROM I, R),
+    M AS (SELECT replicate, voxel_id, avg(value) FILTER (WHERE one) - avg(value) FILTER (WHERE NOT one) AS m FROM L JOIN P USING (image_id) GROUP BY ALL)
+    SELECT o.voxel_id, round(o.m, 6) + 0.0 AS stat, round((count(*) FILTER (WHERE abs(s.m) >= abs(o.m) - 1e-12) + 1) / {N + 1}.0::DOUBLE, 6) + 0.0 AS p
+    FROM M o JOIN M s ON o.voxel_id = s.voxel_id AND o.replicate = 0 AND s.replicate > 0 GROUP BY o.voxel_id, o.m""",
+)
+def permutation_two_sample_all(spark, d):
+    return two_samples(images(spark, d), F.col("label") < 5)
 
 
 @query(

@@ -125,6 +125,16 @@ def column_correlations(spark, d):
     return op.column_correlations(long, "image_id", "voxel_id", "value").select(F.col("i").cast("long"), F.col("j").cast("long"), r6(F.col("r")).alias("r"))
 
 
+@query(
+    "column_correlations_all",
+    f"""WITH {LONG} SELECT a.voxel_id AS i, b.voxel_id AS j, round(corr(a.value, b.value), 6) + 0.0 AS r
+    FROM L a JOIN L b ON a.image_id = b.image_id AND a.voxel_id < b.voxel_id GROUP BY ALL""",
+)
+def column_correlations_all(spark, d):
+    long = explode_images(images(spark, d).select("image_id", "values"))
+    return op.column_correlations(long, "image_id", "voxel_id", "value").select(F.col("i").cast("long"), F.col("j").cast("long"), r6(F.col("r")).alias("r"))
+
+
 # a matrix for each market segment: orders' value from customer to supplier nation
 
 ADJ = """A AS (SELECT c_mktsegment AS matrix_id, least(c_nationkey, s_nationkey) AS i, greatest(c_nationkey, s_nationkey) AS j, sum(l_quantity) / 100 AS value

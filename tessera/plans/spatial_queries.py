@@ -148,8 +148,12 @@ def predict_weight_maps(spark, d):
     SELECT image_id, W.voxel_id, round((value - m) / s, 6) + 0.0 AS value FROM W JOIN S ON held = fold AND S.voxel_id = W.voxel_id""",
 )
 def cv_normalize(spark, d):
+    return normalized_by_fold(long(spark, d).filter("voxel_id < 8"))
+
+
+def normalized_by_fold(f):
     """Each fold's voxels by mean and deviation of the other folds: totals less the fold's own sums."""
-    f = long(spark, d).filter("voxel_id < 8").withColumn("fold", F.pmod("image_id", F.lit(5)))
+    f = f.withColumn("fold", F.pmod("image_id", F.lit(5)))
     own = f.groupBy("fold", "voxel_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
     whole = Window.partitionBy("voxel_id")
     rest = own.select("fold", "voxel_id", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ("n", "s", "q")])
@@ -159,6 +163,16 @@ def cv_normalize(spark, d):
     return rounded(scaled, "value")
 
 
+@query(
+    "cv_normalize_all",
+    f"""WITH {LONG}, W AS (SELECT *, image_id % 5 AS fold FROM L), F AS (SELECT fold AS held, voxel_id FROM W GROUP BY ALL),
+    S AS (SELECT held, F.voxel_id, avg(value) AS m, stddev_pop(value) AS s FROM F JOIN W ON W.voxel_id = F.voxel_id AND W.fold <> held GROUP BY ALL)
+    SELECT image_id, W.voxel_id, round((value - m) / s, 6) + 0.0 AS value FROM W JOIN S ON held = fold AND S.voxel_id = W.voxel_id""",
+)
+def cv_normalize_all(spark, d):
+    return normalized_by_fold(long(spark, d))
+
+
 # simulation
 
 

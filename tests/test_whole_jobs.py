@@ -65,3 +65,26 @@ def test_regions_of_unequal_subjects_are_aligned(spark):
     assert {s: x.shape for s, x in out.items()} == {0: (30, 3), 1: (24, 3), 2: (30, 3)}
     a, b = out[0][:24], out[1]
     assert np.corrcoef(a.ravel(), b.ravel())[0, 1] > 0.97
+
+
+def test_pairs_normalisation_and_groups_of_whole_tables(spark, embeddings):
+    _, label, v = embeddings
+    got = registry.QUERIES["image_pair_sub_all"](spark, TINY).toPandas().sort_values(["image_id", "voxel_id"])
+    np.testing.assert_allclose(got["value"], (v[0::2] - v[1::2]).ravel(), atol=1e-6)
+    got = registry.QUERIES["column_correlations_all"](spark, TINY).toPandas().sort_values(["i", "j"])
+    np.testing.assert_allclose(got["r"], np.corrcoef(v.T)[np.triu_indices(64, 1)], atol=1e-6)
+    got = registry.QUERIES["cv_normalize_all"](spark, TINY).toPandas().sort_values(["image_id", "voxel_id"])
+    fold = np.arange(len(v)) % 5
+    want = np.stack([(x - v[fold != f].mean(axis=0)) / v[fold != f].std(axis=0) for x, f in zip(v, fold, strict=True)])
+    np.testing.assert_allclose(got["value"], want.ravel(), atol=1e-6)
+    got = registry.QUERIES["permutation_two_sample_all"](spark, TINY).toPandas().sort_values("voxel_id")
+    np.testing.assert_allclose(got["stat"], v[label < 5].mean(axis=0) - v[label >= 5].mean(axis=0), atol=1e-6)
+
+
+def test_pairs_of_all_customers(spark):
+    c = pq.read_table(f"{TINY}/customer.parquet").to_pandas()
+    rows = list(c[["c_nationkey", "c_custkey", "c_mktsegment"]].itertuples(index=False))
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] < y[1] and x[2] != y[2]}
+    got = {(r["ka"], r["kb"]) for r in registry.QUERIES["transform_pairs_all"](spark, TINY).collect()}
+    assert got == want
+    assert any(k % 4 for pair in want for k in pair)
