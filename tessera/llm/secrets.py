@@ -2,9 +2,10 @@
 
 One scan of the texts finds base spans (key assignments, access ids, long hex runs) and further
 candidates: long tokens of mixed letters and digits without any such sign. All candidates' hashes are
-counted over the corpus by distinct repositories and distinct owners. A value that many owners hold
-is a widely copied example; one that few hold is specific to them and looks live. Live candidates
-that no base span covers become spans of kind `token`.
+counted over the corpus by distinct repositories and distinct owners. A value that many owners hold,
+or that is in many repositories, even those of one owner, is a widely copied example; one that is in
+few repositories of few owners is specific to them and looks live. Live candidates that no base span
+covers become spans of kind `token`.
 
 The scan keeps hashes and places, never the values, in the shared folder; texts are not shuffled.
 Counts sum within each task before their shuffle, and the join back to the places is one that
@@ -28,6 +29,8 @@ KINDS = ("assign", "access", "hex", "token")
 
 #: A value held by more distinct owners than this is a widely copied example.
 MAX_OWNERS = 2
+#: So is a value in more distinct repositories than this, however few their owners.
+MAX_REPOS = 10
 
 
 def _found(kind: int, pattern: str, value_group: int = 0) -> tuple[Column, Column, Column]:
@@ -102,19 +105,21 @@ def _joined(spans: Column) -> Column:
 
 
 def find_secrets(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str | None = None, max_owners: int = MAX_OWNERS
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str | None = None, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS
 ) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, one row per input row.
 
     spans holds the base spans and the live `token` spans. n_live and n_example count all candidates
-    by what the corpus says of their values. Without a `repo` column each document is a repository. Null or empty text:
+    by what the corpus says of their values: live are those of at most `max_owners` owners and at most
+    `max_repos` repositories. Without a `repo` column each document is a repository. Null or empty text:
     no span. A null id is carried; rows that repeat an id are each scanned. Spans that start together
     are in the order of KINDS. Other columns are not read. Empty table: empty result.
     """
     candidates = save(scan(docs, doc_id, text, owner, repo), "candidates")
-    owners = save(ownership(candidates).select(F.col("value").alias("known"), "n_owners"), "owners")
+    owners = save(ownership(candidates).withColumnRenamed("value", "known"), "owners")
     some = candidates.filter("kind IS NOT NULL")
-    judged = some.join(owners, some["value"] == owners["known"], "left").withColumn("live", F.col("n_owners") <= max_owners)
+    few = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    judged = some.join(owners, some["value"] == owners["known"], "left").withColumn("live", few)
     base = F.col("kind") < 3
     before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     after = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -152,6 +157,7 @@ def _sql_kind(kind: int, pattern: str, group: int) -> str:
     )
 
 
+#: Judges by owners alone: the same results as long as no value of few owners is in more than MAX_REPOS documents.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 k AS ({" UNION ALL ".join(_sql_kind(n, p, 2 * (n == 0)) for n, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN)))}),

@@ -444,6 +444,19 @@ def test_secrets_widely_copied_values_are_examples(spark):
     assert got[0]["spans"] == "" and got[0]["n_example"] == 1 and got[9]["spans"] == "token:4:28" and got[9]["n_live"] == 1
 
 
+def test_secrets_in_many_repositories_of_few_owners_are_examples(spark):
+    copied, few, own = "Abcdefgh12345678IJKLmnop", "Qrstuvwx12345678YZABcdef", "Zyxwvuts98765432MNOPqrst"
+    many = secrets.MAX_REPOS + 1
+    rows = [(k, f"see {copied}", f"owner{k % 2}") for k in range(many)] + [(100 + k, f"see {few}", "owner0") for k in range(many - 1)]
+    rows += [(200, f"token={copied} {own}", "owner0"), *[(300, f"see {own}", "owner0")] * (2 * many)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all((got[k]["spans"], got[k]["n_live"], got[k]["n_example"]) == ("", 0, 1) for k in range(many))
+    assert all((got[100 + k]["spans"], got[100 + k]["n_live"]) == ("token:4:28", 1) for k in range(many - 1))
+    # a base span stays, and rows of one document are one repository
+    assert (got[200]["spans"], got[200]["n_live"], got[200]["n_example"]) == ("assign:0:30,token:31:55", 1, 1)
+    assert got[300]["spans"] == "token:4:28"
+
+
 def test_mixing_matches_sql(spark, tmp_path):
     against_sql(spark, mixing.mix(table(spark, "documents")).drop("source"), mixing.ORACLE_SQL, ["documents"])
     # one source so small that its target is capped, and a null one
