@@ -2,10 +2,14 @@
 
 A document's words come from a mixture of languages. Each word has a likelihood in each language, the
 product over its byte trigrams (with its edges marked) of their learned probabilities.
-Expectation-maximisation over the words finds the proportions of a set of languages. Sets grow from
-the best one by the next largest proportion, and the set is kept whose log-likelihood, less a penalty
-of `penalty` * log(words) for each further language, is largest. The prediction is that set's
-largest proportion, which is also the score.
+Expectation-maximisation over the words finds the proportions of a set of languages, until the
+log-likelihood is within SETTLED of its maximum. Sets grow from the best one by the next largest
+proportion up to all languages, and the set is kept whose log-likelihood, less a penalty of `penalty` *
+log(words) for each further language, is largest. The prediction is that set's largest proportion,
+which is also the score.
+
+No mixture is likelier than an upper bound that each round gives, so a document is left as soon as no
+larger set can pay its penalty.
 
 Trigram counts cover all training documents: tasks count in arrays of BUCKETS numbers for each
 language, and the sums, a row for each language and bucket at most, make the model.
@@ -25,9 +29,9 @@ from .common import remainder
 from .words import slabs, word_bounds
 
 BUCKETS = 1 << 14
-SMOOTH, LARGEST_SET, PENALTY = 0.5, 3, 3.0
-#: EM rounds with all languages, and with each smaller set from what those gave.
-ROUNDS, SET_ROUNDS = 8, 5
+SMOOTH, PENALTY = 0.5, 3.0
+#: Nats that a document's log-likelihood may at most lack when EM ends.
+SETTLED = 0.01
 #: Words seen in no training text say little: a word's likelihood ratios are held within this many nats.
 WORD_LIMIT = 12.0
 
@@ -97,23 +101,41 @@ def train(docs: DataFrame, allowed: Column) -> Model:
     return Model([langs[k] for k in order], table)
 
 
-def _proportions(like: np.ndarray, row: np.ndarray, words: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def _proportions(like: np.ndarray, words: np.ndarray, share: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM for all documents of a slab at once, from `share`; a language at 0 stays there.
 
-    Returns the proportions and the documents' log-likelihoods.
+    A document ends within SETTLED of its largest log-likelihood, or when that is known to be no more than
+    its `bar`. Returns the proportions, the documents' log-likelihoods and upper bounds of the largest.
     """
-    n = len(words)
-    for _ in range(rounds):
-        weighted = like * share[row]
-        weighted /= weighted.sum(axis=1, keepdims=True) + 1e-30
-        share = np.stack([np.bincount(row, weighted[:, k], n) for k in range(like.shape[1])], axis=1)
-        share = share / np.maximum(words, 1)[:, None]  # of no words at all, bincount gives whole numbers
-    total = np.log(np.einsum("ij,ij->i", like, share[row]) + 1e-30)
-    return share, np.bincount(row, total, n)
+    n_langs = like.shape[1]
+    share, fit, upper = share.copy(), np.zeros(len(words)), np.zeros(len(words))
+    docs = np.flatnonzero(words > 0)
+    at = np.repeat(np.arange(len(docs)), words[docs])  # words are in the order of their documents
+    while len(docs):
+        old, n = share[docs], words[docs]
+        mixed = np.einsum("ij,ij->i", like, old[at])
+        # by how much each proportion grows; the likelihood's maximum is at most n * log of the largest away
+        growth = np.stack([np.bincount(at, like[:, k] / mixed, len(docs)) for k in range(n_langs)], axis=1) / n[:, None]
+        fit[docs] = np.bincount(at, np.log(mixed), len(docs))
+        lacks = n * np.log(np.maximum(np.where(old > 0, growth, 0).max(axis=1), 1.0))
+        upper[docs] = fit[docs] + lacks
+        more = (lacks > SETTLED) & (upper[docs] > bar[docs])
+        share[docs[more]] = (old * growth)[more]
+        if not more.all():
+            keep = more[at]
+            like, at, docs = like[keep], (np.cumsum(more) - 1)[at[keep]], docs[more]
+    return share, fit, upper
 
 
 def infer(model: Model, data: np.ndarray, off: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """(language index, proportion) of each row of a slab."""
+    """(language index, proportion) of the largest part of each row of a slab."""
+    value = infer_sets(model, data, off, penalty)
+    lang = value.argmax(axis=1)
+    return lang, value[np.arange(len(value)), lang]
+
+
+def infer_sets(model: Model, data: np.ndarray, off: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
+    """The proportions of each row of a slab (rows by languages); languages outside the row's set are 0."""
     n, n_langs = len(off) - 1, len(model.langs)
     start, end, first = word_bounds(data, off)
     with np.errstate(over="ignore"):
@@ -123,21 +145,26 @@ def infer(model: Model, data: np.ndarray, off: np.ndarray, penalty: float = PENA
     logs = np.stack([np.add.reduceat(model.table[bucket, k], at[:-1]) for k in range(n_langs)], axis=1) if len(row) else np.zeros((0, n_langs))
     logs = np.maximum(logs - logs.max(axis=1, keepdims=True), -WORD_LIMIT) if len(row) else logs
     like = np.exp(logs)
-    share, _ = _proportions(like, row, words, np.full((n, n_langs), 1 / n_langs), ROUNDS)
     fits = np.stack([np.bincount(row, logs[:, k], n) for k in range(n_langs)], axis=1)  # of one language alone
-    lang = fits.argmax(axis=1)
     best, value = fits.max(axis=1), np.zeros((n, n_langs))
-    value[np.arange(n), lang] = 1.0
+    value[np.arange(n), fits.argmax(axis=1)] = 1.0
+    cost = penalty * np.log(np.maximum(words, 2))
+    share, whole, upper = _proportions(like, words, np.full((n, n_langs), 1 / n_langs), best + cost)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
-    for size in range(2, min(LARGEST_SET, n_langs) + 1):
-        begun = np.where(rank < size, np.maximum(share, 1e-3), 0)
-        own, fit = _proportions(like, row, words, begun / begun.sum(axis=1, keepdims=True), SET_ROUNDS)
-        fit = fit - penalty * (size - 1) * np.log(np.maximum(words, 2))
-        better = fit > best
-        best = np.where(better, fit, best)
-        value[better] = own[better]
-    lang = value.argmax(axis=1)
-    return lang, value[np.arange(n), lang]
+    for size in range(2, n_langs + 1):
+        can = upper - cost * (size - 1) > best
+        docs = np.flatnonzero(can)
+        if size < n_langs:
+            begun = np.where(rank[docs] < size, np.maximum(share[docs], 1e-3), 0)
+            begun /= begun.sum(axis=1, keepdims=True)
+            own, fit, _ = _proportions(like[can[row]], words[docs], begun, best[docs] + cost[docs] * (size - 1))
+        else:
+            own, fit = share[docs], whole[docs]
+        fit = fit - cost[docs] * (size - 1)
+        better = fit > best[docs]
+        best[docs[better]] = fit[better]
+        value[docs[better]] = own[better]
+    return value
 
 
 def _predict(model: Model):
@@ -146,32 +173,44 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
-            names, scores = [], []
+            names, scores, members, parts, sizes = [], [], [], [], [np.zeros(1, np.int64)]
             for lo, hi, data, off in slabs(texts):
                 letters = np.add.reduceat(np.append(_ASCII_LETTER[data], False), off[:-1]) * (np.diff(off) > 0)
                 none = [k for k in np.flatnonzero(letters == 0) if not any(c.isalpha() for c in texts[lo + int(k)].as_py() or "")]
-                lang, score = infer(model, data, off) if model.langs else (np.zeros(hi - lo, np.int64), np.zeros(hi - lo))
-                lang[none], score[none] = len(model.langs), 0.0
-                names += langs[lang].tolist()
-                scores.append(np.clip(score, 0, 1))
+                value = infer_sets(model, data, off) if model.langs else np.zeros((hi - lo, 1))
+                value[none] = 0.0
+                # largest first; equal ones in the order of the languages
+                order = np.argsort(-value, axis=1, kind="stable")
+                sorted_ = np.clip(np.take_along_axis(value, order, axis=1), 0, 1)
+                names += langs[np.where(sorted_[:, 0] > 0, order[:, 0], len(model.langs))].tolist()
+                scores.append(sorted_[:, 0])
+                inside = sorted_ > 0
+                members += langs[order[inside]].tolist()
+                parts.append(sorted_[inside])
+                sizes.append(inside.sum(axis=1))
+            off = pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32))
+            joined = lambda x: pa.array(np.concatenate(x) if x else [], pa.float64())
+            lists = [pa.ListArray.from_arrays(off, pa.array(members, pa.string())), pa.ListArray.from_arrays(off, joined(parts))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [batch.column(0), batch.column(1), pa.array(names, pa.string()), joined(scores), *lists],
+                names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"],
             )
 
     return run
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of docs(doc_id, text, lang).
+    """doc_id, held_out, lang_pred, score, languages and proportions of every row of docs(doc_id, text, lang).
+
+    languages is the inferred set, largest proportion first; lang_pred and score are its first.
 
     Learns from ids whose crc32 modulo 4 is not 2, with text and language; those with 2 are held out.
     lang_pred is `und`, score 0, where the text is null or has no letter (str.isalpha), or where
-    nothing could be learned. Equal proportions go to the language first in order. A null id is not held out
+    nothing could be learned; the set is empty then. Equal proportions go to the language first in order. A null id is not held out
     and teaches nothing. Rows that repeat an id each count. Empty table: empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     model = train(rows, remainder() != 2)
     return rows.select("doc_id", (remainder() == 2).alias("held_out"), "text").mapInArrow(
-        _predict(model), "doc_id long, held_out boolean, lang_pred string, score double"
+        _predict(model), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>"
     )

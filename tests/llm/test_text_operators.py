@@ -323,6 +323,51 @@ def test_language_finds_both_parts_of_a_mixture(spark):
     assert model.langs[lang[0]] in ("en", "de") and 0.3 < share[0] < 0.7
 
 
+def test_language_sets_of_mixtures(spark):
+    docs = table(spark, "documents")
+    model = language.train(docs.select("doc_id", "text", "lang"), F.lit(True))
+    text = {r["lang"]: r["text"][:600] for r in docs.filter("n_chars > 900 AND lang IS NOT NULL").collect()}
+    langs = sorted(text)
+    assert len(langs) == 4
+    picks = [langs[:k] for k in (1, 2, 3, 4)] + [[langs[0], *langs]]
+    rows = [(10**9 + k, " ".join(text[x] for x in p), None) for k, p in enumerate(picks)]
+    more = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in language.identify(more).filter("doc_id >= 1000000000").collect()}
+    for k, p in enumerate(picks):
+        r = got[10**9 + k]
+        assert sorted(r["languages"]) == sorted(set(p)) and abs(sum(r["proportions"]) - 1) < 1e-6
+        assert all(abs(x - p.count(name) / len(p)) < 0.1 for name, x in zip(r["languages"], r["proportions"], strict=True))
+        assert (r["lang_pred"], r["score"]) == (r["languages"][0], r["proportions"][0])
+    # against long EM for each set, one document at a time, of mixtures small and large
+    cuts = [" ".join(text[x][:size] for x in p) for p in picks for size in (12, 60, 250, 600)]
+    data = [c.encode() for c in cuts]
+    value = language.infer_sets(model, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for own, c in zip(value, data, strict=True):
+        word = np.frombuffer(c, np.uint8)
+        start, end, _ = language.word_bounds(word, np.array([0, len(c)]))
+        with np.errstate(over="ignore"):
+            bucket, at = language.trigrams(word, start, end)
+        logs = np.add.reduceat(model.table[bucket], at[:-1], axis=0)
+        like = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -language.WORD_LIMIT))
+
+        def fitted(share, like=like):
+            for _ in range(3000):
+                w = like * share
+                share = (w / w.sum(axis=1, keepdims=True)).mean(axis=0)
+            return share, np.log(like @ share).sum()
+
+        full = fitted(np.full(4, 0.25))[0]
+        tried = []
+        for size in (1, 2, 3, 4):
+            share = np.zeros(4)
+            share[np.log(like).sum(axis=0).argmax() if size == 1 else np.argsort(-full)[:size]] = 1 / size
+            share, fit = fitted(share)
+            tried.append((fit - language.PENALTY * (size - 1) * np.log(max(len(like), 2)), share))
+        ranked = sorted(t[0] for t in tried)
+        if ranked[-1] - ranked[-2] > 2 * language.SETTLED:
+            np.testing.assert_allclose(own, max(tried, key=lambda t: t[0])[1], atol=0.02)
+
+
 # top-k
 
 
