@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -407,7 +408,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="<p>no</p>";<
 
 
 def test_extract_keeps_the_article_alone():
-    assert extract.main_text(PAGE, np.zeros(extract.N_FEATURES)) == "A & B\nFirst line, of it all.\nSecond one.\nx"
+    assert extract.main_text(PAGE, extract.PRIOR) == "A & B\nFirst line, of it all.\nSecond one.\nx"
 
 
 def test_extract_over_pages(spark):
@@ -428,6 +429,35 @@ def test_extract_edges(spark):
     assert rows_of(extract.extract(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
 
+def test_extract_cut_decides_on_bare_markup(spark):
+    """On held-out pages without semantic elements or classes the cut turns labels of the odds, for the better."""
+    rows = [(r["page_id"], r["html"]) for r in table(spark, "pages").collect()]
+    rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
+    weight = extract.train(spark.createDataFrame(rows[:100], "page_id long, html string"))
+    turned = by_cut = by_odds = total = 0
+    for _, page in rows[100:]:
+        want = set(extract.main_text(page, weight).split("\n"))
+        bare = re.sub(r"<(/?)(?:nav|footer|article|header|aside)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", page))
+        blocks, odds, labels = extract.label_blocks(bare, weight)
+        truth = np.array([b.text in want for b in blocks])
+        signs, labels = odds >= 0, np.array(labels, bool)
+        turned, total = turned + int((labels != signs).sum()), total + len(truth)
+        by_cut, by_odds = by_cut + int((labels == truth).sum()), by_odds + int((signs == truth).sum())
+    assert turned and by_cut > by_odds and by_cut > 0.99 * total
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<p title="' * 100_000, "<a" * 100_000, "<button>" * 50_000, '<p title="' * 50_000 + ">", "<div>" * 50_000 + "</p>" * 50_000, "<h1>" * 30_000,
+     "<p><td><caption>" * 10_000 + "<hr>" * 10_000, "<p a='\">x" * 30_000, "<!--" * 100_000, "<svg>" * 50_000, "<div>x" * 20_000, "</" * 50_000],
+    ids=lambda page: page[:12],
+)
+def test_extract_takes_linear_time(page):
+    began = time.perf_counter()
+    extract.main_text(page, extract.PRIOR)
+    assert time.perf_counter() - began < 5  # each takes about a second or less; quadratic ways take minutes
+
+
 def test_min_cut_is_minimal():
     r = random.Random(3)
     for _ in range(300):
