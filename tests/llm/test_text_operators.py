@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -257,26 +258,54 @@ def test_token_store_round_trip(spark, odd, none):
     assert rows_of(token_store.encode_and_read(none, TOKENIZER)) == []
 
 
-def test_token_store_access_by_key(spark, tmp_path):
+def test_token_store_access_by_key(spark, tmp_path, monkeypatch):
     rows = [(k * 7, words(k % 30, k)) for k in range(300)]
-    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "store"), TOKENIZER)
+    path = str(tmp_path / "store")
+    token_store.write_store(spark.createDataFrame(rows, "doc_id long, text string"), path, TOKENIZER)
     tok = token_store.WordEncoder(open(TOKENIZER, encoding="utf-8").read()).tokenizer
-    got = {r["doc_id"]: r["ids"] for r in token_store.fetch(spark, str(tmp_path / "store"), [0, 7, 1400, 5, 10**12]).collect()}
+    got = {r["doc_id"]: r["ids"] for r in token_store.fetch(spark, path, [0, 7, 1400, 5, -3, 10**12]).collect()}
     assert got == {k: [*tok.encode(dict(rows)[k], add_special_tokens=False).ids, 1] for k in (0, 7, 1400)}
-    known = token_store.manifest(spark, str(tmp_path / "store")).cache()
-    assert known.agg(F.sum("n_docs")).first()[0] == 300
-    again = {r["doc_id"]: r["ids"] for r in token_store.fetch(spark, str(tmp_path / "store"), [0, 7, 1400, 5, 10**12], known).collect()}
-    assert again == got and token_store.fetch(spark, str(tmp_path / "store"), [10**12], known).count() == 0
+    known = token_store.manifest(spark, path).collect()
+    assert sum(r["n_docs"] for r in known) == 300 and [r["first_id"] for r in known] == sorted(r["first_id"] for r in known)
+
+
+def test_token_store_cuts_files_and_reads_ranges_alone(spark, tmp_path, monkeypatch):
+    """Files of a few records each, and a key costs about the same bytes in a store of any size."""
+    docs = spark.createDataFrame([(k, words(20, k)) for k in range(4000)] + [(17, "again")], "doc_id long, text string").coalesce(1)
+    tok = token_store.WordEncoder(open(TOKENIZER, encoding="utf-8").read()).tokenizer
+    costs = []
+    for name, n in (("small", 400), ("large", 4001)):
+        path = str(tmp_path / name)
+        token_store.write_store(docs.filter(F.col("doc_id") < n), path, TOKENIZER)
+        store = token_store.Store(spark, path)
+        for k in (3, 200, 399):
+            assert store.find(k).tolist() == [*tok.encode(words(20, k), add_special_tokens=False).ids, 1]
+        before = store.n_read
+        assert store.find(5) is not None and store.find(10**9) is None
+        costs.append(store.n_read - before)
+    assert max(costs) < 1000
+    run = token_store._shard_records(open(TOKENIZER, encoding="utf-8").read())
+    monkeypatch.setattr(token_store, "SLICE_BYTES", 2000)
+    monkeypatch.setattr(token_store, "FILE_RECORDS", 4)
+    monkeypatch.setattr(token_store, "FILE_DOCS", 40)
+    monkeypatch.setattr(token_store, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    table_ = docs.orderBy("doc_id", "text").limit(200).toArrow()
+    records = [b["value"][0].as_py() for b in run(iter(table_.to_batches(max_chunksize=50)))]
+    files = [b"".join(x + b"\n" for x in records[k : k + 4]) for k in range(0, len(records), 4)]
+    assert len(files) > 3
+    read = [(int(i), s.read(e).tolist()) for f in files for s in [token_store.Shard(token_store.Content(f))] for i, _, e in zip(*s.documents(), strict=True)]
+    assert read == [(r["doc_id"], [*tok.encode(r["text"], add_special_tokens=False).ids, 1]) for r in table_.to_pylist()]
 
 
 def test_word_encoder_changes_no_id(monkeypatch):
     monkeypatch.setattr(token_store, "CACHE_WORDS", 50)
     encoder, r = token_store.WordEncoder(open(TOKENIZER, encoding="utf-8").read()), random.Random(5)
-    parts = [*"abcXYZéÉßİΣς'’.,!?#$%&*|<>-_()[]\"0129 \n\t\r\xa0…«日本́", "<|endoftext|>", "<|ENDOFTEXT|>", "it's", "'S"]
+    parts = [*"abcXYZéÉßİΣςªµĸŉſ'’.,!?#$%&*|<>-_()[]\"0129 \n\t\r\xa0…«日本́", "<|endoftext|>", "<|ENDOFTEXT|>", "it's", "'S"]
     for _ in range(2000):
         text = "".join(r.choice(parts) for _ in range(r.randrange(25)))
-        ids = np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist()
-        assert ids == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+        payload, count = encoder.encode(pa.array([text, None, text]))
+        ids = [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        assert np.frombuffer(payload, "<u2").tolist() == [*ids, 1, *ids] and count.tolist() == [len(ids), 1, len(ids)], text
 
 
 def test_perfect_hash_is_minimal():
