@@ -405,6 +405,20 @@ def test_topk_matches_sql(spark):
     against_sql(spark, topk.top_k(table(spark, "embeddings"), F.col("vec_id") % 100 == 0), topk.ORACLE_SQL, ["embeddings"])
 
 
+def test_topk_with_many_blocks_has_one_plan(spark, monkeypatch):
+    """50 blocks in several groups, broadcast or shuffled, give what one block gives, by a plan of the same size."""
+    vectors = table(spark, "embeddings")
+    whole = topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+    want, size = sorted(rows_of(whole)), whole._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    monkeypatch.setattr(topk, "QUERY_BLOCK", max(1, vectors.filter("vec_id % 100 = 0").count() // 50))
+    for group, limit in ((1000, 1 << 30), (8, 0)):
+        monkeypatch.setattr(topk, "GROUP", group)
+        monkeypatch.setattr(topk, "BROADCAST_BYTES", limit)
+        got = topk.top_k(vectors, F.col("vec_id") % 100 == 0)
+        assert sorted(rows_of(got)) == want
+        assert abs(got._jdf.queryExecution().optimizedPlan().toString().count("\n") - size) <= 2
+
+
 def test_topk_edges(spark, monkeypatch):
     r = random.Random(3)
     rows = [(k, [r.choice([-0.5, 0.25, 1.0]) for _ in range(6)], 0) for k in range(120)]
