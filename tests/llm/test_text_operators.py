@@ -176,6 +176,13 @@ def test_decontaminate_matches_sql(spark):
     against_sql(spark, got, decontaminate.ORACLE_SQL, ["documents", "benchmark"])
 
 
+def test_decontaminate_by_joins_matches_the_index(spark, monkeypatch):
+    docs, bench = table(spark, "documents"), table(spark, "benchmark")
+    want = sorted(rows_of(decontaminate.contaminated(docs, bench)))
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", 0)
+    assert sorted(rows_of(decontaminate.contaminated(docs, bench))) == want and len(want) > 0
+
+
 def test_decontaminate_edges(spark, odd, none, monkeypatch):
     items = [(10, "One TWO three"), (11, None), (12, ""), (13, words(40, 3)), (13, words(40, 3)), (None, "two three"), (14, "no such item at all here")]
     items += [(20 + k, edited(words(40, 2), k, k)) for k in range(6)]
@@ -192,10 +199,13 @@ def test_decontaminate_edges(spark, odd, none, monkeypatch):
                     out.append((d["doc_id"], i, len(own), shared))
         return sorted(out, key=str)
 
-    for block in (8 << 20, 1):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    bad = {k for k, d in enumerate(odd.collect()) if any(p[0] == d["doc_id"] for p in plain())}
+    for size in (8 << 20, 1):  # as one index, and as a table
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", size)
         got = decontaminate.contaminated(odd, bench).drop("containment")
         assert sorted(rows_of(got), key=str) == plain()
+        want = [tuple(d) for k, d in enumerate(odd.collect()) if k not in bad]
+        assert None in {p[0] for p in plain()} and sorted(rows_of(decontaminate.clean(odd.withColumn("row", F.lit(1)), bench).drop("row")), key=str) == sorted(want, key=str)
     assert rows_of(decontaminate.contaminated(none, bench)) == [] == rows_of(decontaminate.contaminated(odd, bench.limit(0)))
     clean = decontaminate.clean(odd, bench)
     assert clean.columns == odd.columns and {6, 7, 9}.isdisjoint({r["doc_id"] for r in clean.collect()})
