@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +39,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 
 class Scratch:
-    """Saved tables of one operator's run that nothing needs once its result is saved."""
+    """Saved tables of one operator's run that nothing needs once its result is saved; dropped when the block ends, also by an error."""
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.folder, self.n = spark, new_path(spark, label), 0
@@ -52,7 +50,10 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self) -> None:
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -66,18 +67,6 @@ def drop_saved(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows for the actions inside: long rows then take less memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; lower() is the quick way where every character is ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

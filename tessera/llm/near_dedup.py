@@ -1,4 +1,4 @@
-"""MinHash near-dedup by a multi-index Hamming join of b-bit signatures.
+r"""MinHash near-dedup by a multi-index Hamming join of b-bit signatures.
 
 A document's set is its distinct five-word shingles (words.py says what a word is). Its signature
 is K MinHash values of which 16 bits each are kept. Two signatures differ in few symbols when the
@@ -14,13 +14,18 @@ sets are alike, so the join looks for all pairs within `errors` differing symbol
 Bounds on work. Equal sets are one class first, so copies never meet each other. Each bucket then
 links its members to its smallest member alone (a star), and links make components. Buckets whose
 members have not all come into one component are open: pairs across their components may still be
-linked. Such pairs must share one of the rarest shingles of either set (the prefix principle: with
-shingles in one order, rarest first, two sets at the threshold meet within the first
-size - ceil(threshold * size) + 1 of both). So the members of open buckets meet again by those
-shingles, once in stars around the member with the fewest shingles of its own, then, for what is
-still in different components, pair by pair, where sizes and places allow the threshold at all. Groups of near
-copies never make all their pairs, and no link between different components is lost. Every pair within the
-signature limit is confirmed on the full sets, made again from both texts.
+linked. Buckets that share members are a region, and the shingles of more than half of its members are its
+reference h. A member x is known by its difference from h, d(x) = h \ x with x \ h, and for two members
+
+    |x & y| = |h| - |h \ x| - |h \ y| + |d(x) & d(y)|
+
+So two members are linked if and only if their differences share as many shingles as their sizes ask for. Where
+that is none, both are linked with the region's nearest member to h. Any other linked pair meets MEETINGS times,
+or as often as it must share, within the first of both differences, rarest in the region first (the prefix
+principle); pairs that do, in different components, are compared by their differences. Documents of one template
+that all differ a little too much from each other share few shingles of their differences, so such a family has
+few pairs compared, not all; documents far from h meet as they would without it. No link between different
+components is lost. Every link is confirmed on the full sets: from both texts, or by the equation above.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ from .words import mix, shingles_of
 
 K = 64
 MISS = 1e-6
+#: Shingles of their differences that a pair must share among the first, at most.
+MEETINGS = 16
 #: Pairs verified at a time in a task.
 SLICE = 256
 
@@ -141,18 +148,20 @@ def within_batches(errors: int):
     return run
 
 
+def sets_of(column: pa.Array) -> list[np.ndarray]:
+    """Each text's sorted distinct shingle hashes."""
+    return [np.unique(h[x:y]) for _, _, h, off in shingles_of(column) for x, y in zip(off[:-1], off[1:], strict=True)]
+
+
 def confirm_batches(percent: int):
     """A filter of (a, b, text_a, text_b) to the pairs whose full sets reach the threshold."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        return [np.unique(h[x:y]) for _, _, h, off in shingles_of(column) for x, y in zip(off[:-1], off[1:], strict=True)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 keep = []
-                for x, y in zip(sets(part.column(2)), sets(part.column(3)), strict=True):
+                for x, y in zip(sets_of(part.column(2)), sets_of(part.column(3)), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -175,110 +184,158 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent:
     return scratch.save(checked.distinct(), f"{label}-links")
 
 
+DIFFERENCE = "region long, rep long, t long, size long, u long, tokens array<long>"
+
+
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, text) to (rep, size, token), a row for each distinct shingle."""
+    """(region, text) to (region, token), a row for each distinct shingle of each text."""
     for batch in batches:
         for lo, hi, hashes, off in shingles_of(batch.column(1)):
             sets, at = distinct_sets(hashes, off)
-            size = np.diff(at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), size)),
-                    pa.array(np.repeat(size, size)),
-                    pa.array(sets.view(np.int64)),
-                ],
-                names=["rep", "size", "token"],
-            )
-
-
-def rare_shingles(texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """token, rep, size, place: of each set's first size - ceil(percent % of size) + 1 shingles, rarest
-    first (by the number of sets here that hold them, then by hash), those that another set holds.
-
-    Shingles of one set alone only count as the places before these, so they are never sorted.
-    """
-    tokens = texts.mapInArrow(shingle_rows, "rep long, size long, token long")
-    shared = scratch.save(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
-    lists = (
-        tokens.join(shared, "token").groupBy("rep", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    )
-    own = F.col("size") - F.size("tokens")
-    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    rare = lists.withColumn("own", own).withColumn("take", (length - own).cast("int")).filter("take > 0")
-    return rare.select("rep", "size", "own", F.posexplode(F.slice("tokens", F.lit(1), F.col("take"))).alias("k", "t")).select(
-        F.col("t.token").alias("token"), "rep", "size", (F.col("own") + F.col("k")).alias("place")
-    )
+            regions = np.repeat(batch.column(0).slice(lo, hi - lo).to_numpy(), np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(regions), pa.array(sets.view(np.int64))], names=["region", "token"])
+
 
+def difference_batches(percent: int):
+    """(region, rep, t, text, reference) to DIFFERENCE: the shingles in the text or the reference alone, and `u`: two
+    members x and y of a region are linked if and only if (200 + 2 * percent) times the number of shingles that
+    their differences share is at least u(x) + u(y)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                u, tokens = [], []
+                for x, listed in zip(sets_of(part.column(3)), part.column(4), strict=True):
+                    h = np.sort(listed.values.to_numpy().view(np.uint64))
+                    both = len(np.intersect1d(x, h, assume_unique=True))
+                    u.append(2 * percent * len(x) - (100 + percent) * len(h) + 2 * (100 + percent) * (len(h) - both))
+                    tokens.append(np.setxor1d(x, h, assume_unique=True).view(np.int64))
+                size = [len(t) for t in tokens]
+                off = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate(tokens), pa.int64()))
+                columns = [*part.columns[:3], pa.array(size, pa.int64()), pa.array(u, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["region", "rep", "t", "size", "u", "tokens"])
 
-def _can_link(x: str, y: str, percent: int):
-    """Whether sets that first meet at these places can reach the threshold."""
-    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    shared = F.least(F.col(f"{x}.size") - F.col(f"{x}.place"), F.col(f"{y}.size") - F.col(f"{y}.place"))
-    return (100 * small >= percent * large) & (100 * shared >= percent * (small + large - shared))
+    return run
 
 
-def _with_components(rare: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """rare with each rep's component, of the tokens that more than one component holds; saved."""
-    placed = rare.join(labels, rare["rep"] == labels["node"], "left").select("token", "rep", "size", "place", F.coalesce("comp", "rep").alias("comp"))
-    placed = scratch.save(placed, "placed")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("token")
-    return scratch.save(placed.join(scratch.save(mixed, "mixed"), "token", "left_semi"), "open")
+def differences_of(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """members(region, rep, t, text) to their differences from their regions' references, with `inside`: linked with
+    the region's nearest member, `nearest`. A reference is at most twice as large as its region's mean set."""
+    n = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    counted = members.select("region", "text").mapInArrow(shingle_rows, "region long, token long").groupBy("region", "token").agg(F.count(F.lit(1)).alias("df"))
+    most = counted.filter("df > 1").join(n, "region").filter("2 * df > n").groupBy("region").agg(F.collect_list("token").alias("reference"))
+    none = F.array().cast("array<long>")
+    both = members.join(scratch.save(most, "references"), "region", "left").select("region", "rep", "t", "text", F.coalesce("reference", none).alias("reference"))
+    found = scratch.save(both.mapInArrow(difference_batches(percent), DIFFERENCE), "differences")
+    nearest = found.groupBy("region").agg(F.min(F.struct("u", "rep")).alias("first"))
+    return found.join(nearest, "region").select(
+        *found.columns, F.col("first.rep").alias("nearest"), (F.col("u") + F.col("first.u") <= 0).alias("inside")
+    )
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Classes of documents linked by 100 * intersection >= percent * union of their shingle sets.
+def rare_differences(differences: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """region, token, rep, t, u, inside, place, near, far, must: the shingles of each difference that another one of
+    the region holds, by their place, rarest first, as far as a pair that is linked must have met `must` times. What
+    only one holds counts as the places before, and is never sorted.
 
-    Returns doc_id, n_shingles, component_id, kept, one row per input row. Null or empty text, or
-    one without words: no shingles, linked with nothing, a component of its own. A null id takes no
-    part: component_id null, kept false. Rows that share an id are texts of one document: a pair is
-    linked if any of their texts is. Exact ties at the threshold are linked. Other columns are not
-    carried, so clashing names do not matter. Empty table: empty result.
+    Pairs are of two members outside, or of one outside and one inside; `near` and `far` say whether the
+    place counts for either kind, and must_near and must_far how often such a pair must meet.
     """
-    errors = allowed_errors(percent)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scratch = Scratch(docs.sparkSession, "near-dedup")
-    sketch = save(rows.mapInArrow(sketch_batches, SKETCH), "sketch")
-    full = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save(
-        full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes"
+    tokens = differences.select("region", "rep", "t", F.explode("tokens").alias("token"))
+    shared = scratch.save(tokens.groupBy("region", "token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "shared")
+    lists = tokens.join(shared, ["region", "token"]).groupBy("region", "rep", "t").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("list"))
+    least = differences.filter("size > 0").groupBy("region").agg(
+        F.min(F.when(F.col("inside"), F.col("u"))).alias("u_in"), F.min(F.when(~F.col("inside"), F.col("u"))).alias("u_out")
+    )
+    share = {o: F.greatest(F.lit(1), F.ceil((F.col("u") + F.col(o)) / (200 + 2 * percent))) for o in ("u_in", "u_out")}  # at least
+    must = {o: F.coalesce(F.least(F.lit(MEETINGS), n), F.lit(0)).cast("int") for o, n in share.items()}
+    first = {o: F.coalesce(F.col("size") - n + must[o], F.lit(0)) for o, n in share.items()}  # none without such partners
+    inside = F.col("inside")
+    known = differences.drop("tokens", "nearest").join(least, "region").select(
+        *[c for c in differences.columns if c not in ("tokens", "nearest")],
+        F.when(inside, 0).otherwise(first["u_out"]).alias("near"),
+        F.when(inside, first["u_out"]).otherwise(first["u_in"]).alias("far"),
+        must["u_out"].alias("must_near"),
+        F.when(inside, must["u_out"]).otherwise(must["u_in"]).alias("must_far"),
     )
+    rows = lists.join(known, ["region", "rep", "t"]).withColumn("own", F.col("size") - F.size("list"))
+    rows = rows.withColumn("take", (F.greatest("near", "far") - F.col("own")).cast("int")).filter("take > 0")
+    kept = ("region", "rep", "t", "size", "u", "inside", "must_near", "must_far")
+    places = rows.select(*kept, "own", "near", "far", F.posexplode(F.slice("list", F.lit(1), F.col("take"))).alias("k", "at"))
+    place = F.col("own") + F.col("k")
+    return places.select(*kept, F.col("at.token").alias("token"), (place < F.col("near")).alias("near"), (place < F.col("far")).alias("far"))
+
+
+def _across(differences: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The links (a, b) between members in different components, by what their differences share."""
+    rare = rare_differences(differences, percent, scratch)
+    placed = rare.join(labels, rare["rep"] == labels["node"], "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
+    placed = scratch.save(placed, "rare")
+    x, y = placed.filter("NOT inside").alias("x"), placed.alias("y")
+    other = F.col("y.inside")
+    kinds = F.when(other, F.col("x.far") & F.col("y.far")).otherwise(F.col("x.near") & F.col("y.near") & (F.col("x.rep") < F.col("y.rep")))
+    met = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & kinds)
+    must = F.when(other, F.least("x.must_far", "y.must_far")).otherwise(F.least("x.must_near", "y.must_near"))
+    ends = [F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in "xy" for c in ("rep", "t")]
+    pairs = met.groupBy(F.col("x.region").alias("region"), *ends).agg(F.count(F.lit(1)).alias("n"), F.max(must).alias("must")).filter("n >= must")
+    pairs = scratch.save(pairs.drop("n", "must"), "pairs")
+    for end in "xy":
+        side = differences.select("region", F.col("rep").alias(f"rep_{end}"), F.col("t").alias(f"t_{end}"), F.col("u").alias(f"u_{end}"), F.col("tokens").alias(f"tokens_{end}"))
+        pairs = pairs.join(side, ["region", f"rep_{end}", f"t_{end}"])
+    both = F.size(F.array_intersect("tokens_x", "tokens_y"))
+    return pairs.filter((200 + 2 * percent) * both >= F.col("u_x") + F.col("u_y")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+
+
+def _components(rows: DataFrame, classes: DataFrame, percent: int, errors: int, scratch: Scratch) -> DataFrame:
+    """(node, comp) of the classes' representatives that are linked with any other."""
     keys = classes.select("rep", "sig").mapInArrow(key_batches(errors // 2 + 1), "rep long, key long")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").drop("last")
     buckets = scratch.save(keys.join(hubs, "key"), "buckets")
     members = buckets.select("rep").distinct()
-    texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "text")
+    texts = rows.join(members, rows["doc_id"] == members["rep"], "left_semi").select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("t"), "text")
     texts = scratch.save(texts, "texts")
 
     star = scratch.save(buckets.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "star")
     links = _confirmed(star, classes, texts, percent, errors, scratch, "star")
     labels = connected_components(links, scratch)
 
-    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    placed = buckets.join(labels, buckets["rep"] == labels["node"], "left").select("key", "hub", "rep", F.coalesce("comp", "rep").alias("comp"))
     placed = scratch.save(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("key")
-    waiting = placed.join(scratch.save(mixed, "mixed"), "key", "left_semi").select("rep").distinct()
-    rare = scratch.save(rare_shingles(texts.join(waiting, "rep", "left_semi"), percent, scratch), "rare")
-
-    x = _with_components(rare, labels, scratch).alias("x")
-    y = x.groupBy("token").agg(F.min(F.struct("place", "rep", "size", "comp")).alias("hub")).select(F.col("token").alias("at"), "hub.*")
-    y = scratch.save(y, "centres").alias("y")
-    near = x.join(y, (F.col("x.token") == F.col("y.at")) & (F.col("x.comp") != F.col("y.comp")) & _can_link("x", "y", percent))
-    centred = scratch.save(_ordered(near).join(star, ["a", "b"], "left_anti"), "centred")
-    links = scratch.save(links.union(_confirmed(centred, classes, texts, percent, errors, scratch, "centred")), "links")
-    labels = connected_components(links, scratch)
+    edges = placed.join(scratch.save(mixed, "mixed"), "key", "left_semi").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    regions = connected_components(scratch.save(edges, "open"), scratch)
+    if regions.isEmpty():
+        return labels
 
-    x = _with_components(rare, labels, scratch).alias("x")
-    y = x.alias("y")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & _can_link("x", "y", percent))
-    left = _ordered(across).join(star.union(centred), ["a", "b"], "left_anti")
-    more = _confirmed(left, classes, texts, percent, errors, scratch, "across")
-    labels = labels if more.isEmpty() else connected_components(links.union(more), scratch)
+    members = scratch.save(regions.join(texts, regions["node"] == texts["rep"]).select(F.col("comp").alias("region"), "rep", "t", "text"), "members")
+    differences = scratch.save(differences_of(members, percent, scratch), "members-differences")
+    inside = differences.filter("inside").select(F.col("nearest").alias("a"), F.col("rep").alias("b"))
+    across = scratch.save(_across(differences, labels, percent, scratch), "across")
+    return connected_components(scratch.save(links.union(inside).union(across), "links"), scratch)
 
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("comp", "rep").alias("component")
-    )
-    named = save(named, "named")  # all that the result needs besides the sketches
-    scratch.drop()
+
+def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Classes of documents linked by 100 * intersection >= percent * union of their shingle sets.
+
+    Returns doc_id, n_shingles, component_id, kept, one row per input row. Null or empty text, or
+    one without words: no shingles, linked with nothing, a component of its own. A null id takes no
+    part: component_id null, kept false. Rows that share an id are texts of one document: a pair is
+    linked if any of their texts is. Exact ties at the threshold are linked. Other columns are not
+    carried, so clashing names do not matter. Empty table: empty result.
+    """
+    errors = allowed_errors(percent)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    sketch = save(rows.mapInArrow(sketch_batches, SKETCH), "sketch")
+    full = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    with Scratch(docs.sparkSession, "near-dedup") as scratch:
+        classes = scratch.save(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
+        labels = _components(rows, classes, percent, errors, scratch)
+        named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
+            F.col("fp1").alias("c1"), F.col("fp2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("comp", "rep").alias("component")
+        )
+        named = save(named, "named")  # all that the result needs besides the sketches
     same = (sketch["fp1"] == named["c1"]) & (sketch["fp2"] == named["c2"]) & (sketch["n_shingles"] == named["cn"]) & sketch["doc_id"].isNotNull()
     return (
         sketch.drop("sig")
@@ -288,11 +345,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     )
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct (a, b) with a < b of pairs of x.rep and y.rep."""
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of docs of which one document per component stays, the one of the smallest id.
 

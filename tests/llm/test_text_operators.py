@@ -148,6 +148,28 @@ def test_near_dedup_matches_brute_force(spark, percent):
     assert sorted(rows_of(got)) == sorted(plain_components(rows, percent))
 
 
+def test_near_dedup_of_a_family_below_the_threshold_compares_few_pairs(spark, monkeypatch):
+    """Documents of one template, each 9 edits of 1000 words away: some pairs are just linked, most just not."""
+    base, rows = words(1000, 5).split(), []
+    for k in range(160):
+        r, own = random.Random(k), list(base)
+        for place in r.sample(range(1000), 9):
+            own[place] = f"new{r.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    rows += [(200, rows[3][1] + " and one more"), (201, rows[3][1]), (7, words(300, 9)), (202, words(300, 9) + " x")]
+    counts, save = {}, near_dedup.Scratch.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup.Scratch, "save", counted)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 86)
+    assert {(r["doc_id"], r["component_id"]) for r in got.collect()} == {(i, c) for i, _, c, _ in plain_components(rows, 86)}
+    assert counts["pairs"] < 160 * 159 / 8
+
+
 def test_near_dedup_matches_sql(spark):
     against_sql(spark, near_dedup.near_duplicates(table(spark, "documents")), near_dedup.ORACLE_SQL, ["documents"])
 
