@@ -20,9 +20,11 @@ reference h. A member x is known by its difference from h, d(x) = h \ x with x \
     |x & y| = |h| - |h \ x| - |h \ y| + |d(x) & d(y)|
 
 So two members are linked if and only if their differences share as many shingles as their sizes ask for. Where
-that is none, both are linked with the region's nearest member to h. Any other linked pair meets MEETINGS times,
-or as often as it must share, within the first of both differences, rarest in the region first (the prefix
-principle); pairs that do, in different components, are compared by their differences. Documents of one template
+that is none, both are linked with the region's nearest member to h. Any other linked pair meets up to MEETINGS times,
+but not more often than it must share, within the first of both differences, rarest in the region first (the prefix
+principle); the more places a pair may meet at, the more often it must. So members are compared with the nearest one, then with the centre of each shingle they meet
+at, which makes components of groups of near copies, and only pairs that are then still in
+different components are compared each, by their differences. Documents of one template
 that all differ a little too much from each other share few shingles of their differences, so such a family has
 few pairs compared, not all; documents far from h meet as they would without it. No link between different
 components is lost. Every link is confirmed on the full sets: from both texts, or by the equation above.
@@ -35,7 +37,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, save
@@ -44,8 +46,8 @@ from .words import mix, shingles_of
 
 K = 64
 MISS = 1e-6
-#: Shingles of their differences that a pair must share among the first, at most.
-MEETINGS = 16
+#: Shingles of their differences that a pair must share among the first, at most: one, and one more for each so many places.
+MEETINGS, PLACES = 16, 10
 #: Pairs verified at a time in a task.
 SLICE = 256
 
@@ -184,7 +186,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, percent:
     return scratch.save(checked.distinct(), f"{label}-links")
 
 
-DIFFERENCE = "region long, rep long, t long, size long, u long, tokens array<long>"
+DIFFERENCE = "region long, rep long, t long, size long, lacks long, whole long, u long, tokens array<long>"
 
 
 def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +199,8 @@ def shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def difference_batches(percent: int):
-    """(region, rep, t, text, reference) to DIFFERENCE: the shingles in the text or the reference alone, and `u`: two
+    """(region, rep, t, text, reference) to DIFFERENCE: the shingles in the text or the reference alone (`lacks` of
+    them in the reference; the text has `whole`), and `u`: two
     members x and y of a region are linked if and only if (200 + 2 * percent) times the number of shingles that
     their differences share is at least u(x) + u(y)."""
 
@@ -205,17 +208,19 @@ def difference_batches(percent: int):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                u, tokens = [], []
+                u, tokens, lacks, whole = [], [], [], []
                 for x, listed in zip(sets_of(part.column(3)), part.column(4), strict=True):
                     h = np.sort(listed.values.to_numpy().view(np.uint64))
                     both = len(np.intersect1d(x, h, assume_unique=True))
                     u.append(2 * percent * len(x) - (100 + percent) * len(h) + 2 * (100 + percent) * (len(h) - both))
                     tokens.append(np.setxor1d(x, h, assume_unique=True).view(np.int64))
+                    lacks.append(len(h) - both)
+                    whole.append(len(x))
                 size = [len(t) for t in tokens]
                 off = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(off, pa.array(np.concatenate(tokens), pa.int64()))
-                columns = [*part.columns[:3], pa.array(size, pa.int64()), pa.array(u, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["region", "rep", "t", "size", "u", "tokens"])
+                columns = [*part.columns[:3], *(pa.array(v, pa.int64()) for v in (size, lacks, whole, u)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["region", "rep", "t", "size", "lacks", "whole", "u", "tokens"])
 
     return run
 
@@ -229,14 +234,13 @@ def differences_of(members: DataFrame, percent: int, scratch: Scratch) -> DataFr
     none = F.array().cast("array<long>")
     both = members.join(scratch.save(most, "references"), "region", "left").select("region", "rep", "t", "text", F.coalesce("reference", none).alias("reference"))
     found = scratch.save(both.mapInArrow(difference_batches(percent), DIFFERENCE), "differences")
-    nearest = found.groupBy("region").agg(F.min(F.struct("u", "rep")).alias("first"))
-    return found.join(nearest, "region").select(
-        *found.columns, F.col("first.rep").alias("nearest"), (F.col("u") + F.col("first.u") <= 0).alias("inside")
-    )
+    nearest = found.groupBy("region").agg(F.min(F.struct("u", "rep", "t", "tokens")).alias("first"))
+    linked = (200 + 2 * percent) * F.size(F.array_intersect("tokens", "first.tokens")) >= F.col("u") + F.col("first.u")
+    return found.join(nearest, "region").select(*found.columns, F.col("first.rep").alias("nearest"), linked.alias("inside"))
 
 
 def rare_differences(differences: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """region, token, rep, t, u, inside, place, near, far, must: the shingles of each difference that another one of
+    """region, token, rep, t, sizes, u, inside, place, near, far, must_near, must_far: the shingles of each difference that another one of
     the region holds, by their place, rarest first, as far as a pair that is linked must have met `must` times. What
     only one holds counts as the places before, and is never sorted.
 
@@ -250,8 +254,9 @@ def rare_differences(differences: DataFrame, percent: int, scratch: Scratch) ->
         F.min(F.when(F.col("inside"), F.col("u"))).alias("u_in"), F.min(F.when(~F.col("inside"), F.col("u"))).alias("u_out")
     )
     share = {o: F.greatest(F.lit(1), F.ceil((F.col("u") + F.col(o)) / (200 + 2 * percent))) for o in ("u_in", "u_out")}  # at least
-    must = {o: F.coalesce(F.least(F.lit(MEETINGS), n), F.lit(0)).cast("int") for o, n in share.items()}
-    first = {o: F.coalesce(F.col("size") - n + must[o], F.lit(0)) for o, n in share.items()}  # none without such partners
+    some = {o: F.greatest(F.lit(1), 1 + F.floor((F.col("size") - n) / PLACES)) for o, n in share.items()}
+    must = {o: F.when(n.isNull() | F.col(o).isNull(), 0).otherwise(F.least(F.lit(MEETINGS), n, some[o])).cast("int") for o, n in share.items()}
+    first = {o: F.when(F.col(o).isNull(), 0).otherwise(F.col("size") - n + must[o]) for o, n in share.items()}  # none without such partners
     inside = F.col("inside")
     known = differences.drop("tokens", "nearest").join(least, "region").select(
         *[c for c in differences.columns if c not in ("tokens", "nearest")],
@@ -262,30 +267,61 @@ def rare_differences(differences: DataFrame, percent: int, scratch: Scratch) ->
     )
     rows = lists.join(known, ["region", "rep", "t"]).withColumn("own", F.col("size") - F.size("list"))
     rows = rows.withColumn("take", (F.greatest("near", "far") - F.col("own")).cast("int")).filter("take > 0")
-    kept = ("region", "rep", "t", "size", "u", "inside", "must_near", "must_far")
+    kept = ("region", "rep", "t", "size", "lacks", "whole", "u", "inside", "must_near", "must_far")
     places = rows.select(*kept, "own", "near", "far", F.posexplode(F.slice("list", F.lit(1), F.col("take"))).alias("k", "at"))
     place = F.col("own") + F.col("k")
-    return places.select(*kept, F.col("at.token").alias("token"), (place < F.col("near")).alias("near"), (place < F.col("far")).alias("far"))
+    return places.select(*kept, F.col("at.token").alias("token"), place.alias("place"), (place < F.col("near")).alias("near"), (place < F.col("far")).alias("far"))
 
 
-def _across(differences: DataFrame, labels: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """The links (a, b) between members in different components, by what their differences share."""
-    rare = rare_differences(differences, percent, scratch)
+def _mixed(rare: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """rare with each member's component, where a region's shingle is still held by several components; saved."""
     placed = rare.join(labels, rare["rep"] == labels["node"], "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
-    placed = scratch.save(placed, "rare")
-    x, y = placed.filter("NOT inside").alias("x"), placed.alias("y")
-    other = F.col("y.inside")
-    kinds = F.when(other, F.col("x.far") & F.col("y.far")).otherwise(F.col("x.near") & F.col("y.near") & (F.col("x.rep") < F.col("y.rep")))
-    met = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & kinds)
-    must = F.when(other, F.least("x.must_far", "y.must_far")).otherwise(F.least("x.must_near", "y.must_near"))
-    ends = [F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in "xy" for c in ("rep", "t")]
-    pairs = met.groupBy(F.col("x.region").alias("region"), *ends).agg(F.count(F.lit(1)).alias("n"), F.max(must).alias("must")).filter("n >= must")
-    pairs = scratch.save(pairs.drop("n", "must"), "pairs")
+    placed = scratch.save(placed, "placed-rare")
+    mixed = placed.groupBy("region", "token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most")
+    return scratch.save(placed.join(scratch.save(mixed.select("region", "token"), "mixed"), ["region", "token"], "left_semi"), "rare")
+
+
+def _linked(pairs: DataFrame, differences: DataFrame, percent: int, scratch: Scratch, label: str) -> DataFrame:
+    """The links (a, b) among pairs of members (region, rep_x, t_x, rep_y, t_y), by what their differences share; saved."""
+    pairs = scratch.save(pairs, f"{label}-pairs")
     for end in "xy":
         side = differences.select("region", F.col("rep").alias(f"rep_{end}"), F.col("t").alias(f"t_{end}"), F.col("u").alias(f"u_{end}"), F.col("tokens").alias(f"tokens_{end}"))
         pairs = pairs.join(side, ["region", f"rep_{end}", f"t_{end}"])
     both = F.size(F.array_intersect("tokens_x", "tokens_y"))
-    return pairs.filter((200 + 2 * percent) * both >= F.col("u_x") + F.col("u_y")).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+    found = pairs.filter((200 + 2 * percent) * both >= F.col("u_x") + F.col("u_y"))
+    return scratch.save(found.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), f"{label}-links")
+
+
+def _centred(rare: DataFrame) -> DataFrame:
+    """Pairs of each member and the centres, nearest to the reference, of the shingles that it holds."""
+    x = rare.alias("x")
+    y = rare.groupBy("region", "token").agg(F.min(F.struct("u", "rep", "t", "comp")).alias("at")).alias("y")
+    same = (F.col("x.region") == F.col("y.region")) & (F.col("x.token") == F.col("y.token"))
+    met = x.join(y, same & (F.col("x.comp") != F.col("y.at.comp")))
+    ends = [F.col("x.rep").alias("rep_x"), F.col("x.t").alias("t_x"), F.col("y.at.rep").alias("rep_y"), F.col("y.at.t").alias("t_y")]
+    return met.select(F.col("x.region").alias("region"), *ends).distinct()
+
+
+def _can_link(percent: int, must) -> Column:
+    """Whether x and y can be linked, by the sizes of their sets and of both parts of their differences, and by what
+    is left of both from one of the first `must` shingles that they share."""
+    small, large = F.least("x.whole", "y.whole"), F.greatest("x.whole", "y.whole")
+    share = F.least("x.lacks", "y.lacks") + F.least(F.col("x.size") - F.col("x.lacks"), F.col("y.size") - F.col("y.lacks"))
+    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + must - 1
+    return (100 * small >= percent * large) & ((200 + 2 * percent) * F.least(share, left) >= F.col("x.u") + F.col("y.u"))
+
+
+def _across(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components that meet as often as they must."""
+    x, y = rare.filter("NOT inside").alias("x"), rare.alias("y")
+    other = F.col("y.inside")
+    kinds = F.when(other, F.col("x.far") & F.col("y.far")).otherwise(F.col("x.near") & F.col("y.near") & (F.col("x.rep") < F.col("y.rep")))
+    must = F.when(other, F.least("x.must_far", "y.must_far")).otherwise(F.least("x.must_near", "y.must_near"))
+    same = (F.col("x.region") == F.col("y.region")) & (F.col("x.token") == F.col("y.token"))
+    met = x.join(y, same & (F.col("x.comp") != F.col("y.comp")) & kinds & _can_link(percent, must))
+    ends = [F.col(f"{end}.{c}").alias(f"{c}_{end}") for end in "xy" for c in ("rep", "t")]
+    pairs = met.groupBy(F.col("x.region").alias("region"), *ends).agg(F.count(F.lit(1)).alias("n"), F.max(must).alias("must"))
+    return pairs.filter("n >= must").drop("n", "must")
 
 
 def _components(rows: DataFrame, classes: DataFrame, percent: int, errors: int, scratch: Scratch) -> DataFrame:
@@ -312,8 +348,16 @@ def _components(rows: DataFrame, classes: DataFrame, percent: int, errors: int,
     members = scratch.save(regions.join(texts, regions["node"] == texts["rep"]).select(F.col("comp").alias("region"), "rep", "t", "text"), "members")
     differences = scratch.save(differences_of(members, percent, scratch), "members-differences")
     inside = differences.filter("inside").select(F.col("nearest").alias("a"), F.col("rep").alias("b"))
-    across = scratch.save(_across(differences, labels, percent, scratch), "across")
-    return connected_components(scratch.save(links.union(inside).union(across), "links"), scratch)
+    links = scratch.save(links.union(inside), "links")
+    labels = connected_components(links, scratch)
+    rare = scratch.save(rare_differences(differences, percent, scratch), "rare-differences")
+    for label in ("centred", "across"):
+        mixed = _mixed(rare, labels, scratch)
+        more = _linked(_centred(mixed) if label == "centred" else _across(mixed, percent), differences, percent, scratch, label)
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = connected_components(links, scratch)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
