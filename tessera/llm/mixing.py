@@ -155,7 +155,7 @@ def mix(
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes its text, to the nearest whole number of times
-    (halves up); all columns are kept. Rows of one id share the first one's number; rows without an
+    (halves up); all columns are kept. Rows of one id share the largest number among them; rows without an
     id are left out, as the mix cannot name them."""
     taken = mix(docs, **options).filter("size > 0 AND doc_id IS NOT NULL")
     times = taken.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times"))

@@ -228,13 +228,14 @@ def difference_batches(percent: int):
 def differences_of(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """members(region, rep, t, text) to their differences from their regions' references, with `inside`: linked with
     the region's nearest member, `nearest`. A reference is at most twice as large as its region's mean set."""
-    n = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    n = scratch.save(members.groupBy("region").agg(F.count(F.lit(1)).alias("n")), "region-sizes")
     counted = members.select("region", "text").mapInArrow(shingle_rows, "region long, token long").groupBy("region", "token").agg(F.count(F.lit(1)).alias("df"))
     most = counted.filter("df > 1").join(n, "region").filter("2 * df > n").groupBy("region").agg(F.collect_list("token").alias("reference"))
     none = F.array().cast("array<long>")
     both = members.join(scratch.save(most, "references"), "region", "left").select("region", "rep", "t", "text", F.coalesce("reference", none).alias("reference"))
     found = scratch.save(both.mapInArrow(difference_batches(percent), DIFFERENCE), "differences")
-    nearest = found.groupBy("region").agg(F.min(F.struct("u", "rep", "t", "tokens")).alias("first"))
+    # saved, so that the join has an exchange on both sides, which adaptive execution needs to split a hot region
+    nearest = scratch.save(found.groupBy("region").agg(F.min(F.struct("u", "rep", "t", "tokens")).alias("first")), "nearest")
     linked = (200 + 2 * percent) * F.size(F.array_intersect("tokens", "first.tokens")) >= F.col("u") + F.col("first.u")
     return found.join(nearest, "region").select(*found.columns, F.col("first.rep").alias("nearest"), linked.alias("inside"))
 
@@ -253,6 +254,7 @@ def rare_differences(differences: DataFrame, percent: int, scratch: Scratch) ->
     least = differences.filter("size > 0").groupBy("region").agg(
         F.min(F.when(F.col("inside"), F.col("u"))).alias("u_in"), F.min(F.when(~F.col("inside"), F.col("u"))).alias("u_out")
     )
+    least = scratch.save(least, "least")
     share = {o: F.greatest(F.lit(1), F.ceil((F.col("u") + F.col(o)) / (200 + 2 * percent))) for o in ("u_in", "u_out")}  # at least
     some = {o: F.greatest(F.lit(1), 1 + F.floor((F.col("size") - n) / PLACES)) for o, n in share.items()}
     must = {o: F.when(n.isNull() | F.col(o).isNull(), 0).otherwise(F.least(F.lit(MEETINGS), n, some[o])).cast("int") for o, n in share.items()}

@@ -1,8 +1,19 @@
 """The pipeline's stages against plain versions of their decisions."""
 
+import sys
+from pathlib import Path
+
 import corpus_pipeline
+import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.llm import mixing, quality
+from tessera.llm.common import remainder
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from test_text_operators import plain_components, plain_ids, shingles, words  # noqa: E402
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -21,6 +32,43 @@ def test_stages_take_effect(spark):
     assert seen["decontaminate"][1] <= seen["decontaminate"][0] and seen["tokens"][0] == seen["tokens"][1]
 
 
+def test_each_stage_matches_a_brute_force_version(spark):
+    """The rows that every stage keeps of its own input, from plain Python over the documents one by one."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+
+    def ids(frame):
+        return sorted(r["doc_id"] for r in frame.collect())
+
+    model = quality.train(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), remainder() != 2)
+    accepted = [i for i, t in sorted(rows.items()) if quality.scores_of(model, pa.array([t], pa.string()))[0] >= 0.7]
+    assert ids(stages["quality"](spark, docs, SMALL)) == accepted and 0 < len(accepted) < len(rows)
+
+    single = [i for i, _, _, kept in plain_components(sorted(rows.items()), 80) if kept]
+    assert ids(stages["near_dedup"](spark, docs, SMALL)) == single and len(single) < len(rows)
+
+    planted = docs.limit(0).union(spark.createDataFrame([(-1, words(30, 1) + " " + items[0] + " " + words(30, 2), None, None, None), (-2, words(90, 3), None, None, None)], docs.schema)).union(docs)
+    clean = []
+    for r in planted.collect():
+        found = False
+        for t in items:
+            n = min(5, len(t.split()))
+            found |= bool(n) and len(r["text"].split()) >= n and 100 * len(shingles(t) & shingles(r["text"], n)) >= 80 * len(shingles(t))
+        clean += [] if found else [r["doc_id"]]
+    assert ids(stages["decontaminate"](spark, planted, SMALL)) == sorted(clean) and -1 not in clean and -2 in clean
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
+    takes = con.sql(f"select doc_id, size, taken from ({mixing.ORACLE_SQL})").fetchall()
+    assert ids(stages["mixing"](spark, docs, SMALL)) == sorted(i for i, size, taken in takes if size for _ in range(int(taken / size + 0.5)))
+
+    got = sorted(tuple(r) for r in stages["tokens"](spark, docs, SMALL).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    assert got == plain_ids(list(rows.items()))
+
+
 def test_run_is_the_stages_in_order(spark):
     a = corpus_pipeline.run(spark, SMALL).toPandas().sort_values("start").reset_index(drop=True)
     assert len(a) and (a.start == (a.n_tokens.cumsum() - a.n_tokens)).all()
