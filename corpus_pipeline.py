@@ -42,8 +42,8 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: SQL cannot express the classifier, the mix's seeded order or the tokenizer; the tests hold each
-#: stage against a brute-force version instead.
+#: SQL cannot express the classifier or the tokenizer; tests/llm/test_pipeline.py holds each stage's rows
+#: against a brute-force version instead.
 ORACLE_SQL = None
 
 
