@@ -326,6 +326,20 @@ def _across(rare: DataFrame, percent: int) -> DataFrame:
     return pairs.filter("n >= must").drop("n", "must")
 
 
+def _merged(labels: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels(node, comp) after further links(a, b): only components that these join are worked on."""
+    for end in "ab":
+        at = labels.select(F.col("node").alias(f"{end}_node"), F.col("comp").alias(f"{end}_comp"))
+        more = more.join(at, more[end] == at[f"{end}_node"], "left").withColumn(f"{end}_comp", F.coalesce(f"{end}_comp", end)).drop(f"{end}_node")
+    joins = scratch.save(more.filter("a_comp != b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "joins")
+    if joins.isEmpty():
+        return labels
+    merged = connected_components(joins, scratch).select(F.col("node").alias("was"), F.col("comp").alias("now"))
+    alone = merged.join(labels, merged["was"] == labels["node"], "left_anti").select(F.col("was").alias("node"), F.col("was").alias("comp"))
+    every = labels.unionByName(alone)
+    return scratch.save(every.join(merged, every["comp"] == merged["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")), "labels")
+
+
 def _components(rows: DataFrame, classes: DataFrame, percent: int, errors: int, scratch: Scratch) -> DataFrame:
     """(node, comp) of the classes' representatives that are linked with any other."""
     keys = classes.select("rep", "sig").mapInArrow(key_batches(errors // 2 + 1), "rep long, key long")
@@ -350,15 +364,12 @@ def _components(rows: DataFrame, classes: DataFrame, percent: int, errors: int,
     members = scratch.save(regions.join(texts, regions["node"] == texts["rep"]).select(F.col("comp").alias("region"), "rep", "t", "text"), "members")
     differences = scratch.save(differences_of(members, percent, scratch), "members-differences")
     inside = differences.filter("inside").select(F.col("nearest").alias("a"), F.col("rep").alias("b"))
-    links = scratch.save(links.union(inside), "links")
-    labels = connected_components(links, scratch)
+    labels = _merged(labels, inside, scratch)
     rare = scratch.save(rare_differences(differences, percent, scratch), "rare-differences")
     for label in ("centred", "across"):
         mixed = _mixed(rare, labels, scratch)
         more = _linked(_centred(mixed) if label == "centred" else _across(mixed, percent), differences, percent, scratch, label)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = connected_components(links, scratch)
+        labels = _merged(labels, more, scratch)
     return labels
 
 
