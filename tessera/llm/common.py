@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Used only where the session names no shared folder, as in local tests.
 LOCAL_SHARED_DIR = "/tmp/checkpoints"
 
+#: Rows of a table of narrow rows (ids, labels) that one task writes where a bound of its rows is known.
+TASK_ROWS = 1_000_000
+
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,9 +50,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark, self.folder, self.n = spark, new_path(spark, label), 0
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+        """df saved. With `rows`, a bound of its rows, no more tasks write it than these need: a small table
+        is not cut into a file for each part of a shuffle; a large one keeps the shuffle's parts."""
         self.n += 1
         path = f"{self.folder}/{self.n}-{label}"
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -327,17 +327,18 @@ def _across(rare: DataFrame, percent: int) -> DataFrame:
 
 
 def _merged(labels: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
-    """labels(node, comp) after further links(a, b): only components that these join are worked on."""
+    """labels(node, comp) after further links(a, b), a saved table: only components that these join are worked on."""
+    n = more.count()
     for end in "ab":
         at = labels.select(F.col("node").alias(f"{end}_node"), F.col("comp").alias(f"{end}_comp"))
         more = more.join(at, more[end] == at[f"{end}_node"], "left").withColumn(f"{end}_comp", F.coalesce(f"{end}_comp", end)).drop(f"{end}_node")
-    joins = scratch.save(more.filter("a_comp != b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "joins")
+    joins = scratch.save(more.filter("a_comp != b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")).distinct(), "joins", n)
     if joins.isEmpty():
         return labels
     merged = connected_components(joins, scratch).select(F.col("node").alias("was"), F.col("comp").alias("now"))
     alone = merged.join(labels, merged["was"] == labels["node"], "left_anti").select(F.col("was").alias("node"), F.col("was").alias("comp"))
     every = labels.unionByName(alone)
-    return scratch.save(every.join(merged, every["comp"] == merged["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")), "labels")
+    return scratch.save(every.join(merged, every["comp"] == merged["was"], "left").select("node", F.coalesce("now", "comp").alias("comp")), "labels", labels.count() + 2 * n)
 
 
 def _components(rows: DataFrame, classes: DataFrame, percent: int, errors: int, scratch: Scratch) -> DataFrame:

@@ -159,8 +159,8 @@ def test_near_dedup_of_a_family_below_the_threshold_compares_few_pairs(spark, mo
     rows += [(200, rows[3][1] + " and one more"), (201, rows[3][1]), (7, words(300, 9)), (202, words(300, 9) + " x")]
     counts, save = {}, near_dedup.Scratch.save
 
-    def counted(self, df, label):
-        out = save(self, df, label)
+    def counted(self, df, label, rows=None):
+        out = save(self, df, label, rows)
         counts[label] = out.count()
         return out
 
@@ -170,6 +170,15 @@ def test_near_dedup_of_a_family_below_the_threshold_compares_few_pairs(spark, mo
     assert counts["across-pairs"] < 160 * 159 / 8
 
 
+def test_saved_label_tables_are_cut_by_their_rows(spark, monkeypatch):
+    with near_dedup.Scratch(spark, "sized") as scratch:
+        df = spark.range(1000).repartition(40)
+        monkeypatch.setattr("tessera.llm.common.TASK_ROWS", 300)
+        for rows, files in ((None, 40), (1000, 4), (0, 1), (10**6, 40)):
+            saved = scratch.save(df, "t", rows)
+            assert len(saved.inputFiles()) == files and saved.count() == 1000
+
+
 def test_near_dedup_matches_sql(spark):
     against_sql(spark, near_dedup.near_duplicates(table(spark, "documents")), near_dedup.ORACLE_SQL, ["documents"])
 
