@@ -54,24 +54,37 @@ def bootstrap_weights(seed: int = 0) -> Signs:
     return weights
 
 
-def weighted_sums(frame: DataFrame, replicates: int, weigh: Signs, key: str = "image_id") -> DataFrame:
-    """replicate, voxel_id, total, weight: sums over samples of weight times value, replicate 0 being the
-    data itself. One row of sums a task and replicate is shuffled."""
-    numbers = np.arange(replicates + 1)
+#: Bytes of the sums that a task holds at a time; where those of all replicates are more, each batch's leave the task.
+HELD_BYTES = 256 << 20
+
+
+def _products(frame: DataFrame, columns: Sequence[str], numbers: np.ndarray, weigh: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
+    """replicate, voxel_id, total, weight: sums over rows of weight times value, weigh(rows, numbers) being the
+    weights, a row a replicate. Replicates go in blocks, so a task holds HELD_BYTES of sums and one block more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, weight = None, np.zeros(len(numbers))
+        held: dict = {}
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.iloc[at : at + 1024]
-                w = weigh(part[key].to_numpy(), numbers)
-                sums = w @ np.stack(part["values"].to_list())
-                total = sums if total is None else total + sums
-                weight += w.sum(axis=1)
-        if total is not None:
-            yield pd.DataFrame({"replicate": numbers, "totals": list(total), "weight": weight})
-
-    sums = frame.select(key, "values").mapInPandas(run, "replicate long, totals array<double>, weight double")
+                x = np.stack(part["values"].to_list())
+                step = max(1, HELD_BYTES // (8 * max(1, x.shape[1])))
+                for lo in range(0, len(numbers), step):
+                    w = weigh(part, numbers[lo : lo + step])
+                    sums, weight = w @ x, w.sum(axis=1)
+                    if lo in held:
+                        held[lo] = held[lo][0] + sums, held[lo][1] + weight
+                    else:
+                        held[lo] = sums, weight
+                    if step < len(numbers):
+                        yield made(lo, *held.pop(lo))
+        for lo, (sums, weight) in held.items():
+            yield made(lo, sums, weight)
+
+    def made(lo: int, sums: np.ndarray, weight: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"replicate": numbers[lo : lo + len(sums)], "totals": list(sums), "weight": weight})
+
+    sums = frame.select(*columns, "values").mapInPandas(run, "replicate long, totals array<double>, weight double")
     return (
         sums.select("replicate", "weight", F.posexplode("totals").alias("voxel_id", "total"))
         .groupBy("replicate", "voxel_id")
@@ -79,6 +92,12 @@ def weighted_sums(frame: DataFrame, replicates: int, weigh: Signs, key: str = "i
     )
 
 
+def weighted_sums(frame: DataFrame, replicates: int, weigh: Signs, key: str = "image_id") -> DataFrame:
+    """replicate, voxel_id, total, weight: sums over samples of weight times value, replicate 0 being the
+    data itself. One row of sums a task and replicate is shuffled."""
+    return _products(frame, [key], np.arange(replicates + 1), lambda rows, numbers: weigh(rows[key].to_numpy(), numbers))
+
+
 def _beyond(null: Column, observed: Column, tail: str) -> Column:
     """Whether a replicate is at least as extreme; equal up to rounding counts."""
     slack = 1e-12
@@ -119,17 +138,37 @@ def shuffled_places(ids: DataFrame, key: str, replicates: int, order: Column | N
 
 
 def two_sample_permutation(frame: DataFrame, first: Column, replicates: int, order: Column | None = None, tail: str = "two") -> DataFrame:
-    """voxel_id, stat (the difference of means), p by shuffled labels. frame: image_id, values, ..."""
+    """voxel_id, stat (the difference of means), p by shuffled labels. frame: image_id (once each), values, ...
+    Null values are left out of the means."""
     named = frame.withColumn("first", first)
     n1 = F.broadcast(named.agg(F.sum(F.col("first").cast("long")).alias("n1")))
     # those of the first group come first in order, so a shuffle's first n1 places are its first group
-    ids = named.select(F.struct((~F.col("first")).alias("late"), "image_id").alias("id"))
+    ids = named.select(F.struct((~F.col("first")).alias("late"), F.col("image_id").cast("long").alias("image_id")).alias("id"))
+    if order is None:  # a struct, as the samples' own order is
+        order = F.struct(F.lit(False).alias("late"), F.xxhash64("replicate", F.col("id.image_id")).alias("image_id"))
     places = shuffled_places(ids, "id", replicates, order).join(n1)
-    long = named.select("image_id", F.posexplode("values").alias("voxel_id", "value"))
-    joined = long.join(places.select("replicate", F.col("id.image_id").alias("image_id"), (F.col("place") <= F.col("n1")).alias("one")), "image_id")
-    means = joined.groupBy("replicate", "voxel_id").agg(
-        (F.avg(F.when(F.col("one"), F.col("value"))) - F.avg(F.when(~F.col("one"), F.col("value")))).alias("value")
-    )
+    ones = places.groupBy(F.col("id.image_id").alias("image_id")).agg(F.collect_list(F.when(F.col("place") <= F.col("n1"), F.col("replicate"))).alias("ones"))
+    # each value and whether it is there, in turn; all replicates of an image are one row, and meet its values once
+    pairs = F.flatten(F.transform("values", lambda x: F.array(F.coalesce(x, F.lit(0.0)).cast("double"), x.isNotNull().cast("double"))))
+    vectors = named.select("image_id", pairs.alias("values")).join(ones, "image_id")
+    whole = replicates + 1  # the number of the sums over all samples
+
+    def weigh(rows: pd.DataFrame, numbers: np.ndarray) -> np.ndarray:
+        w = np.zeros((len(numbers), len(rows)))
+        for k, listed in enumerate(rows["ones"]):
+            at = np.asarray(listed, np.int64) - numbers[0]
+            w[at[(at >= 0) & (at < len(numbers))], k] = 1.0
+        w[numbers == whole] = 1.0
+        return w
+
+    sums = _products(vectors, ["ones"], np.arange(whole + 1), weigh)
+    at = F.floor(F.col("voxel_id") / 2).cast("int")
+    total = lambda rest: F.sum(F.when(F.col("voxel_id") % 2 == rest, F.col("total")))
+    cells = sums.groupBy("replicate", at.alias("voxel_id")).agg(total(0).alias("s"), total(1).alias("n"))
+    every = cells.filter(F.col("replicate") == whole).select("voxel_id", F.col("s").alias("s_all"), F.col("n").alias("n_all"))
+    mean = lambda s, n: F.when(n > 0, s / F.when(n > 0, n))  # noqa: E731  null of no values
+    difference = mean(F.col("s"), F.col("n")) - mean(F.col("s_all") - F.col("s"), F.col("n_all") - F.col("n"))
+    means = cells.filter(F.col("replicate") < whole).join(every, "voxel_id").withColumn("value", difference)
     return p_from_replicates(means, ["voxel_id"], tail)
 
 
@@ -227,13 +266,51 @@ def isc_group_difference(rs: DataFrame, first: Column, replicates: int) -> DataF
     return named.groupBy("voxel_id").applyInPandas(run, f"voxel_id {dict(rs.dtypes)['voxel_id']}, difference double, p double")
 
 
+#: Elements in a block of a table of all pairs of elements, about.
+BLOCK = 256
+
+
+def block_correlations(x: DataFrame, y: DataFrame, by: str, row: str, blocks: int) -> DataFrame:
+    """by, i, j, r: Pearson's r over `row` of each series x(by, row, i, x) with each y(by, row, j, y) of one `by`.
+
+    Elements are hashed into blocks; a group is a pair of blocks of one `by`, and its correlations are a few
+    matrix products. Each side is sent as often as the other has blocks, and no row is made for a pair and
+    row. Null and NaN count as absent; pairs without a common row do not appear; r is 0 of a constant side;
+    repeated (row, element) are averaged. A group holds 2 * BLOCK series of one `by`, so its rows must be bounded.
+    """
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = x.select(by, row, "i", "x", F.pmod(F.hash("i"), F.lit(blocks)).alias("block_i"), every.alias("block_j"))
+    # named anew, so that both sides may come from one table
+    right = y.select(F.col(by).alias("by_y"), F.col(row).alias("row_y"), "j", "y", every.alias("block_i"), F.pmod(F.hash("j"), F.lit(blocks)).alias("block_j"))
+    kinds = dict(x.dtypes) | dict(y.dtypes)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        p, q = (f.groupby([row_, e])[v].mean().unstack(e) for f, row_, e, v in ((a, row, "i", "x"), (b, "row_y", "j", "y")))
+        shared = p.index.intersection(q.index)
+        if not len(shared):
+            return pd.DataFrame({by: [], "i": [], "j": [], "r": []})
+        u, v = p.loc[shared].to_numpy(float), q.loc[shared].to_numpy(float)
+        m, k = (~np.isnan(u)).astype(float), (~np.isnan(v)).astype(float)
+        u, v = np.nan_to_num(u), np.nan_to_num(v)
+        n, sx, sy = m.T @ k, u.T @ k, m.T @ v
+        vx, vy = n * ((u * u).T @ k) - sx * sx, n * (m.T @ (v * v)) - sy * sy
+        varied = (vx > 1e-12) & (vy > 1e-12)
+        r = np.where(varied, (n * (u.T @ v) - sx * sy) / np.sqrt(np.where(varied, vx * vy, 1.0)), 0.0)
+        i, j = np.nonzero(n)
+        return pd.DataFrame({by: [a[by].iloc[0]] * len(i), "i": p.columns.to_numpy()[i], "j": q.columns.to_numpy()[j], "r": r[i, j]})
+
+    keys = ("block_i", "block_j")
+    return left.groupBy(by, *keys).cogroup(right.groupBy("by_y", *keys)).applyInPandas(run, f"{by} {kinds[by]}, i {kinds['i']}, j {kinds['j']}, r double")
+
+
 def isfc(frame: DataFrame) -> DataFrame:
-    """subject, i, j, r: each region of a subject with each region of the others' mean."""
+    """subject, i, j, r: each region of a subject with each region of the others' mean, by blocks of regions."""
     total = frame.groupBy("t", "voxel_id").agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("k"))
     others = frame.join(total, ["t", "voxel_id"]).filter("k > 1")
     mean = others.select("subject", "t", F.col("voxel_id").alias("j"), ((F.col("total") - F.col("value")) / (F.col("k") - 1)).alias("y"))
     own = frame.select("subject", "t", F.col("voxel_id").alias("i"), F.col("value").alias("x"))
-    return own.join(mean, ["subject", "t"]).groupBy("subject", "i", "j").agg(*moments("x", "y")).select("subject", "i", "j", corr_of_moments().alias("r"))
+    blocks = max(1, -(-frame.select("voxel_id").distinct().count() // BLOCK))
+    return block_correlations(own, mean, "subject", "t", blocks)
 
 
 def bootstrap_splits(ids: DataFrame, key: str, replicates: int, seed: int = 0) -> DataFrame:
