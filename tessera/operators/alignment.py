@@ -16,6 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sums import sum_arrays
+from tessera.sources.scratch import Scratch
+
 
 def procrustes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float]:
     """b rotated and scaled onto a: both standardised, the disparity, the rotation and the scale."""
@@ -49,19 +52,11 @@ def _matrix(cell) -> np.ndarray:
 
 
 def _sum_over(frame: DataFrame, columns: list[str], function) -> np.ndarray:
-    """The sum over subjects of a small matrix, function(row) -> array: tasks sum theirs, one row each."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                made = function(row)
-                total = made if total is None else total + made
-        if total is not None:
-            yield pd.DataFrame({"shape": [list(total.shape)], "flat": [total.reshape(-1)]})
-
-    parts = frame.select(*columns).mapInPandas(run, "shape array<int>, flat array<double>").collect()
-    return sum(np.asarray(p["flat"]).reshape(p["shape"]) for p in parts)
+    """The sum over subjects of a small matrix, function(row) -> array."""
+    total = sum_arrays(frame.select(*columns), lambda batch: sum(function(row) for row in batch.itertuples(index=False)))
+    if total is None:
+        raise ValueError("there are no subjects")
+    return total
 
 
 def centred(subjects: DataFrame) -> DataFrame:
@@ -79,12 +74,14 @@ def det_srm(subjects: DataFrame, features: int, rounds: int = 10, seed: int = 0)
     found = subjects.select(F.size(F.get("matrix", F.lit(0))).alias("n")).distinct().collect()
     if len(found) != 1 or found[0]["n"] < features:
         raise ValueError("subjects need equal numbers of samples, and no fewer than features")
-    count = subjects.count()
     shared = np.linalg.qr(np.random.default_rng(seed).standard_normal((found[0]["n"], features)))[0].T
 
-    for _ in range(rounds):
-        s = shared
-        shared = _sum_over(subjects, ["matrix"], lambda r, s=s: rotation_onto(_matrix(r.matrix), s).T @ _matrix(r.matrix)) / count
+    with Scratch(subjects.sparkSession, "align") as scratch:
+        data = scratch.save(subjects.select("matrix"))  # read again each round
+        count = data.count()
+        for _ in range(rounds):
+            s = shared
+            shared = _sum_over(data, ["matrix"], lambda r, s=s: rotation_onto(_matrix(r.matrix), s).T @ _matrix(r.matrix)) / count
     return _maps(subjects, shared), shared
 
 
@@ -105,41 +102,41 @@ def srm(subjects: DataFrame, features: int, rounds: int = 10, seed: int = 0) ->
     Per round one pass: each subject adds W_i' X_i / rho_i, from which S and its covariance follow;
     noise variances rho_i, a number a subject, are updated with the maps in the next pass.
     """
-    data = centred(subjects)
-    n = data.select(F.size(F.get("matrix", F.lit(0))).alias("n")).first()["n"]
-    rho = {r["subject"]: 1.0 for r in data.select("subject").collect()}  # a number a subject
-    rng = np.random.default_rng(seed)
-    shared, sigma, trace = rng.standard_normal((features, n)), np.eye(features), 0.0
-
-    for _ in range(rounds):
-        s = shared
-        total_inverse = sum(1 / v for v in rho.values())
-        known = dict(rho)
-        summed = _sum_over(data, ["subject", "matrix"], lambda r, s=s, k=known: rotation_onto(_matrix(r.matrix), s).T @ _matrix(r.matrix) / k[r.subject])
-        posterior = np.linalg.inv(np.linalg.inv(sigma) + total_inverse * np.eye(features))
-        shared = posterior @ summed
-        sigma = posterior + shared @ shared.T / n
-        trace = float(np.trace(sigma))
-
-        def noise(batches: Iterator[pd.DataFrame], s=shared, t=trace) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                made = []
-                for m in b["matrix"]:
-                    x = _matrix(m)
-                    w = rotation_onto(x, s)
-                    made.append(max((float((x * x).sum()) - 2 * float((w.T @ x * s).sum()) + n * t) / (n * len(x)), 1e-12))
-                yield pd.DataFrame({"subject": b["subject"], "rho": made})
-
-        kind = dict(data.dtypes)["subject"]
-        rho = {r["subject"]: r["rho"] for r in data.select("subject", "matrix").mapInPandas(noise, f"subject {kind}, rho double").collect()}
-    return _maps(data, shared), shared
+    with Scratch(subjects.sparkSession, "align") as scratch:
+        data = scratch.save(centred(subjects))
+        n = data.select(F.size(F.get("matrix", F.lit(0))).alias("n")).first()["n"]
+        rho = {r["subject"]: 1.0 for r in data.select("subject").collect()}  # a number a subject
+        rng = np.random.default_rng(seed)
+        shared, sigma, trace = rng.standard_normal((features, n)), np.eye(features), 0.0
+
+        for _ in range(rounds):
+            s = shared
+            total_inverse = sum(1 / v for v in rho.values())
+            known = dict(rho)
+            summed = _sum_over(data, ["subject", "matrix"], lambda r, s=s, k=known: rotation_onto(_matrix(r.matrix), s).T @ _matrix(r.matrix) / k[r.subject])
+            posterior = np.linalg.inv(np.linalg.inv(sigma) + total_inverse * np.eye(features))
+            shared = posterior @ summed
+            sigma = posterior + shared @ shared.T / n
+            trace = float(np.trace(sigma))
+
+            def noise(batches: Iterator[pd.DataFrame], s=shared, t=trace) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    made = []
+                    for m in b["matrix"]:
+                        x = _matrix(m)
+                        w = rotation_onto(x, s)
+                        made.append(max((float((x * x).sum()) - 2 * float((w.T @ x * s).sum()) + n * t) / (n * len(x)), 1e-12))
+                    yield pd.DataFrame({"subject": b["subject"], "rho": made})
+
+            kind = dict(data.dtypes)["subject"]
+            rho = {r["subject"]: r["rho"] for r in data.select("subject", "matrix").mapInPandas(noise, f"subject {kind}, rho double").collect()}
+    return _maps(centred(subjects), shared), shared
 
 
 def hyperalign(subjects: DataFrame, rounds: int = 2) -> tuple[DataFrame, np.ndarray]:
     """aligned (subject, w) and the template: subjects rotated to a template that is their mean, again and
     again, from the mean of the data; elements are padded to the largest subject by zeros."""
     width = subjects.agg(F.max(F.size("matrix")).alias("w")).first()["w"]
-    count = subjects.count()
 
     def padded(m) -> np.ndarray:
         x = _matrix(m)
@@ -147,10 +144,13 @@ def hyperalign(subjects: DataFrame, rounds: int = 2) -> tuple[DataFrame, np.ndar
         norm = np.linalg.norm(x)
         return np.pad(x / (norm if norm else 1.0), ((0, width - len(x)), (0, 0)))
 
-    template = _sum_over(subjects, ["matrix"], lambda r: padded(r.matrix)) / count
-    for _ in range(rounds):
-        t = template
-        template = _sum_over(subjects, ["matrix"], lambda r, t=t: rotation_onto(padded(r.matrix), t).T @ padded(r.matrix)) / count
+    with Scratch(subjects.sparkSession, "align") as scratch:
+        data = scratch.save(subjects.select("matrix"))
+        count = data.count()
+        template = _sum_over(data, ["matrix"], lambda r: padded(r.matrix)) / count
+        for _ in range(rounds):
+            t = template
+            template = _sum_over(data, ["matrix"], lambda r, t=t: rotation_onto(padded(r.matrix), t).T @ padded(r.matrix)) / count
     kind = dict(subjects.dtypes)["subject"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sums import sum_arrays
+
 
 def _round_sums(frame: DataFrame, region: str, features: str, target: str, weights: dict, loss: str) -> dict:
     """region -> (gradient, curvature) at its weights; features get a leading one for the intercept."""
@@ -101,8 +103,8 @@ def banded_ridge(fold_sums: DataFrame, bands: Sequence[int], alphas: Sequence[fl
 
 def principal_components(gram: DataFrame, means: DataFrame, n: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
     """Components (rows) and explained variances from gram(x, y, value) of uncentred vectors and
-    means(voxel_id, value): a table of elements by elements, whatever the number of samples. The largest
-    entry of a component is positive."""
+    means(voxel_id, value): a table of elements by elements, whatever the number of samples, which the driver
+    gets, so for few elements; `leading_components` is for any number. The largest entry of a component is positive."""
     mean = np.array([r["value"] for r in means.orderBy("voxel_id").collect()])
     k = len(mean)
     m = np.zeros((k, k))
@@ -115,6 +117,56 @@ def principal_components(gram: DataFrame, means: DataFrame, n: int, samples: int
     return parts, values[order]
 
 
+def leading_components(frame: DataFrame, n: int, rounds: int = 30, tolerance: float = 1e-9, values: str = "values", seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The first n principal components (rows) and explained variances of a table of vectors of one length.
+
+    Block Lanczos: a pass multiplies the covariance with a block of n + 5 directions, and what is new in
+    the product is the next block, until the first n components change by less than `tolerance` of the
+    largest variance, or nothing new is left; an error after `rounds` passes. The driver holds directions, n + 5
+    vectors a pass, never elements by elements. Null and NaN values are an error. At most as many components as
+    elements; fewer than two vectors are an error. The largest entry of a component is positive.
+    """
+    vectors = frame.select(values)
+
+    def stacked(batch: pd.DataFrame) -> np.ndarray:
+        return np.stack(batch[values].to_list()).astype(float)
+
+    def first(batch: pd.DataFrame) -> np.ndarray:
+        x = stacked(batch)
+        return np.concatenate([[len(x)], x.sum(axis=0)])
+
+    sums = sum_arrays(vectors, first)
+    if sums is None or sums[0] < 2:
+        raise ValueError("components need two vectors at least")
+    if not np.isfinite(sums).all():
+        raise ValueError("vectors hold null or non-finite values")
+    samples, mean = sums[0], sums[1:] / sums[0]
+    n = min(n, len(mean))
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(mean), min(n + 5, len(mean)))))[0]
+    basis, images = np.empty((len(mean), 0)), np.empty((len(mean), 0))
+    for _ in range(rounds):
+
+        def product(batch: pd.DataFrame, q: np.ndarray = q) -> np.ndarray:
+            x = stacked(batch) - mean
+            return x.T @ (x @ q)
+
+        made = sum_arrays(vectors, product) / (samples - 1)
+        basis, images = np.hstack([basis, q]), np.hstack([images, made])
+        inner = basis.T @ images
+        found, turns = np.linalg.eigh((inner + inner.T) / 2)
+        found, turns = found[::-1][:n], turns[:, ::-1][:, :n]
+        parts = basis @ turns
+        rest = np.linalg.norm(images @ turns - parts * found, axis=0)
+        for _ in range(2):  # twice, against rounding
+            made = made - basis @ (basis.T @ made)
+        new, sizes, _ = np.linalg.svd(made, full_matrices=False)
+        q = new[:, sizes > 1e-10 * max(found[0], 1e-300)]
+        if rest.max() <= tolerance * found[0] or not q.shape[1]:
+            parts = parts.T
+            return parts * np.sign(parts[np.arange(n), np.abs(parts).argmax(axis=1)])[:, None], found
+    raise RuntimeError(f"components did not settle in {rounds} passes")
+
+
 def map_groups(frame: DataFrame, by: str, function, schema: str) -> DataFrame:
     """Any function of one subject's rows (a pandas frame) to rows: the surface for users' own code."""
     return frame.groupBy(by).applyInPandas(function, schema)

@@ -58,8 +58,7 @@ def banded_ridge(spark, d):
 
 @query("decompose_pca")
 def decompose_pca(spark, d):
-    i = images(spark, d)
-    parts, variance = iterative.principal_components(im.gram(i), im.reduce_images(i, "mean"), 5, i.count())
+    parts, variance = iterative.leading_components(images(spark, d), 5)
     return spark.createDataFrame([(k, float(v), [float(x) for x in p]) for k, (v, p) in enumerate(zip(variance, parts, strict=True))], "component int, variance double, loading array<double>")
 
 

@@ -238,6 +238,68 @@ def test_principal_components_match_numpy(spark):
     close(parts @ np.cov(v.T) @ parts.T, np.diag(want), 1e-8)
 
 
+@pytest.mark.parametrize("fan", [8, 2])
+def test_leading_components_match_numpy(spark, fan, monkeypatch):
+    from tessera.operators import iterative, sums
+
+    monkeypatch.setattr(sums, "FAN", fan)  # 2: partial sums meet in further tasks before the driver
+    monkeypatch.setattr(sums, "CELLS", 7)
+    v = np.random.default_rng(8).normal(size=(90, 30)) + 5
+    f = frame(spark, [(k, list(map(float, a))) for k, a in enumerate(v)], "image_id long, values array<double>")
+    parts, variance = iterative.leading_components(f, 3)
+    close(variance, np.sort(np.linalg.eigvalsh(np.cov(v.T)))[::-1][:3], 1e-8)
+    close(parts @ parts.T, np.eye(3), 1e-8)
+    close(np.cov(v.T) @ parts.T, parts.T * variance, 1e-6)
+    assert len(iterative.leading_components(f, 99)[1]) == 30
+    same = frame(spark, [(k, [1.0, 1.0]) for k in range(3)], "image_id long, values array<double>")
+    close(iterative.leading_components(same, 1)[1], [0.0])
+    with pytest.raises(ValueError):
+        iterative.leading_components(f.limit(0), 1)
+
+
+def test_block_correlations_match_numpy(spark):
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(2, 12, 7)), r.normal(size=(2, 12, 5))
+    x[0, :, 1] = 3.0
+    y[1, 4, 2] = np.nan
+    xs = frame(spark, [(s, t, i, float(x[s, t, i])) for s in range(2) for t in range(12) for i in range(7)], "s long, t long, i int, x double")
+    cells = [(s, t, j, None if np.isnan(y[s, t, j]) else float(y[s, t, j])) for s in range(2) for t in range(12) for j in range(5)]
+    ys = frame(spark, cells, "s long, t long, j int, y double")
+    got = {(g["s"], g["i"], g["j"]): g["r"] for g in inference.block_correlations(xs, ys, "s", "t", 3).collect()}
+    assert len(got) == 2 * 7 * 5
+    for (s, i, j), v in got.items():
+        there = ~np.isnan(y[s, :, j])
+        want = 0.0 if (s, i) == (0, 1) else np.corrcoef(x[s, there, i], y[s, there, j])[0, 1]
+        close(v, want)
+    assert inference.block_correlations(xs.filter("s = 0"), ys.filter("s = 1"), "s", "t", 2).count() == 0
+
+
+@pytest.mark.parametrize("held", [256 << 20, 64])
+def test_two_sample_permutation_matches_numpy(spark, held, monkeypatch):
+    monkeypatch.setattr(inference, "HELD_BYTES", held)
+    r = np.random.default_rng(6)
+    v = r.normal(size=(20, 4))
+    rows = [(k, [None if (k, i) == (3, 2) else float(a) for i, a in enumerate(x)], k < 8) for k, x in enumerate(v)]
+    f = frame(spark, rows, "image_id long, values array<double>, young boolean")
+    got = inference.two_sample_permutation(f, F.col("young"), 200).orderBy("voxel_id").collect()
+    v[3, 2] = np.nan
+    close([g["stat"] for g in got], np.nanmean(v[:8], axis=0) - np.nanmean(v[8:], axis=0))
+    assert [g["voxel_id"] for g in got] == [0, 1, 2, 3] and all(1 / 201 <= g["p"] <= 1 for g in got)
+    shifted = f.withColumn("values", F.transform("values", lambda x: x + F.when(F.col("young"), 9.0).otherwise(0.0)))
+    close([g["p"] for g in inference.two_sample_permutation(shifted, F.col("young"), 200).collect()], [1 / 201] * 4)
+
+
+def test_weighted_sums_in_blocks_are_those_at_once(spark, monkeypatch):
+    v = np.random.default_rng(7).normal(size=(30, 3))
+    f = frame(spark, [(k, list(map(float, x))) for k, x in enumerate(v)], "image_id long, values array<double>")
+    keys = ["replicate", "voxel_id"]
+    whole = inference.weighted_sums(f, 10, inference.random_signs()).orderBy(*keys).toPandas()
+    monkeypatch.setattr(inference, "HELD_BYTES", 48)
+    blocks = inference.weighted_sums(f, 10, inference.random_signs()).orderBy(*keys).toPandas()
+    assert len(whole) == 33 and (whole[keys] == blocks[keys]).all().all()
+    close(whole[["total", "weight"]], blocks[["total", "weight"]])
+
+
 def test_response_kernel_has_its_peak_and_undershoot():
     for model, peak in (("spm", 5), ("glover", 5)):
         k = series.response_kernel(1.0, model)
