@@ -109,12 +109,16 @@ def _beyond(null: Column, observed: Column, tail: str) -> Column:
 
 
 def p_from_replicates(stats: DataFrame, by: Sequence[str], tail: str = "two") -> DataFrame:
-    """by..., stat, p = (beyond + 1) / (n + 1) of stats(replicate, by..., value)."""
-    observed = stats.filter("replicate = 0").select(*by, F.col("value").alias("stat"))
-    null = stats.filter("replicate > 0")
-    joined = null.join(observed, list(by))
-    beyond = F.sum(_beyond(F.col("value"), F.col("stat"), tail).cast("long"))
-    return joined.groupBy(*by, "stat").agg(((beyond + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    """by..., stat, p = (beyond + 1) / (n + 1) of stats(replicate, by..., value), read once: the replicates of one
+    `by` are one row. p is null where stat or all replicates are."""
+    other = F.col("replicate") > 0
+    own = F.col("replicate") == 0
+    held = stats.groupBy(*by).agg(
+        F.count(F.when(own, 1)).alias("own_"), F.max(F.when(own, F.col("value"))).alias("stat"), F.count(F.when(other, 1)).alias("n_"), F.collect_list(F.when(other, F.col("value"))).alias("null_")
+    )
+    beyond = F.size(F.filter("null_", lambda v: _beyond(v, F.col("stat"), tail)))
+    p = F.when(F.col("stat").isNotNull() & (F.size("null_") > 0), (beyond + 1) / (F.col("n_") + 1))
+    return held.filter("own_ > 0 AND n_ > 0").select(*by, "stat", p.alias("p"))
 
 
 def one_sample_permutation(frame: DataFrame, replicates: int, signs: Signs | None = None, tail: str = "two") -> DataFrame:
@@ -165,11 +169,12 @@ def two_sample_permutation(frame: DataFrame, first: Column, replicates: int, ord
     at = F.floor(F.col("voxel_id") / 2).cast("int")
     total = lambda rest: F.sum(F.when(F.col("voxel_id") % 2 == rest, F.col("total")))
     cells = sums.groupBy("replicate", at.alias("voxel_id")).agg(total(0).alias("s"), total(1).alias("n"))
-    every = cells.filter(F.col("replicate") == whole).select("voxel_id", F.col("s").alias("s_all"), F.col("n").alias("n_all"))
+    of_all = lambda c: F.max(F.when(F.col("replicate") == whole, F.col(c))).alias(f"{c}_all")
+    listed = F.collect_list(F.when(F.col("replicate") < whole, F.struct("replicate", "s", "n"))).alias("cells")
+    cells = cells.groupBy("voxel_id").agg(of_all("s"), of_all("n"), listed).select("voxel_id", "s_all", "n_all", F.inline("cells"))
     mean = lambda s, n: F.when(n > 0, s / F.when(n > 0, n))  # noqa: E731  null of no values
     difference = mean(F.col("s"), F.col("n")) - mean(F.col("s_all") - F.col("s"), F.col("n_all") - F.col("n"))
-    means = cells.filter(F.col("replicate") < whole).join(every, "voxel_id").withColumn("value", difference)
-    return p_from_replicates(means, ["voxel_id"], tail)
+    return p_from_replicates(cells.withColumn("value", difference), ["voxel_id"], tail)
 
 
 def correlation_permutation(frame: DataFrame, x: str, y: str, key: str, replicates: int, order: Column | None = None, tail: str = "two") -> DataFrame:
