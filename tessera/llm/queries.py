@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, language, line_dedup, mixing, near_dedup, quality, secrets, token_store, topk
+from . import decontaminate, extract, language, line_dedup, mixing, near_dedup, periodic_runs, quality, secrets, token_store, topk, vector_codes, warc
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode_and_read(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_extract": op2_extract,
@@ -69,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_mixing": op9_mixing,
     "op10_tokens": op10_tokens,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_warc": op13_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_decontaminate": decontaminate.ORACLE_SQL,
     "op8_topk": topk.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }
