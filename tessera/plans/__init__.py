@@ -9,3 +9,4 @@ from tessera.plans import inference_queries as inference_queries
 from tessera.plans import spatial_queries as spatial_queries
 from tessera.plans import more_queries as more_queries
 from tessera.plans import extra_queries as extra_queries
+from tessera.plans import decomposition_queries as decomposition_queries
