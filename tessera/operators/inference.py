@@ -225,11 +225,54 @@ def isc_leave_one_out(frame: DataFrame) -> DataFrame:
     return others.groupBy("subject", "voxel_id").agg(*moments("value", "others")).select("subject", "voxel_id", corr_of_moments().alias("r"))
 
 
+#: Voxels of a piece of isc_pairwise, and the values of subjects, times and voxels that it holds, about.
+VOXELS, PIECE = 32, 1 << 22
+
+
 def isc_pairwise(frame: DataFrame) -> DataFrame:
-    """a, b, voxel_id, r of each pair of subjects, a < b, over the times both have."""
-    x = frame.select("t", "voxel_id", F.col("subject").alias("a"), F.col("value").alias("x"))
-    y = frame.select("t", "voxel_id", F.col("subject").alias("b"), F.col("value").alias("y"))
-    return x.join(y, ["t", "voxel_id"]).filter("a < b").groupBy("a", "b", "voxel_id").agg(*moments("x", "y")).select("a", "b", "voxel_id", corr_of_moments().alias("r"))
+    """a, b, voxel_id, r of each pair of subjects, a < b, over the times both have.
+
+    A piece is some voxels at some times of all subjects; its sums of products for all pairs are matrix products, and
+    the pieces of a voxel add up, so no row is made for a pair and time. Null and NaN values count as absent, pairs without a
+    common time do not appear, r is 0 of a constant side; repeated (subject, t, voxel) are averaged. Subjects are listed on the driver.
+    """
+    subjects = sorted(r[0] for r in frame.select("subject").distinct().collect() if r[0] is not None)
+    place = {s: k for k, s in enumerate(subjects)}
+    n = len(subjects)
+    times = max(1, PIECE // (VOXELS * max(1, n)))
+    kinds = dict(frame.dtypes)
+
+    def products(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.dropna(subset=["subject", "value"])
+        voxels, v = np.unique(group["voxel_id"].to_numpy(), return_inverse=True)
+        t = pd.factorize(group["t"])[0]
+        cube, seen = np.zeros((len(voxels), n, t.max(initial=-1) + 1)), np.zeros((len(voxels), n, t.max(initial=-1) + 1))
+        at = (v, group["subject"].map(place).to_numpy(np.int64), t)
+        np.add.at(cube, at, group["value"].to_numpy(float))
+        np.add.at(seen, at, 1.0)
+        cube, seen = cube / np.maximum(seen, 1), np.minimum(seen, 1)
+        turned, mask = cube.transpose(0, 2, 1), seen.transpose(0, 2, 1)
+        # n, sum of a, sum of its squares (of pairs a, b at the times both have), sum of products
+        sums = np.stack([seen @ mask, cube @ mask, (cube * cube) @ mask, cube @ turned], axis=1)
+        return pd.DataFrame({"voxel_id": voxels, "sums": list(sums.reshape(len(voxels), 4 * n * n))})
+
+    def correlations(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        count, s, q, xy = np.sum(np.stack(group["sums"].to_list()), axis=0).reshape(4, n, n)
+        var = count * q - s * s
+        varied = (var > 1e-12) & (var.T > 1e-12)
+        r = np.where(varied, (count * xy - s * s.T) / np.sqrt(np.where(varied, var * var.T, 1.0)), 0.0)
+        a, b = np.nonzero(np.triu(count, 1))
+        names = np.array(subjects, object)
+        return pd.DataFrame({"a": names[a], "b": names[b], "voxel_id": [key[0]] * len(a), "r": r[a, b]})
+
+    pieces = frame.select("subject", "t", "voxel_id", "value", F.floor(F.col("voxel_id") / VOXELS).alias("some"), F.pmod(F.hash("t"), F.lit(_time_pieces(frame, times))).alias("when"))
+    sums = pieces.groupBy("some", "when").applyInPandas(products, f"voxel_id {kinds['voxel_id']}, sums array<double>")
+    return sums.groupBy("voxel_id").applyInPandas(correlations, f"a {kinds['subject']}, b {kinds['subject']}, voxel_id {kinds['voxel_id']}, r double")
+
+
+def _time_pieces(frame: DataFrame, times: int) -> int:
+    """Into how many pieces the times go, by hash, so that one holds about `times` of them."""
+    return max(1, -(-(frame.agg(F.approx_count_distinct("t")).first()[0] or 0) // times))
 
 
 def summarize_isc(rs: DataFrame, how: str = "median", clip: float = 0.999) -> DataFrame:

@@ -11,3 +11,4 @@ from tessera.plans import more_queries as more_queries
 from tessera.plans import extra_queries as extra_queries
 from tessera.plans import decomposition_queries as decomposition_queries
 from tessera.plans import glm_queries as glm_queries
+from tessera.plans import resampling_queries as resampling_queries
