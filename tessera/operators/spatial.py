@@ -1,4 +1,4 @@
-"""Spatial operators: neighbourhoods, smoothing, clusters, peaks, spheres and atlas labels.
+"""Spatial operators: neighbourhoods, smoothing, cluster tables, peaks, spheres and atlas labels.
 
 voxels(voxel_id, i, j, k) is the grid's dimension table. A neighbourhood is found by an equi-join on
 grid cells, never by comparing all pairs.
@@ -9,7 +9,6 @@ from __future__ import annotations
 import itertools
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,47 +58,6 @@ def spheres(voxels: DataFrame, centres: list[tuple[float, float, float]], radius
     return voxels.filter(inside).select("voxel_id")
 
 
-def _components(points: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """26-connected components of grid points of equal sign, as smallest members."""
-    at = {tuple(p): n for n, p in enumerate(points.tolist())}
-    parent = list(range(len(points)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    steps = [s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
-    for n, (a, b, c) in enumerate(points.tolist()):
-        for x, y, z in steps:
-            other = at.get((a + x, b + y, c + z))
-            if other is not None and signs[other] == signs[n]:
-                p, q = root(n), root(other)
-                parent[max(p, q)] = min(p, q)
-    return np.array([root(n) for n in range(len(points))], int)
-
-
-def clusters(long: DataFrame, voxels: DataFrame, threshold: float, min_size: int = 1) -> DataFrame:
-    """image_id, cluster, voxel_id, value: 26-connected voxels of one sign with |value| >= threshold.
-
-    Clusters of at least min_size voxels, numbered from 1 by size, ties by smallest voxel. A group is
-    one image's voxels over the threshold.
-    """
-    kept = long.filter(F.abs("value") >= threshold).join(F.broadcast(voxels), "voxel_id")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("voxel_id").reset_index(drop=True)
-        name = pd.Series(_components(group[["i", "j", "k"]].to_numpy(), np.sign(group["value"].to_numpy())))
-        size = name.map(name.value_counts())
-        group, name, size = group[size >= min_size], name[size >= min_size], size[size >= min_size]
-        order = sorted(set(name), key=lambda c: (-int(size[name == c].iloc[0]), c))
-        number = {c: n + 1 for n, c in enumerate(order)}
-        return pd.DataFrame({"image_id": group["image_id"], "cluster": name.map(number), "voxel_id": group["voxel_id"], "value": group["value"]})
-
-    return kept.groupBy("image_id").applyInPandas(run, "image_id long, cluster long, voxel_id int, value double")
-
-
 def cluster_table(labelled: DataFrame, voxel_volume: float = 1.0) -> DataFrame:
     """image_id, cluster, n_voxels, volume, mean, peak, peak_voxel (the largest |value|)."""
     s = labelled.groupBy("image_id", "cluster").agg(

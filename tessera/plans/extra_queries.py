@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import r6
-from tessera.operators import inference, matrices, models, prediction, series, simulation, spatial
+from tessera.operators import inference, matrices, models, prediction, regions, series, simulation, spatial
 from tessera.plans.image_queries import LONG
 from tessera.plans.matrix_queries import ADJ, flows, node_labels
 from tessera.plans.model_queries import ALPHAS, DESIGN, design, voxel_design
@@ -121,7 +121,7 @@ def predict_searchlight(spark, d):
 @query("cluster_peaks")
 def cluster_peaks(spark, d):
     v = spatial.grid(spark, 4)
-    return spatial.separate_peaks(spatial.clusters(long(spark, d), v, 0.15, 2), v, 2.0)
+    return spatial.separate_peaks(regions.clusters(long(spark, d), v, 0.15, 2), v, 2.0)
 
 
 @query("bootstrap_splits")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import r6
-from tessera.operators import alignment, prediction, simulation, spatial
+from tessera.operators import alignment, prediction, regions, searchlight, simulation, spatial
 from tessera.plans.image_queries import LONG, atlas
 from tessera.plans.inference_queries import all_subjects, shared_subjects
 from tessera.plans.registry import query
@@ -52,18 +52,66 @@ def spheres(spark, d):
     return spatial.spheres(spatial.grid(spark, 4), [(1, 1, 1), (3, 3, 2)], 1.0)
 
 
+#: Clusters by a closure over links: the smallest voxel that each voxel reaches names its cluster.
+_CLUSTERS = f"""WITH RECURSIVE {LONG}, {VOX}, K AS (SELECT image_id, L.voxel_id, value, sign(value) AS s, i, j, k FROM L JOIN V USING (voxel_id) WHERE abs(value) >= 0.15),
+E AS (SELECT a.image_id, a.voxel_id AS a, b.voxel_id AS b FROM K a JOIN K b ON a.image_id = b.image_id AND a.s = b.s AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 AND a.voxel_id <> b.voxel_id),
+R AS (SELECT image_id, voxel_id AS node, voxel_id AS root FROM K UNION SELECT R.image_id, E.b, R.root FROM R JOIN E ON E.image_id = R.image_id AND E.a = R.node),
+N AS (SELECT image_id, node, min(root) AS root FROM R GROUP BY ALL),
+S AS (SELECT image_id, root, row_number() OVER (PARTITION BY image_id ORDER BY count(*) DESC, root) AS cluster FROM N GROUP BY image_id, root HAVING count(*) >= 2),
+C AS (SELECT K.image_id, cluster, CAST(K.voxel_id AS INTEGER) AS voxel_id, value FROM N JOIN S USING (image_id, root) JOIN K ON K.image_id = N.image_id AND K.voxel_id = N.node)"""
+
+
 def _clusters(spark, d):
-    return spatial.clusters(long(spark, d), spatial.grid(spark, 4), 0.15, 2)
+    return regions.clusters(long(spark, d), spatial.grid(spark, 4), 0.15, 2)
 
 
-@query("clusters")
+@query("clusters", f"{_CLUSTERS} SELECT image_id, cluster, voxel_id, round(value, 6) + 0.0 AS value FROM C")
 def clusters(spark, d):
-    return _clusters(spark, d)
+    return rounded(_clusters(spark, d), "value")
 
 
-@query("cluster_table")
+@query(
+    "cluster_table",
+    f"""{_CLUSTERS}, P AS (SELECT *, row_number() OVER (PARTITION BY image_id, cluster ORDER BY abs(value) DESC, voxel_id) AS nth FROM C)
+    SELECT image_id, cluster, count(*) AS n_voxels, count(*) * 8.0::DOUBLE AS volume, round(avg(value), 6) + 0.0 AS mean,
+    round(max(value) FILTER (WHERE nth = 1), 6) + 0.0 AS peak, max(voxel_id) FILTER (WHERE nth = 1) AS peak_voxel FROM P GROUP BY image_id, cluster""",
+)
 def cluster_table(spark, d):
-    return spatial.cluster_table(_clusters(spark, d), 8.0)
+    return rounded(spatial.cluster_table(_clusters(spark, d), 8.0), "mean", "peak")
+
+
+@query("peak_regions")
+def peak_regions(spark, d):
+    """Clusters cut into basins; tests/test_regions.py holds them against climbing voxel by voxel."""
+    return regions.peak_regions(long(spark, d), spatial.grid(spark, 4), 0.1, 2)
+
+
+@query(
+    "searchlight_distances",
+    f"""WITH {LONG}, {VOX}, N AS (SELECT a.voxel_id AS c, b.voxel_id AS n FROM V a, V b WHERE {D2} <= 1),
+    D AS (SELECT c, a.label IS NOT DISTINCT FROM b.label AS same, sqrt(sum((a.value - b.value) ** 2)) AS v FROM L a JOIN L b ON a.voxel_id = b.voxel_id AND a.image_id < b.image_id JOIN N ON N.n = a.voxel_id GROUP BY c, a.image_id, b.image_id, a.label, b.label)
+    SELECT CAST(c AS INTEGER) AS center_id, same, count(*) AS pairs, round(avg(v), 6) + 0.0 AS mean, round(min(v), 6) + 0.0 AS nearest, round(max(v), 6) + 0.0 AS farthest FROM D GROUP BY c, same""",
+)
+def searchlight_distances(spark, d):
+    """Distances of all pairs of images in all spheres, summed up for pairs of one label and of two."""
+    i = images(spark, d)
+    found = searchlight.searchlight_distances(i, spatial.grid(spark, 4), 1.0)
+    of = i.select("image_id", "label")
+    both = found.join(of.select(F.col("image_id").alias("i"), F.col("label").alias("a")), "i").join(of.select(F.col("image_id").alias("j"), F.col("label").alias("b")), "j")
+    made = both.groupBy("center_id", F.col("a").eqNullSafe(F.col("b")).alias("same")).agg(F.count("*").alias("pairs"), F.avg("value").alias("mean"), F.min("value").alias("nearest"), F.max("value").alias("farthest"))
+    return rounded(made, "mean", "nearest", "farthest")
+
+
+@query(
+    "image_resample_affine",
+    f"""WITH {LONG}, {VOX} SELECT image_id, CAST(i // 2 * 4 + j // 2 * 2 + k // 2 AS INTEGER) AS voxel_id, round(avg(value), 6) + 0.0 AS value FROM L JOIN V USING (voxel_id) GROUP BY image_id, i // 2, j // 2, k // 2""",
+)
+def image_resample_affine(spark, d):
+    """Onto voxels twice as wide, whose centres lie between eight voxels."""
+    to = [[4.0, 0, 0, 1.0], [0, 4.0, 0, 1.0], [0, 0, 4.0, 1.0], [0, 0, 0, 1.0]]
+    unit = [[2.0, 0, 0, 0], [0, 2.0, 0, 0], [0, 0, 2.0, 0], [0, 0, 0, 1.0]]
+    made = searchlight.resample(images(spark, d), spatial.grid(spark, 4), unit, spatial.grid(spark, 2), to)
+    return rounded(explode_images(made.select("image_id", "values")), "value")
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import distributions as dist
-from tessera.operators import alignment, images, inference, matrices, models, prediction, series, spatial
+from tessera.operators import alignment, images, inference, matrices, models, prediction, regions, series, spatial
 from tessera.sources import files
 from tessera.streaming.moments import running_moments
 
@@ -137,9 +137,9 @@ def test_clusters_are_26_connected_and_of_one_sign(spark):
     v = spatial.grid(spark, 3)
     values = {0: 2.0, 13: 2.0, 26: 2.0, 2: -2.0, 18: 2.0}
     long = frame(spark, [(1, k, values.get(k, 0.0)) for k in range(27)], "image_id long, voxel_id int, value double")
-    got = {(q["cluster"], q["voxel_id"]) for q in spatial.clusters(long, v, 1.0).collect()}
+    got = {(q["cluster"], q["voxel_id"]) for q in regions.clusters(long, v, 1.0).collect()}
     assert got == {(1, 0), (1, 13), (1, 18), (1, 26), (2, 2)}
-    assert [q["n_voxels"] for q in spatial.cluster_table(spatial.clusters(long, v, 1.0, 2)).collect()] == [4]
+    assert [q["n_voxels"] for q in spatial.cluster_table(regions.clusters(long, v, 1.0, 2)).collect()] == [4]
 
 
 def test_files_round_trip(spark, tmp_path):
