@@ -7,10 +7,15 @@ Spark sums in each task before its shuffle. Nulls are skipped by aggregates; NaN
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import array_center, array_mean, array_std, array_sum, let, safe_div
+from tessera.operators.sums import sum_arrays
 from tessera.sources.tables import explode_images
 
 REDUCERS = {
@@ -65,11 +70,76 @@ def threshold(frame: DataFrame, lower: float | None = None, upper: float | None
     return frame.withColumn("values", F.transform("values", one))
 
 
+#: Buckets of a pass of value_at, and values that it sorts at the end.
+BUCKETS, SORTED = 4096, 100_000
+
+
+def value_at(frame: DataFrame, places: Sequence[int], values: str = "values") -> list[float]:
+    """The values at places (from 0) in the order of all values of all vectors.
+
+    Each pass counts the values of a range by buckets and goes on with the bucket that holds the place, until its values are few
+    or equal; those are counted by value. Counts alone are sent, whatever the number of vectors. Null and NaN values are left
+    out, infinite ones are an error, as is a place beyond the values.
+    """
+    rows, out = frame.select(values), []
+    for place in places:
+        low, high, last = -np.inf, np.inf, None
+        while True:
+
+            def counted(batch: pd.DataFrame, low: float = low, high: float = high) -> np.ndarray:
+                x = np.concatenate([np.asarray(v, float) for v in batch[values] if v is not None] or [np.zeros(0)])
+                x = x[~np.isnan(x)]
+                inside = x[(x >= low) & (x <= high)]
+                least, most = (inside.min(), inside.max()) if len(inside) else (np.inf, -np.inf)
+                return np.array([(x < low).sum(), len(inside), least, most], float)
+
+            below, n, low, high = _range_of(rows, counted)
+            if not below <= place < below + n:
+                raise ValueError("a place beyond the values")
+            if not (np.isfinite(low) and np.isfinite(high)):
+                raise ValueError("vectors hold infinite values")
+            if low == high or n <= SORTED or (low, high) == last:  # the last: neighbouring numbers, so few values
+                flat = rows.select(F.explode(values).alias("v")).filter(F.col("v").between(low, high) & ~F.isnan("v"))
+                for row in flat.groupBy("v").count().orderBy("v").toLocalIterator():  # SORTED rows at most
+                    below += row["count"]
+                    if place < below:
+                        out.append(row["v"])
+                        break
+                break
+            edges, last = np.linspace(low, high, BUCKETS + 1), (low, high)
+
+            def histogram(batch: pd.DataFrame, edges: np.ndarray = edges) -> np.ndarray:
+                x = np.concatenate([np.asarray(v, float) for v in batch[values] if v is not None] or [np.zeros(0)])
+                return np.histogram(x[(x >= edges[0]) & (x <= edges[-1])], edges)[0].astype(float)
+
+            upto = below + np.cumsum(sum_arrays(rows, histogram))
+            b = int(np.searchsorted(upto, place, "right"))
+            low, high = float(edges[b]), float(edges[b + 1])
+    return out
+
+
+def _range_of(rows: DataFrame, counted) -> tuple[int, int, float, float]:
+    """Sums of the first two numbers, the least of the third and the most of the fourth, over all batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame([counted(batch)], columns=["below", "n", "low", "high"])
+
+    got = rows.mapInPandas(run, "below double, n double, low double, high double").agg(F.sum("below"), F.sum("n"), F.min("low"), F.max("high")).first()
+    return int(got[0] or 0), int(got[1] or 0), got[2], got[3]
+
+
 def threshold_percentile(frame: DataFrame, percent: float) -> DataFrame:
-    """Zero what lies below the percentile over all values of all images."""
-    cut = explode_images(frame.select("values")).agg(F.percentile("value", percent / 100).alias("cut"))
-    cutting = frame.join(F.broadcast(cut))
-    return cutting.withColumn("values", F.transform("values", lambda x: F.when(x < F.col("cut"), F.lit(0.0)).otherwise(x))).drop("cut")
+    """Zero what lies below the percentile over all values of all images (between two values, by distance).
+    Null and NaN values do not count; without values frame is as it was."""
+    n = frame.select(F.explode("values").alias("v")).filter(~F.isnan("v")).count()
+    if not n:
+        return frame
+    at = percent / 100 * (n - 1)
+    a, b = value_at(frame, [int(np.floor(at)), int(np.ceil(at))])
+    cut = a + (b - a) * (at - np.floor(at))
+    return frame.withColumn("values", F.transform("values", lambda x: F.when(x < F.lit(float(cut)), F.lit(0.0)).otherwise(x)))
 
 
 def arithmetic(frame: DataFrame, op: str, other: float) -> DataFrame:

@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import corr_of_moments, moments, safe_div
+from tessera.operators.ranks import ordered_places
 
 Signs = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -131,14 +132,14 @@ def one_sample_permutation(frame: DataFrame, replicates: int, signs: Signs | Non
 def shuffled_places(ids: DataFrame, key: str, replicates: int, order: Column | None = None) -> DataFrame:
     """replicate, key, place, old: a random order of the samples for each replicate, replicate 0 their own.
 
-    One window a replicate. For designs of a bounded number of samples: the table has
-    replicates times samples rows.
+    Places are counted over range partitions, so neither a replicate nor the samples are one task; the own order is made once
+    for all replicates. The table has replicates times samples rows.
     """
-    grid = ids.select(key).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)).cast("array<bigint>")))
+    own = ordered_places(ids.select(key), [], [key], "old")
+    grid = own.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)).cast("array<bigint>")))
     mixed = order if order is not None else F.xxhash64("replicate", key)
-    own = F.when(F.col("replicate") == 0, F.col(key)).otherwise(mixed)
-    placed = grid.withColumn("place", F.row_number().over(Window.partitionBy("replicate").orderBy(own, key)))
-    return placed.withColumn("old", F.row_number().over(Window.partitionBy("replicate").orderBy(key)))
+    placed = ordered_places(grid.withColumn("mixed_", F.when(F.col("replicate") == 0, F.col(key)).otherwise(mixed)), ["replicate"], ["mixed_", key])
+    return placed.select("replicate", key, "place", "old")
 
 
 def two_sample_permutation(frame: DataFrame, first: Column, replicates: int, order: Column | None = None, tail: str = "two") -> DataFrame:

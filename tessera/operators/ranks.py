@@ -8,6 +8,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import corr_of_moments, moments, safe_div
+from tessera.sources.scratch import keep
+
+
+def ordered_places(frame: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "place", total: str | None = None) -> DataFrame:
+    """frame with each row's place from 1 in `order` within `by`, and the rows of its `by` as `total` if that is named.
+
+    Rows are range partitioned by both and sorted in their tasks, so a group of any size is many tasks; a row's place is its place in its
+    part of the group plus the rows of the parts before, whose counts are a row a part and group. Nulls come first; equal
+    rows have neighbouring places in any order. The rows are saved once, for parts to be the same for both.
+    """
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
+    rows = keep(dealt.withColumn("at_", F.monotonically_increasing_id()), "places").withColumn("part_", F.shiftright("at_", 33))
+    counts = rows.groupBy("part_", *by).agg(F.min("at_").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    whole = Window.partitionBy(*by)  # a row a part
+    before = F.sum("n_").over(whole.orderBy("part_").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_")
+    parts = counts.select(F.col("part_").alias("part_2"), *[F.col(c).alias(f"{c}_2") for c in by], (before - F.col("first_") + 1).alias("add_"), F.sum("n_").over(whole).alias("all_"))
+    on = F.col("part_") == F.col("part_2")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_2"))
+    met = rows.join(parts, on).withColumn(out, F.col("at_") + F.col("add_"))
+    return met.select(*frame.columns, out, *([F.col("all_").alias(total)] if total else []))
 
 
 def average_ranks(frame: DataFrame, column: str, by: Sequence[str], out: str) -> DataFrame:
@@ -42,30 +64,36 @@ def kendall(frame: DataFrame, x: str, y: str, by: Sequence[str], key: str) -> Da
     return s.select(*by, safe_div(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 
+def _by_rank(frame: DataFrame, p: str, by: Sequence[str]) -> DataFrame:
+    """frame's rows with a p, its rank `i` from 1 and their number `n` within by."""
+    return ordered_places(frame.filter(F.col(p).isNotNull()).select(*by, p), by, [p], "i", "n")
+
+
 def fdr_threshold(frame: DataFrame, p: str, q: float, by: Sequence[str]) -> DataFrame:
     """by..., threshold: Benjamini and Hochberg's largest p at or under rank * q / n, else -1."""
-    w = Window.partitionBy(*by)
-    ranked = frame.filter(F.col(p).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(p))).withColumn("n", F.count(F.lit(1)).over(w))
+    ranked = _by_rank(frame, p, by)
     return ranked.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col(p) <= F.col("i") * q / F.col("n"), F.col(p))), F.lit(-1.0)).alias("threshold"))
 
 
 def holm_threshold(frame: DataFrame, p: str, alpha: float, by: Sequence[str]) -> DataFrame:
     """by..., threshold: the largest p at or under alpha / (n - rank + 1) (step-up), else -1."""
-    w = Window.partitionBy(*by)
-    ranked = frame.filter(F.col(p).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(p))).withColumn("n", F.count(F.lit(1)).over(w))
     passed = F.when(F.col(p) <= alpha / (F.col("n") - F.col("i") + 1), F.col(p))
-    return ranked.groupBy(*by).agg(F.coalesce(F.max(passed), F.lit(-1.0)).alias("threshold"))
+    return _by_rank(frame, p, by).groupBy(*by).agg(F.coalesce(F.max(passed), F.lit(-1.0)).alias("threshold"))
 
 
 def stratified_folds(frame: DataFrame, y: str, key: str, k: int, by: Sequence[str]) -> DataFrame:
     """fold: sorted ranks of y dealt round to k folds, ties by key."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(y, key)) - 1
-    return frame.withColumn("fold", F.pmod(rank, F.lit(k)).cast("long"))
+    placed = ordered_places(frame, by, [y, key], "place_")
+    return placed.withColumn("fold", F.pmod(F.col("place_") - 1, F.lit(k)).cast("long")).drop("place_")
 
 
 def contiguous_folds(frame: DataFrame, key: str, k: int, by: Sequence[str]) -> DataFrame:
     """fold: k runs in the order of key, the first n % k of them one longer."""
-    return frame.withColumn("fold", (F.ntile(k).over(Window.partitionBy(*by).orderBy(key)) - 1).cast("long"))
+    placed = ordered_places(frame, by, [key], "place_", "n_all_")
+    at, short = F.col("place_") - 1, F.floor(F.col("n_all_") / k)
+    long_ones = (F.col("n_all_") % k) * (short + 1)  # rows of the runs that are one longer
+    fold = F.when(at < long_ones, F.floor(at / (short + 1))).otherwise(F.col("n_all_") % k + F.floor((at - long_ones) / F.greatest(short, F.lit(1))))
+    return placed.withColumn("fold", fold.cast("long")).drop("place_", "n_all_")
 
 
 def group_folds(frame: DataFrame, group: str) -> DataFrame:

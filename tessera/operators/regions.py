@@ -12,7 +12,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import Scratch
+from tessera.sources.scratch import Scratch, keep
 
 #: Half of the 26 steps to a neighbour, one of each pair of opposite ones; and all of them.
 HALF = [s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
@@ -77,20 +77,15 @@ def clusters(long: DataFrame, voxels: DataFrame, threshold: float, min_size: int
     """image_id, cluster, voxel_id, value: 26-connected voxels of one sign with |value| >= threshold.
 
     Clusters of at least min_size voxels, numbered from 1 by size, ties by smallest voxel. Null and NaN values and
-    voxels without a place are left out; an (image, voxel) is expected once. The result reads tables saved in the
-    shared folder. No voxel over the threshold: empty result.
+    voxels without a place are left out; an (image, voxel) is expected once. The result is a table in the
+    shared folder (tessera.sources.scratch.drop removes it). No voxel over the threshold: empty result.
     """
     held = long.filter(~F.isnan("value"))
     with Scratch(long.sparkSession, "regions") as scratch:
         rows = scratch.save(placed(held, voxels, threshold))
         found = components(rows.withColumnRenamed("voxel_id", "node"), neighbours(rows, HALF), scratch)
         named = rows.join(found.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("region")), ["image_id", "voxel_id"])
-        return _kept(_numbered(named, min_size))
-
-
-def _kept(frame: DataFrame) -> DataFrame:
-    """A result that outlives the scratch folder of its making."""
-    return Scratch(frame.sparkSession, "found").save(frame)
+        return keep(_numbered(named, min_size))
 
 
 def peak_regions(long: DataFrame, voxels: DataFrame, threshold: float, min_size: int = 1) -> DataFrame:
@@ -115,4 +110,4 @@ def peak_regions(long: DataFrame, voxels: DataFrame, threshold: float, min_size:
                 break
         named = rows.join(climbs.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("region")), ["image_id", "voxel_id"])
         numbered = _numbered(named, min_size).join(climbs.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("peak")), ["image_id", "voxel_id"])
-        return _kept(numbered)
+        return keep(numbered)

@@ -33,3 +33,16 @@ class Scratch:
     def __exit__(self, *error) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def keep(df: DataFrame, label: str = "kept") -> DataFrame:
+    """df saved in the shared folder for results that read it later; it stays until drop() or the folder is emptied."""
+    return Scratch(df.sparkSession, label).save(df)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what keep() saved, once nothing reads it any more."""
+    for folder in {name.rsplit("/", 2)[0] for df in frames for name in df.inputFiles()}:
+        if "/tessera-" in folder:
+            path = frames[0].sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(frames[0].sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
