@@ -13,11 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sums import sum_arrays
-from tessera.sources.scratch import Scratch
+from tessera.operators.inference import p_from_replicates, shuffled_places
+from tessera.operators.sums import sum_arrays, sum_arrays_by
+from tessera.operators.searchlight import coordinates, neighbour_lists
+from tessera.sources.scratch import Scratch, keep
 
 
 def procrustes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float]:
@@ -235,3 +237,191 @@ def assign(cost: np.ndarray) -> list[int]:
         while j0:
             match[j0], j0 = match[way[j0]], way[j0]
     return [int(np.flatnonzero(match[1:] == i)[0]) for i in range(1, n + 1)]
+
+
+def procrustes_distance(frame: DataFrame, a: str, b: str, key: str, replicates: int, order: Column | None = None, tail: str = "upper") -> DataFrame:
+    """stat, p: the Procrustes similarity of two matrices, rows (key, a: array, b: array), by shuffled rows of a.
+
+    The similarity is 1 less the disparity of both matrices, centred and of norm one: the squared sum of the singular
+    values of A'B. A replicate needs its A'B alone: rows meet by their places in the shuffle, tasks add up outer products, and
+    the small SVDs are spread over the replicates. Matrices of different widths are as if filled with zeros. `tail` as of the
+    permutation tests. A side without variance is an error, as are null values.
+    """
+
+    def moments(batch: pd.DataFrame) -> np.ndarray:
+        x, y = np.stack(batch[a].to_list()).astype(float), np.stack(batch[b].to_list()).astype(float)
+        return np.concatenate([[len(x), (x * x).sum(), (y * y).sum()], x.sum(axis=0), y.sum(axis=0)])
+
+    sums = sum_arrays(frame.select(a, b), moments)
+    if sums is None:
+        raise ValueError("there are no rows")
+    wide = len(frame.select(a).first()[0])
+    n, mean_a, mean_b = sums[0], sums[3 : 3 + wide] / sums[0], sums[3 + wide :] / sums[0]
+    norm_a, norm_b = np.sqrt(max(sums[1] - n * mean_a @ mean_a, 0)), np.sqrt(max(sums[2] - n * mean_b @ mean_b, 0))
+    if not (np.isfinite(norm_a) and np.isfinite(norm_b)) or norm_a <= 1e-12 * np.sqrt(sums[1]) or norm_b <= 1e-12 * np.sqrt(sums[2]):
+        raise ValueError("a matrix without variance cannot be aligned")
+    places = shuffled_places(frame, key, replicates, order)
+    left = places.join(frame.select(key, a), key).select("replicate", "place", a)
+    right = places.join(frame.select(key, b), key).select("replicate", F.col("old").alias("place"), b)
+    met = left.join(right, ["replicate", "place"]).select("replicate", a, b)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]]:
+        held: dict = {}
+        for batch in batches:
+            for r, rows in batch.groupby("replicate"):
+                made = (np.stack(rows[a].to_list()).astype(float) - mean_a).T @ (np.stack(rows[b].to_list()).astype(float) - mean_b)
+                held[r] = held[r] + made if r in held else made
+        yield from ((r, m.reshape(1, -1)) for r, m in held.items())
+
+    cross = sum_arrays_by(met, "long", products, cells=wide * len(mean_b))
+
+    def similarity(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                s = np.linalg.svd(np.stack(batch["flat"].to_list()).reshape(len(batch), wide, -1) / (norm_a * norm_b), compute_uv=False)
+                yield pd.DataFrame({"replicate": batch["key"], "value": s.sum(axis=1) ** 2})
+
+    stats = cross.select("key", "flat").mapInPandas(similarity, "replicate long, value double")
+    return p_from_replicates(stats.withColumn("one", F.lit(1)), ["one"], tail).drop("one")
+
+
+def align_states(states: DataFrame, reference: np.ndarray, metric: str = "correlation", group: str = "subject", state: str = "state", values: str = "values") -> DataFrame:
+    """group, state, matched, cost: each group's states (rows with a vector) given to the rows of reference so that the
+    group's total distance is least.
+
+    metric "correlation" (1 - r; 1 where a side is constant) or "euclidean". A task makes the distances of its own
+    vectors to the reference; a group's task gets those numbers alone, states by references. Of equally good assignments any
+    is taken. States beyond the references' number are not matched (null); fewer leave references without a state. Null vectors are errors.
+    """
+    if metric not in ("correlation", "euclidean"):
+        raise ValueError(f"metric is correlation or euclidean, not {metric!r}")
+    reference = np.asarray(reference, float)
+    kinds = dict(states.dtypes)
+
+    def costs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch[values].to_list()).astype(float)
+            if metric == "euclidean":
+                made = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ reference.T + (reference * reference).sum(axis=1), 0))
+            else:
+                u, v = x - x.mean(axis=1, keepdims=True), reference - reference.mean(axis=1, keepdims=True)
+                size = np.linalg.norm(u, axis=1)[:, None] * np.linalg.norm(v, axis=1)
+                made = 1 - np.divide(u @ v.T, size, out=np.zeros((len(x), len(reference))), where=size > 1e-12)
+            yield batch[[group, state]].assign(costs=list(made))
+
+    def matched(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values(state).reset_index(drop=True)
+        cost = np.stack(table["costs"].to_list())
+        if len(cost) <= cost.shape[1]:
+            to = [(k, c) for k, c in enumerate(assign(cost))]
+        else:
+            to = [(k, c) for c, k in enumerate(assign(cost.T))]
+        out = table[[group, state]].assign(matched=pd.array([None] * len(table), dtype="Int32"), cost=np.nan)
+        for k, c in to:
+            out.loc[k, "matched"], out.loc[k, "cost"] = c, cost[k, c]
+        return out
+
+    schema = f"{group} {kinds[group]}, {state} {kinds[state]}"
+    made = states.select(group, state, values).mapInPandas(costs, f"{schema}, costs array<double>")
+    return made.groupBy(group).applyInPandas(matched, f"{schema}, matched int, cost double")
+
+
+def local_rows(images: DataFrame, points: np.ndarray, radius: float, subject: str = "subject", t: str = "t", values: str = "values", piece: int = 256) -> DataFrame:
+    """center, subject, matrix (sphere by times, row by row), times: each subject's series in each sphere.
+
+    Images are cut by pieces of centres, each with the voxels of its spheres; a task makes the spheres of one
+    piece and subject. Times are in the order of t, and all of a subject's are there.
+    """
+    pieces = [np.arange(lo, min(lo + piece, len(points))) for lo in range(0, len(points), piece)]
+    kinds = dict(images.dtypes)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reach = [np.unique(neighbour_lists(points, c, radius)[0]) for c in pieces]
+        for batch in batches:
+            for n, own in enumerate(reach):
+                if len(batch):
+                    yield pd.DataFrame({"subject": batch[subject], "t": batch[t], "piece": n, "x": [np.asarray(v, float)[own] for v in batch[values]]})
+
+    def spheres(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        listed, begin = neighbour_lists(points, pieces[group["piece"].iloc[0]], radius)
+        x = np.stack(group["x"].to_list()).T  # voxels by times
+        at = np.searchsorted(np.unique(listed), listed)
+        made = [x[at[a:b]].reshape(-1) for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        n = len(made)
+        return pd.DataFrame({"center": pieces[group["piece"].iloc[0]], "subject": [group["subject"].iloc[0]] * n, "matrix": made, "times": [x.shape[1]] * n})
+
+    rows = images.select(subject, t, values).mapInPandas(cut, f"subject {kinds[subject]}, t {kinds[t]}, piece int, x array<double>")
+    return rows.groupBy("piece", "subject").applyInPandas(spheres, f"center int, subject {kinds[subject]}, matrix array<double>, times int")
+
+
+def align_local(
+    images: DataFrame, voxels: DataFrame, radius: float, method: str = "hyperalignment", features: int | None = None, rounds: int = 2, subject: str = "subject", t: str = "t", values: str = "values", seed: int = 0
+) -> DataFrame:
+    """subject, voxel_id, t (its place from 0), value: each voxel by the alignment of the sphere around it.
+
+    images(subject, t, values): all subjects at the same number of times. In each sphere subjects' data, centred over time and of norm one, are
+    mapped to a template by rotations: "hyperalignment" starts from their mean, "srm" from `features` random responses (deterministic
+    shared response); the template is the mean of what is mapped, `rounds` times. A voxel's value is its row of the
+    template's image in the subject's space: hyperalignment turns the subject's data into the template's axes and keeps the
+    axis of the centre; srm gives the response as the centre voxel of that subject sees it.
+
+    A row is one subject's sphere, saved once; a task maps its rows, and templates' sums meet by sphere on the executors, so neither a
+    sphere's subjects nor a subject's spheres are one group. Overlapping spheres are each for themselves.
+    """
+    if method not in ("hyperalignment", "srm"):
+        raise ValueError(f"method is hyperalignment or srm, not {method!r}")
+    points = coordinates(voxels)
+    kind = dict(images.dtypes)[subject]
+    scratch = Scratch(images.sparkSession, "local")
+
+    def unit(flat: np.ndarray, times: int) -> np.ndarray:
+        x = np.asarray(flat, float).reshape(-1, times)
+        x = x - x.mean(axis=1, keepdims=True)
+        return x / (np.linalg.norm(x) or 1.0)
+
+    def mapped(x: np.ndarray, template: np.ndarray | None, center: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the map, sphere by axes; the data on the template's axes)"""
+        if template is None and method == "hyperalignment":
+            return np.eye(len(x)), x
+        if template is None:
+            k = min(features or len(x), *x.shape)
+            template = np.linalg.qr(np.random.default_rng([seed, center]).standard_normal((x.shape[1], k)))[0].T
+        w = rotation_onto(x, template)
+        return w, w.T @ x
+
+    def means(rows: DataFrame, templated: bool) -> DataFrame:
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]]:
+            for batch in batches:
+                for r in batch.to_dict("records"):
+                    template = np.asarray(r["template"], float).reshape(-1, r["times"]) if templated else None
+                    made = mapped(unit(r["matrix"], r["times"]), template, r["center"])[1]
+                    yield r["center"], np.append(made.reshape(-1), 1.0)[None, :]
+
+        sums = sum_arrays_by(rows, "int", add, cells=1 << 24)
+        n = F.element_at("flat", -1)
+        return sums.select(F.col("key").alias("of_center"), F.transform(F.slice("flat", 1, F.size("flat") - 1), lambda v: v / n).alias("template"))
+
+    with scratch:
+        data = scratch.save(local_rows(images, points, radius, subject, t, values))
+        if data.select("times").distinct().count() > 1:
+            raise ValueError("subjects need equal numbers of times")
+        template = scratch.save(means(data, False))
+        for _ in range(rounds - 1):
+            template = scratch.save(means(data.join(template, F.col("center") == F.col("of_center")), True))
+
+        def centre_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.to_dict("records"):
+                    x = unit(r["matrix"], r["times"])
+                    shared = np.asarray(r["template"], float).reshape(-1, r["times"])
+                    w, turned = mapped(x, shared, r["center"])
+                    listed, _ = neighbour_lists(points, np.array([r["center"]]), radius)
+                    own = int(np.flatnonzero(listed == r["center"])[0])
+                    made = turned[own] if method == "hyperalignment" else w[own] @ shared
+                    yield pd.DataFrame({"subject": r["subject"], "voxel_id": r["center"], "t": np.arange(r["times"]), "value": made})
+
+        met = data.join(template, F.col("center") == F.col("of_center"))
+        return keep(met.mapInPandas(centre_rows, f"subject {kind}, voxel_id int, t long, value double"), "local")

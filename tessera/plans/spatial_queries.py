@@ -10,6 +10,7 @@ from tessera.operators import alignment, prediction, regions, searchlight, simul
 from tessera.plans.image_queries import LONG, atlas
 from tessera.plans.inference_queries import all_subjects, shared_subjects
 from tessera.plans.registry import query
+from tessera.sources.scratch import keep
 from tessera.sources.tables import explode_images, images, table
 
 VOX = "V AS (SELECT v AS voxel_id, v // 16 AS i, (v // 4) % 4 AS j, v % 4 AS k FROM (SELECT unnest(generate_series(0, 63)) AS v))"
@@ -133,7 +134,7 @@ def label_coordinates(spark, d):
 
 
 def matrices(spark, d):
-    return alignment.subject_matrices(shared_subjects(spark, d))
+    return keep(alignment.subject_matrices(shared_subjects(spark, d)))  # read by every pass, the maps and the transform
 
 
 @query("align_det_srm")
