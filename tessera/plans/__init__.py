@@ -13,3 +13,4 @@ from tessera.plans import decomposition_queries as decomposition_queries
 from tessera.plans import glm_queries as glm_queries
 from tessera.plans import resampling_queries as resampling_queries
 from tessera.plans import alignment_queries as alignment_queries
+from tessera.plans import volume_queries as volume_queries
