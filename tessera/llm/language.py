@@ -3,7 +3,8 @@
 A document's words come from a mixture of languages. Each word has a likelihood in each language, the
 product over its byte trigrams (with its edges marked) of their learned probabilities.
 Expectation-maximisation over the words finds the proportions of a set of languages, until the
-log-likelihood is within SETTLED of its maximum. Sets grow from the best one by the next largest
+log-likelihood is within SETTLED of its maximum (for very long texts, SETTLED_A_WORD a word). Where a language is at the edge of the set EM
+creeps, so after EM_ROUNDS a document goes on by Newton's steps on the same likelihood, a few whatever its length. Sets grow from the best one by the next largest
 proportion up to all languages, and the set is kept whose log-likelihood, less a penalty of `penalty` *
 log(words) for each further language, is largest. The prediction is that set's largest proportion,
 which is also the score.
@@ -30,8 +31,10 @@ from .words import slabs, word_bounds
 
 BUCKETS = 1 << 14
 SMOOTH, PENALTY = 0.5, 3.0
-#: Nats that a document's log-likelihood may at most lack when EM ends.
-SETTLED = 0.01
+#: Nats that a document's log-likelihood may at most lack when EM ends: so many, or so many a word.
+SETTLED, SETTLED_A_WORD = 0.01, 1e-6
+#: EM rounds of all documents of a slab together; those still open go on by Newton's steps, so many at most.
+EM_ROUNDS, NEWTON_ROUNDS = 40, 60
 #: Words seen in no training text say little: a word's likelihood ratios are held within this many nats.
 WORD_LIMIT = 12.0
 
@@ -104,14 +107,16 @@ def train(docs: DataFrame, allowed: Column) -> Model:
 def _proportions(like: np.ndarray, words: np.ndarray, share: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM for all documents of a slab at once, from `share`; a language at 0 stays there.
 
-    A document ends within SETTLED of its largest log-likelihood, or when that is known to be no more than
-    its `bar`. Returns the proportions, the documents' log-likelihoods and upper bounds of the largest.
+    A document ends within `settled` of its largest log-likelihood, or when that is known to be no more than
+    its `bar`. Rounds are bounded: EM_ROUNDS for the slab, then NEWTON_ROUNDS for a document that is still open. Returns the proportions, the documents' log-likelihoods and upper bounds of the largest.
     """
     n_langs = like.shape[1]
     share, fit, upper = share.copy(), np.zeros(len(words)), np.zeros(len(words))
     docs = np.flatnonzero(words > 0)
     at = np.repeat(np.arange(len(docs)), words[docs])  # words are in the order of their documents
-    while len(docs):
+    for _ in range(EM_ROUNDS):
+        if not len(docs):
+            return share, fit, upper
         old, n = share[docs], words[docs]
         mixed = np.einsum("ij,ij->i", like, old[at])
         # by how much each proportion grows; the likelihood's maximum is at most n * log of the largest away
@@ -119,14 +124,64 @@ def _proportions(like: np.ndarray, words: np.ndarray, share: np.ndarray, bar: np
         fit[docs] = np.bincount(at, np.log(mixed), len(docs))
         lacks = n * np.log(np.maximum(np.where(old > 0, growth, 0).max(axis=1), 1.0))
         upper[docs] = fit[docs] + lacks
-        more = (lacks > SETTLED) & (upper[docs] > bar[docs])
+        more = (lacks > settled(n)) & (upper[docs] > bar[docs])
         share[docs[more]] = (old * growth)[more]
         if not more.all():
             keep = more[at]
             like, at, docs = like[keep], (np.cumsum(more) - 1)[at[keep]], docs[more]
+    cut = np.searchsorted(at, np.arange(len(docs) + 1))
+    for k, doc in enumerate(docs):
+        share[doc], fit[doc], upper[doc] = _newton(like[cut[k] : cut[k + 1]], share[doc], bar[doc])
     return share, fit, upper
 
 
+def settled(words: np.ndarray) -> np.ndarray:
+    return np.maximum(SETTLED, SETTLED_A_WORD * words)
+
+
+def _least_square(h: np.ndarray, g: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The y >= 0 of least (y - x)' h (y - x) / 2 + g' (y - x), coordinate by coordinate: as many as languages."""
+    y, slope = x.copy(), g.copy()
+    for _ in range(500):
+        before = y.copy()
+        for k in range(len(y)):
+            to = max(0.0, y[k] - slope[k] / h[k, k])
+            slope += (to - y[k]) * h[:, k]
+            y[k] = to
+        if np.abs(y - before).max() < 1e-12:
+            break
+    return y
+
+
+def _newton(like: np.ndarray, share: np.ndarray, bar: float) -> tuple[np.ndarray, float, float]:
+    """The proportions of one document by Newton's steps on its likelihood, held at 0 or above: the curvature is a matrix of
+    languages by languages, and each step is as long as it makes the likelihood rise. A language at 0 stays there."""
+    live = np.flatnonzero(share > 0)
+    like, x, n = like[:, live], share[live], len(like)
+    for rounds in range(NEWTON_ROUNDS + 1):
+        mixed = like @ x
+        ratio = like / mixed[:, None]
+        growth, fit = ratio.mean(axis=0), float(np.log(mixed).sum())
+        lacks = n * np.log(max(float(growth.max()), 1.0))
+        if lacks <= settled(n) or fit + lacks <= bar or rounds == NEWTON_ROUNDS:
+            break
+        h = ratio.T @ ratio / n
+        h[np.diag_indices(len(x))] += 1e-9 * np.trace(h)
+        step = _least_square(h, 1 - growth, x) - x
+        slope, scale = float((1 - growth) @ step), 1.0
+        while scale > 1e-8:
+            new = x + scale * step
+            if new.sum() > 0 and (made := like @ new).min() > 0 and -np.log(made).sum() / n + new.sum() <= -fit / n + x.sum() + 1e-4 * scale * slope:
+                break
+            scale /= 2
+        else:  # no step rises any more: rounding is all that is left
+            break
+        x = new / new.sum()
+    out = np.zeros(len(share))
+    out[live] = x
+    return out, fit, fit + lacks
+
+
 def infer(model: Model, data: np.ndarray, off: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """(language index, proportion) of the largest part of each row of a slab."""
     value = infer_sets(model, data, off, penalty)

@@ -439,6 +439,38 @@ def test_language_sets_of_mixtures(spark):
             np.testing.assert_allclose(own, max(tried, key=lambda t: t[0])[1], atol=0.02)
 
 
+def edge_of_a_mixture(n, seed):
+    """Likelihoods of n words in three languages, where the best mixture of the first two is just as good with the third."""
+    r = np.random.default_rng(seed)
+    like = np.exp(-np.abs(r.normal(4, 2, (n, 3))))
+    like[: n // 2, 0] = like[n // 2 :, 1] = 1
+    two = language._proportions(like[:, :2], np.array([n]), np.array([[0.5, 0.5]]), np.array([-np.inf]))[0][0]
+    like[:, 2] /= (like[:, 2] / (like[:, :2] @ two)).mean()
+    return like
+
+
+def test_language_rounds_are_bounded_at_the_edge_of_a_set(monkeypatch):
+    like = edge_of_a_mixture(20_000, 1)
+    shares = np.full((1, 3), 1 / 3)
+    got, fit, upper = language._proportions(like, np.array([len(like)]), shares, np.array([-np.inf]))
+    assert upper[0] - fit[0] <= language.settled(len(like))  # the bound holds for any mixture
+    share = shares[0]
+    for _ in range(4000):
+        w = like * share
+        share = (w / w.sum(axis=1, keepdims=True)).mean(axis=0)
+    assert np.log(like @ got[0]).sum() >= np.log(like @ share).sum() - language.SETTLED and abs(got[0].sum() - 1) < 1e-9
+    # Newton's steps alone, from a set without the third language, and a hundred documents of them
+    assert language._newton(like, np.array([0.5, 0.5, 0.0]), -np.inf)[0][2] == 0
+    monkeypatch.setattr(language, "EM_ROUNDS", 0)
+    alone, again, _ = language._proportions(like, np.array([len(like)]), shares, np.array([-np.inf]))
+    assert abs(again[0] - fit[0]) <= 2 * language.SETTLED
+    monkeypatch.undo()
+    long = edge_of_a_mixture(1_000_000, 2)
+    begun = time.process_time()
+    _, fit, upper = language._proportions(long, np.array([len(long)]), shares, np.array([-np.inf]))
+    assert time.process_time() - begun < 30 and upper[0] - fit[0] <= language.settled(len(long))
+
+
 # top-k
 
 
