@@ -124,7 +124,8 @@ def descend(samples: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int = TRAIN_DOCS) -> Model:
     """Fit on labelled documents whose doc_id passes `allowed`.
 
-    At most max_docs / 2 documents of each label, those of the smallest id hash. An id with two
+    At most max_docs / 2 documents of each label, those of the smallest id hash, and one row of each (the smallest
+    text of those that share the id), so that max_docs bounds what comes to the driver. An id with two
     different labels, or a null one, teaches nothing. With one label only, or none, the model is
     that label's constant (0.5 without any).
     """
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, max_docs: int = T
     chosen = [(int(r["known_id"]), int(r["label"])) for p in picked for r in p.collect()]
     spark = docs.sparkSession
     small = F.broadcast(spark.createDataFrame(chosen, "known_id long, label int"))  # at most max_docs rows
-    sampled = docs.join(small, docs["doc_id"] == small["known_id"]).select("label", "text")
+    sampled = docs.join(small, docs["doc_id"] == small["known_id"]).groupBy("known_id", "label").agg(F.min("text").alias("text")).select("label", "text")
     rows = sampled.mapInArrow(_counts, "label int, ids binary, shares binary").collect()
     samples = sorted((r["label"], bytes(r["ids"]), bytes(r["shares"])) for r in rows)  # one order for any number of tasks
     found = [(k, np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for k, i, s in samples if i]
@@ -178,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_docs:
     Learns only from ids whose crc32 modulo 4 is not 2; those with 2 are held out. Only doc_id and
     text are read of docs, doc_id and quality of labels. Null or empty text, or one too short for any
     token, has the score of the bias alone. A null id is not held out and teaches nothing. Repeated
-    rows are scored alike. Empty table: empty result.
+    rows are scored alike; of rows that share an id one is learned from. Empty table: empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(rows, labels.select("doc_id", "quality"), remainder() != 2, max_docs)
@@ -189,7 +190,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_docs:
 
 
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs whose text reaches the threshold, with all their columns, in one pass."""
+    """The rows of docs whose text reaches the threshold, with all their columns, in one pass.
+
+    Trained as score() is. Null, empty and very short texts have the score of the bias alone, and stay or go with it;
+    rows that repeat an id, or have none, are judged each by its text. Empty table: empty result.
+    """
     model = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels.select("doc_id", "quality"), remainder() != 2)
     at = docs.columns.index("text")
 
