@@ -89,11 +89,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 
 def ownership(candidates: DataFrame) -> DataFrame:
     """value, n_repos, n_owners: in how many distinct repositories and under how many owners it occurs;
-    a null owner or repository counts as one more."""
+    null ones, all together, count as one more."""
     some = candidates.filter("value IS NOT NULL")
-    return some.groupBy("value").agg(
-        F.countDistinct(F.coalesce("repo", F.lit(""))).alias("n_repos"), F.countDistinct(F.coalesce("owner", F.lit(""))).alias("n_owners")
-    )
+
+    def distinct(c: str) -> Column:
+        return F.countDistinct(c) + F.max(F.col(c).isNull().cast("int"))
+
+    return some.groupBy("value").agg(distinct("repo").alias("n_repos"), distinct("owner").alias("n_owners"))
 
 
 def _joined(spans: Column) -> Column:
@@ -157,7 +159,6 @@ def _sql_kind(kind: int, pattern: str, group: int) -> str:
     )
 
 
-#: Judges by owners alone: the same results as long as no value of few owners is in more than MAX_REPOS documents.
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 k AS ({" UNION ALL ".join(_sql_kind(n, p, 2 * (n == 0)) for n, p in enumerate((ASSIGN, ACCESS, HEX, TOKEN)))}),
@@ -166,7 +167,7 @@ p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORD
 c AS (SELECT doc_id, source, kind, stop - length(m) AS start, stop, v FROM p
       WHERE kind IN (1, 2) OR kind = 0 AND length(v) >= {ASSIGN_MIN}
          OR kind = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')),
-o AS (SELECT v, count(DISTINCT source) <= {MAX_OWNERS} AS live FROM c GROUP BY v),
+o AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) <= {MAX_OWNERS} AND count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) <= {MAX_REPOS} AS live FROM c GROUP BY v),
 s AS (SELECT c.*, live FROM c JOIN o USING (v) WHERE kind < 3 OR NOT EXISTS
       (SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.kind < 3 AND b.start < c.stop AND c.start < b.stop)),
 t AS (SELECT *, ['assign', 'access', 'hex', 'token'][kind + 1] || ':' || start || ':' || stop AS span FROM s)

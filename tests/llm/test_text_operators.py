@@ -373,6 +373,54 @@ def test_quality_held_out_accuracy(spark, odd, none):
 # language
 
 
+def test_quality_descent_equals_a_plain_one(monkeypatch):
+    """The same steps with Python's numbers, one after the other."""
+    monkeypatch.setattr(quality, "BUCKETS", 40)
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    draw = np.random.default_rng(4)
+    samples = []
+    for label in (0, 1, 1, 0, 1):
+        ids = np.sort(draw.choice(40, 6, replace=False)).astype(np.int32)
+        samples.append((label, ids, (np.ones(6) / 6).astype(np.float32)))
+    got = quality.descend(samples)
+    rng = np.random.default_rng(quality.SEED)
+    table = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (40, quality.DIM)).tolist()
+    out, bias = rng.normal(0, 0.1, (quality.DIM, 2)).tolist(), [0.0, 0.0]
+    done = 0
+    for _ in range(3):
+        for k in rng.permutation(len(samples)):
+            rate = quality.RATE * (1 - done / 15)
+            done += 1
+            label, ids, shares = samples[k]
+            mean = [sum(float(s) * table[i][d] for i, s in zip(ids, shares, strict=True)) for d in range(quality.DIM)]
+            z = [sum(m * o[c] for m, o in zip(mean, out, strict=True)) + bias[c] for c in (0, 1)]
+            e = [np.exp(v - max(z)) for v in z]
+            p = [v / sum(e) - (c == label) for c, v in enumerate(e)]
+            back = [o[0] * p[0] + o[1] * p[1] for o in out]
+            for d in range(quality.DIM):
+                for c in (0, 1):
+                    out[d][c] -= rate * mean[d] * p[c]
+            bias = [b - rate * v for b, v in zip(bias, p, strict=True)]
+            for i, s in zip(ids, shares, strict=True):
+                for d in range(quality.DIM):
+                    table[i][d] -= rate * len(ids) ** 0.5 * float(s) * back[d]
+    want = [sum(t[d] * (out[d][1] - out[d][0]) for d in range(quality.DIM)) for t in table]
+    np.testing.assert_allclose(got.weight, want, atol=1e-4)
+    assert got.bias == pytest.approx(bias[1] - bias[0], abs=1e-4)
+
+
+def test_quality_takes_no_more_rows_than_its_bound(spark, monkeypatch):
+    """A labelled id that a thousand rows share is one row of training, the smallest text."""
+    rows = [(k, f"{'good text of words' if k % 2 else 'zz qq !!'} {n % 7}") for k in range(12) for n in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "descend", lambda found: seen.extend(found) or quality.Model(np.zeros(quality.BUCKETS), 0.0))
+    quality.train(docs, labels, F.lit(True), max_docs=4)
+    assert sorted(label for label, _, _ in seen) == [0, 0, 1, 1]
+    assert len({i.tobytes() for _, i, _ in seen}) == 2
+
+
 def test_language_held_out_accuracy(spark, odd, none):
     docs = table(spark, "documents")
     got = language.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
@@ -648,6 +696,28 @@ def test_secrets_in_many_repositories_of_few_owners_are_examples(spark):
     assert got[300]["spans"] == "token:4:28"
 
 
+def test_secrets_sql_holds_both_rules(spark, tmp_path):
+    """Values over one bound alone, in documents and owners that may be null: the SQL without either rule is wrong."""
+    many = secrets.MAX_REPOS + 1
+    values = [f"Abcdefgh1234567{k}IJKLmnop" for k in range(5)]
+    rows = [(k, f"see {values[0]}", "one") for k in range(many)]  # many documents of one owner
+    rows += [(100 + k, f"see {values[1]} x", f"owner{k}") for k in range(secrets.MAX_OWNERS + 1)]  # many owners of few documents
+    rows += [(200 + k, f"y {values[2]}", "one") for k in range(many - 1)]  # live
+    rows += [(300, f"z {values[3]}", None), (301, f"z {values[3]}", "a"), (302, f"z {values[3]}", "b")]  # no owner is one more
+    rows += [(400, f"z {values[4]}", ""), (401, f"z {values[4]}", None), (402, "nothing", "a"), (403, None, "a")]  # the empty name and none are two
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    got = secrets.find_secrets(docs).toPandas().sort_values("doc_id").reset_index(drop=True)
+    spans = dict(zip(got.doc_id, got.spans, strict=True))
+    assert [spans[k] for k in (0, 100, 200, 300, 400)] == ["", "", "token:2:26", "", "token:2:26"]
+    owners, repos = f"count(DISTINCT source) + max((source IS NULL)::INT) <= {secrets.MAX_OWNERS}", f"count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) <= {secrets.MAX_REPOS}"
+    for sql, same in ((secrets.ORACLE_SQL, True), (secrets.ORACLE_SQL.replace(owners, "true"), False), (secrets.ORACLE_SQL.replace(repos, "true"), False)):
+        want = con.sql(sql).df().sort_values("doc_id").reset_index(drop=True)[list(got.columns)]
+        assert (got.values == want.values).all() == same
+
+
 def test_mixing_matches_sql(spark, tmp_path):
     against_sql(spark, mixing.mix(table(spark, "documents")).drop("source"), mixing.ORACLE_SQL, ["documents"])
     # one source so small that its target is capped, and a null one
