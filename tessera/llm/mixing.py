@@ -29,7 +29,7 @@ from .words import word_counts
 #: Up to so many sources their table is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
-SIZED = "doc_id long, source string, size long"
+SIZED = "doc_id long, source string, size long, key long"
 SOURCES = "place int, src string, source_size long, target double, quota long, shards int"
 
 
@@ -82,8 +82,8 @@ def targets(sizes: Sequence[int], weights: Sequence[int], max_repeat: int = 3) -
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(word_counts(batch.column(2)))],
-            names=["doc_id", "source", "size"],
+            [batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()), pa.array(word_counts(batch.column(2))), batch.column(3)],
+            names=["doc_id", "source", "size", "key"],
         )
 
 
@@ -107,6 +107,7 @@ def mix(
     doc_id: str = "doc_id",
     source: str = "source",
     text: str = "text",
+    key: str | None = None,
 ) -> DataFrame:
     """How many words of each document the mix takes, repeats counted.
 
@@ -115,9 +116,9 @@ def mix(
     size 0, taken 0. A source's words come within block_words of its target, or half of that for
     each of its shards where the cap max_repeat * size binds. The order inside a shard is by a hash
     of seed and id, then id, then size, so reruns agree and rows that repeat an id (or have none) may
-    only swap among equals. Other columns are not read. Empty table: empty result.
+    only swap among equals. A column of longs named as `key` is carried as key, and settles the order of equals. Other columns are not read. Empty table: empty result.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"), (F.col(key) if key else F.lit(None)).cast("long").alias("key"))
     sized = save(rows.mapInArrow(_sized, SIZED), "sizes")
     found = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"]))
@@ -142,27 +143,26 @@ def mix(
         _shard_quotas(block_words, max_repeat), "at_place int, at_shard long, shard_words long, take long"
     )
     before = F.sum("size").over(
-        Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("place", "shard").orderBy("order", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("size")
     laid = placed.withColumn("before", before)
     full = F.when(F.col("shard_words") > 0, F.floor(F.col("take") / F.col("shard_words"))).otherwise(0)
     rest = F.col("take") - full * F.col("shard_words")
     taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     return laid.join(takes, (laid["place"] == takes["at_place"]) & (laid["shard"] == takes["at_shard"])).select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *(["key"] if key else [])
     )
 
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes its text, to the nearest whole number of times
-    (halves up); all columns are kept. Rows of one id share the largest number among them; rows without an
-    id are left out, as the mix cannot name them."""
-    taken = mix(docs, **options).filter("size > 0 AND doc_id IS NOT NULL")
-    times = taken.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("times"))
-    times = times.filter("times > 0").withColumnRenamed("doc_id", "mix_id")
-    joined = docs.join(times, docs["doc_id"] == times["mix_id"])
-    row = F.struct(*[docs[c].alias(c) for c in docs.columns])
-    return joined.select(row.alias("row"), F.explode(F.sequence(F.lit(1), times["times"])).alias("turn")).select("row.*")
+    (halves up); all columns are kept. Each row counts for itself, also rows that share an id or have none: docs is saved with a
+    key for each row. Rows without words are taken no time."""
+    keyed = save(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "mix-rows")
+    taken = mix(keyed.select("row.doc_id", "row.source", "row.text", "key"), key="key", **options).filter("size > 0")
+    times = taken.select(F.col("key").alias("mix_key"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("times")).filter("times > 0")
+    joined = keyed.join(times, keyed["key"] == times["mix_key"])
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("turn")).select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -404,13 +404,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs of which one document per component stays, the one of the smallest id.
+    """The rows of docs of which one row per component of near copies stays, the one of the smallest id (null last).
 
-    All columns are kept. Of rows that repeat an id one stays; rows with a null id all stay.
+    All columns are kept. Rows are compared by their texts, each for itself: docs is saved with a key for each row. So of equal or near texts one row stays,
+    whether they share an id, have ids of their own or none; rows that share an id with unlike texts all stay, as do rows without words.
     """
-    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
+    keyed = save(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("key")), "dedup-rows")
+    classes = near_duplicates(keyed.select("key", "row.text"), percent, doc_id="key").select(F.col("doc_id").alias("of_key"), "component_id")
+    named = classes.join(keyed.select("key", F.col("row.doc_id").cast("long").alias("own_id")), F.col("of_key") == F.col("key"))
+    first = F.min(F.struct(F.col("own_id").isNull(), "own_id", "key")).alias("first")
+    stay = named.groupBy("component_id").agg(first).select(F.col("first.key").alias("kept_key"))
+    return keyed.join(stay, F.col("key") == F.col("kept_key"), "left_semi").select("row.*")
 
 
 ORACLE_SQL = r"""

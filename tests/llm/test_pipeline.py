@@ -105,3 +105,22 @@ def test_near_dedup_stage_keeps_one_row_of_repeats(spark):
     odd = spark.createDataFrame(odd_rows(), DOCS)
     got = sorted((r["doc_id"] or 0) for r in corpus_pipeline.keep_one_of_near_copies(spark, odd, SMALL).collect())
     assert got == [0, 1, 2, 3, 5, 6]
+
+
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    """No row is lost or kept by accident: the stages go by rows, not by ids."""
+    a, b, c, d = (words(60, k) for k in (41, 42, 43, 44))
+    rows = [(1, a, "en", "a", 1), (1, b, "en", "a", 2), (None, c, "en", "a", 3), (None, c, "en", "b", 4), (None, d, None, None, 5), (7, d, "en", "a", 6), (None, None, "en", "a", 7)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = sorted(r["n_chars"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SMALL).collect())
+    assert kept in ([1, 2, 3, 6, 7], [1, 2, 4, 6, 7])  # both texts of id 1, one copy of c, of d that with an id
+    mixed = [(r["n_chars"], r["text"]) for r in corpus_pipeline.mix_sources(spark, docs, SMALL).collect()]
+    takes = {r["key"]: (r["size"], r["taken"]) for r in mixing.mix(docs, key="n_chars").collect()}
+    assert len(takes) == 7 and takes[7] == (0, 0) and sum(taken for size, taken in takes.values()) > 300
+    for n, (size, taken) in takes.items():
+        assert sum(m == n for m, _ in mixed) == (int(taken / size + 0.5) if size else 0)
+    assert any(n in (3, 4, 5) for n, _ in mixed)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, SMALL).collect()
+    assert sorted(r["n_chars"] for r in clean) == [1, 2, 3, 4, 5, 6, 7]
+    tokens = corpus_pipeline.write_tokens(spark, docs, SMALL).collect()
+    assert len(tokens) == len(rows) and sum(t["doc_id"] is None for t in tokens) == 4
