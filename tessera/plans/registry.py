@@ -23,3 +23,13 @@ def query(name: str, sql: str | None = None):
         return function
 
     return keep
+
+
+def join_twins(suffix: str = "_all") -> None:
+    """Queries that were first registered over a part of their tables, and the whole job under the same name with `suffix`, become
+    one: both names are the whole job, with its SQL."""
+    for whole in [name for name in QUERIES if name.endswith(suffix)]:
+        name = whole.removesuffix(suffix)
+        if name in QUERIES:
+            QUERIES[name] = QUERIES[whole]
+            ORACLE_SQL[name] = ORACLE_SQL[whole]

@@ -255,9 +255,9 @@ def mask_expand(spark, d):
 
 @query(
     "mask_collapse",
-    """WITH M AS (SELECT vec_id AS mask_id, generate_subscripts(embedding, 1) - 1 AS voxel_id, CAST(unnest(embedding) > 0.02 AS INTEGER) AS value FROM embeddings WHERE vec_id < 3)
+    """WITH M AS (SELECT vec_id AS mask_id, generate_subscripts(embedding, 1) - 1 AS voxel_id, CAST(unnest(embedding) > 0.02 AS INTEGER) AS value FROM embeddings)
     SELECT voxel_id, sum(mask_id + 1)::BIGINT AS label FROM M WHERE value <> 0 GROUP BY voxel_id HAVING count(*) < (SELECT count(DISTINCT mask_id) FROM M)""",
 )
 def mask_collapse(spark, d):
-    e = table(spark, d, "embeddings").filter("vec_id < 3").select(F.col("vec_id").alias("mask_id"), F.posexplode("embedding").alias("voxel_id", "x"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("mask_id"), F.posexplode("embedding").alias("voxel_id", "x"))
     return op.collapse_masks(e.withColumn("value", (F.col("x") > 0.02).cast("int"))).select(F.col("voxel_id").cast("long"), "label")
