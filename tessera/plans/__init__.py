@@ -14,6 +14,7 @@ from tessera.plans import glm_queries as glm_queries
 from tessera.plans import resampling_queries as resampling_queries
 from tessera.plans import alignment_queries as alignment_queries
 from tessera.plans import volume_queries as volume_queries
+from tessera.plans import adjacency_queries as adjacency_queries
 from tessera.plans.registry import join_twins
 
 join_twins()
