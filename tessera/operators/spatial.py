@@ -66,18 +66,39 @@ def cluster_table(labelled: DataFrame, voxel_volume: float = 1.0) -> DataFrame:
     return s.select("image_id", "cluster", "n_voxels", (F.col("n_voxels") * voxel_volume).alias("volume"), "mean", F.col("p.value").alias("peak"), (-F.col("p.v")).alias("peak_voxel"))
 
 
-def label_coordinates(points: DataFrame, atlas: DataFrame, size: int, voxel_mm: float, origin: tuple[float, float, float]) -> DataFrame:
-    """points(point_id, x, y, z) in mm to atlas(i, j, k, label): rounded half to even to a voxel; points
-    outside the box take voxel (0, 0, 0)."""
+def _placed(points: DataFrame, size: int, voxel_mm: float, origin: tuple[float, float, float]) -> DataFrame:
+    """points with their voxel (i, j, k); those outside the box have voxel (0, 0, 0)."""
     ijk = {n: F.bround((F.col(c) - o) / voxel_mm).cast("int") for n, c, o in zip("ijk", "xyz", origin, strict=True)}
     placed = points.withColumns(ijk)
     inside = F.lit(True)
     for n in "ijk":
         inside = inside & F.col(n).between(0, size - 1)
-    clipped = placed.withColumns({n: F.when(inside, F.col(n)).otherwise(F.lit(0)) for n in "ijk"})
+    return placed.withColumns({n: F.when(inside, F.col(n)).otherwise(F.lit(0)) for n in "ijk"})
+
+
+def label_coordinates(points: DataFrame, atlas: DataFrame, size: int, voxel_mm: float, origin: tuple[float, float, float]) -> DataFrame:
+    """points(point_id, x, y, z) in mm to atlas(i, j, k, label): rounded half to even to a voxel; points
+    outside the box take voxel (0, 0, 0)."""
+    clipped = _placed(points, size, voxel_mm, origin)
     return clipped.join(F.broadcast(atlas), ["i", "j", "k"], "left").select("point_id", "i", "j", "k", F.coalesce("label", F.lit("no label")).alias("label"))
 
 
+def label_probabilities(
+    points: DataFrame, atlas: DataFrame, size: int, voxel_mm: float, origin: tuple[float, float, float], at_least: float = 5.0
+) -> DataFrame:
+    """point_id, i, j, k, label of points(point_id, x, y, z) in atlas(i, j, k, label, percent), a row a region that a
+    voxel may lie in: "42.0% this; 18.0% that", of the regions of at least `at_least` percent, the likeliest first, ties
+    by label; "no label" where none is. A region without a name is "no label" with its percent. Points outside the box
+    take voxel (0, 0, 0). The atlas is gathered to a row a voxel before it meets the points.
+    """
+    kept = atlas.filter(F.col("percent") >= at_least).withColumn("label", F.coalesce("label", F.lit("no label")))
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("percent")).alias("less"), "label", "percent")))
+    told = F.array_join(F.transform(listed, lambda r: F.concat(F.format_string("%.1f%% ", F.bround(r["percent"], 1)), r["label"])), "; ")
+    voxels = kept.groupBy("i", "j", "k").agg(told.alias("label"))
+    clipped = _placed(points, size, voxel_mm, origin)
+    return clipped.join(F.broadcast(voxels), ["i", "j", "k"], "left").select("point_id", "i", "j", "k", F.coalesce("label", F.lit("no label")).alias("label"))
+
+
 def resample_nearest(long: DataFrame, source: DataFrame, target: DataFrame, ratio: float) -> DataFrame:
     """image_id, voxel_id, value on the target grid, whose voxels are `ratio` source voxels wide: each takes
     the source voxel its centre lies in."""

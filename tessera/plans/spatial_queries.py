@@ -130,6 +130,31 @@ def label_coordinates(spark, d):
     return spatial.label_coordinates(points, named, 4, 2.0, (-3.0, -3.0, -3.0))
 
 
+@query(
+    "label_probabilities",
+    """WITH P AS (SELECT vec_id AS point_id, embedding[1]::DOUBLE * 20 AS x, embedding[2]::DOUBLE * 20 AS y, embedding[3]::DOUBLE * 20 AS z FROM embeddings),
+    R AS (SELECT point_id, round_even((x + 3) / 2, 0)::INTEGER AS i, round_even((y + 3) / 2, 0)::INTEGER AS j, round_even((z + 3) / 2, 0)::INTEGER AS k FROM P),
+    C AS (SELECT point_id, i BETWEEN 0 AND 3 AND j BETWEEN 0 AND 3 AND k BETWEEN 0 AND 3 AS inside, i, j, k FROM R),
+    Q AS (SELECT point_id, CASE WHEN inside THEN i ELSE 0 END AS i, CASE WHEN inside THEN j ELSE 0 END AS j, CASE WHEN inside THEN k ELSE 0 END AS k FROM C),
+    L AS (SELECT label, unnest(embedding)::DOUBLE AS value, unnest(generate_series(0, len(embedding) - 1)) AS v FROM embeddings),
+    S AS (SELECT v, label, count(*) AS n FROM L WHERE value > 0 GROUP BY ALL), T AS (SELECT v, label, n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY v) AS pct FROM S),
+    A AS (SELECT v // 16 AS i, v // 4 % 4 AS j, v % 4 AS k, string_agg(printf('%.1f%% region %d', round_even(pct, 1), label), '; ' ORDER BY pct DESC, 'region ' || label) AS label
+    FROM T WHERE pct >= 9 AND label IS NOT NULL GROUP BY ALL)
+    SELECT point_id, Q.i, Q.j, Q.k, coalesce(A.label, 'no label') AS label FROM Q LEFT JOIN A ON Q.i = A.i AND Q.j = A.j AND Q.k = A.k""",
+)
+def label_probabilities(spark, d):
+    """The atlas: of the images above 0 at a voxel, the percent of each group."""
+    e = table(spark, d, "embeddings")
+    points = e.select(F.col("vec_id").alias("point_id"), *[(F.get("embedding", F.lit(n)).cast("double") * 20).alias(c) for n, c in enumerate("xyz")])
+    above = e.select("label", F.posexplode("embedding").alias("v", "value")).filter("value > 0").groupBy("v", "label").agg(F.count(F.lit(1)).alias("n"))
+    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("v"))
+    v = F.col("v")
+    atlas = above.select("v", "label", share.alias("percent")).filter("label IS NOT NULL").select(
+        F.floor(v / 16).cast("int").alias("i"), (F.floor(v / 4) % 4).cast("int").alias("j"), (v % 4).alias("k"), F.concat(F.lit("region "), "label").alias("label"), "percent"
+    )
+    return spatial.label_probabilities(points, atlas, 4, 2.0, (-3.0, -3.0, -3.0), 9.0)
+
+
 # alignment
 
 

@@ -105,3 +105,57 @@ def matrix_kind(square: DataFrame) -> DataFrame:
 def number_rows(frame: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "row_id") -> DataFrame:
     """An explicit row id from 0 inside each key."""
     return frame.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long"))
+
+
+#: How the files that belong to an image of a series end.
+IMAGE_END, EVENTS_END, CONFOUNDS_END = r"_bold\.nii(\.gz)?$", r"_events\.tsv$", r"(_desc-confounds_(timeseries|regressors)|_confounds)\.tsv(\.gz)?$"
+#: What an image and the files beside it share, where a name says it.
+RUN = ["subject", "session", "task", "run"]
+
+
+def pair_runs(files: DataFrame, only: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """path, length, subject, session, task, run, space, events_path, confounds_path: a row an image of a manifest.
+
+    `only` keeps images by entity, as {"task": ["rest"]}; an image without the entity goes. A file of events or confounds
+    belongs to the images of equal subject, session, task and run, where what both names lack is equal. An events file
+    without a subject is its task's, for images that have none of their own. Of several files for one image that of the
+    smallest path is taken; without any the path is null. An image without a subject is kept, with nulls.
+    """
+    images = files.filter(F.col("path").rlike(IMAGE_END)).select("path", "length", *ENTITIES)
+    for entity, values in (only or {}).items():
+        images = images.filter(F.col(entity).isin(*values))
+
+    def beside(end: str, name: str, keys: Sequence[str]) -> DataFrame:
+        return files.filter(F.col("path").rlike(end)).groupBy(*[F.col(k).alias(f"{k}_") for k in keys]).agg(F.min("path").alias(name))
+
+    def met(images: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_"))
+        return images.join(found, same, "left").drop(*[f"{k}_" for k in keys])
+
+    shared = files.filter(F.col("path").rlike(EVENTS_END) & F.col("subject").isNull() & F.col("task").isNotNull())
+    shared = shared.groupBy(F.col("task").alias("task_")).agg(F.min("path").alias("shared_"))
+    made = met(images, beside(EVENTS_END, "events_path", RUN), RUN)
+    made = made.join(shared, F.col("task") == F.col("task_"), "left").withColumn("events_path", F.coalesce("events_path", "shared_")).drop("task_", "shared_")
+    return met(made, beside(CONFOUNDS_END, "confounds_path", RUN), RUN)
+
+
+def read_runs(spark: SparkSession, runs: DataFrame, column: str, sep: str = "\t") -> DataFrame:
+    """path (of the image), row_id, values: a map of column names to doubles, null where missing, of the design files
+    that `column` of pair_runs names, whatever their columns are. Each file is split where it lies, by one task; images
+    without a file, and files of a header alone, have no rows.
+    """
+    named = runs.filter(F.col(column).isNotNull()).select(F.col("path").alias("image_"), F.col(column).alias("file_"))
+    paths = [r["file_"] for r in named.select("file_").distinct().toLocalIterator()]  # names of files, no contents
+    if not paths:
+        return spark.createDataFrame([], "path string, row_id int, values map<string, double>")
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("at_"), "value")
+    plain = lambda c: F.regexp_replace(F.url_decode(c), r"^file:/+", "/")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    header = F.split(F.get("lines", F.lit(0)), sep)
+    rows = whole.withColumn("lines", lines).select("at_", header.alias("header"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("row_id", "line"))
+    number = lambda x: F.when(F.trim(x).isin(*MISSING), None).otherwise(F.trim(x)).try_cast("double")
+    cells = F.zip_with("header", F.split("line", sep), lambda h, x: F.struct(F.trim(h).alias("k"), number(x).alias("v")))
+    values = F.map_from_entries(F.filter(cells, lambda c: c["k"].isNotNull()))
+    return rows.select("at_", "row_id", values.alias("values")).join(named, plain(F.col("at_")) == plain(F.col("file_"))).select(F.col("image_").alias("path"), "row_id", "values")
