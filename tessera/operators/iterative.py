@@ -1,9 +1,8 @@
 """Models fitted by rounds over the data: logistic regression, squared-hinge classifiers, banded ridge,
 principal components.
 
-A round's gradient and curvature are sums over samples, a few hundred numbers for each region; tasks
-add up theirs and one row a region and task is shuffled. Samples are read again each round, so
-callers with many rounds keep them in a saved table.
+A round's gradient and curvature are sums over samples, a few hundred numbers for each region: tasks add up theirs,
+sums meet and are solved on the executors, and the driver gets a vector a region. Samples are saved once for the rounds.
 """
 
 from __future__ import annotations
@@ -15,18 +14,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.sums import sum_arrays
+from tessera.operators.sums import sum_arrays, sum_arrays_by
+from tessera.sources.scratch import Scratch
 
 
-def _round_sums(frame: DataFrame, region: str, features: str, target: str, weights: dict, loss: str) -> dict:
-    """region -> (gradient, curvature) at its weights; features get a leading one for the intercept."""
+#: Numbers of sums that a task holds before it hands them on.
+HELD = 1 << 22
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict = {}
+
+def _steps(frame: DataFrame, kind: str, weights: dict, loss: str, c: float) -> dict:
+    """region -> (Newton's step, the largest change in it) at its weights, of the regions in weights or, without any, all;
+    features get a leading one for the intercept. Curvatures are summed and solved on the executors."""
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, np.ndarray]]:
+        held: dict = {}
         for batch in batches:
-            for key, group in batch.groupby(region):
-                x = np.column_stack([np.ones(len(group)), np.stack(group[features].to_list())])
-                y = 2.0 * group[target].to_numpy(float) - 1
+            for key, group in batch.groupby("region"):
+                if weights and key not in weights:
+                    continue
+                x = np.stack([np.asarray(v, float) for v in group["x"]])
+                fine = np.isfinite(x).all(axis=1)
+                x = np.column_stack([np.ones(fine.sum()), x[fine]])
+                y = 2.0 * group["y"].to_numpy(float)[fine] - 1
                 z = x @ weights.get(key, np.zeros(x.shape[1]))
                 if loss == "logistic":
                     p = 1 / (1 + np.exp(np.clip(y * z, -30, 30)))
@@ -34,39 +43,56 @@ def _round_sums(frame: DataFrame, region: str, features: str, target: str, weigh
                 else:  # squared hinge
                     on = (1 - y * z > 0).astype(float)
                     g, h = x.T @ (-2 * y * on * (1 - y * z)), 2 * (x * on[:, None]).T @ x
-                old = total.get(key)
-                total[key] = (g, h) if old is None else (old[0] + g, old[1] + h)
-        yield pd.DataFrame([(k, g, h.reshape(-1)) for k, (g, h) in total.items()], columns=[region, "g", "h"])
-
-    kind = dict(frame.dtypes)[region]
-    parts = frame.select(region, features, target).mapInPandas(run, f"{region} {kind}, g array<double>, h array<double>").select(
-        region, F.posexplode(F.concat("g", "h")).alias("at", "v")
-    )
-    sums = parts.groupBy(region, "at").agg(F.sum("v").alias("v")).groupBy(region).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells"))
-    out = {}
-    for row in sums.collect():  # a row a region
-        v = np.array([c["v"] for c in row["cells"]])
-        k = int((np.sqrt(1 + 4 * len(v)) - 1) / 2)
-        out[row[region]] = (v[:k], v[k:].reshape(k, k))
-    return out
-
-
-def newton_classifier(frame: DataFrame, region: str, features: str, target: str, loss: str = "logistic", c: float = 1.0, rounds: int = 8) -> dict:
+                made = np.concatenate([g, h.reshape(-1)])[None, :]
+                held[key] = held[key] + made if key in held else made
+            if sum(v.size for v in held.values()) > HELD:
+                yield from held.items()
+                held = {}
+        yield from held.items()
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for key, cells in zip(batch["key"], batch["v"], strict=True):
+                v = np.asarray(cells, float)
+                k = int((np.sqrt(1 + 4 * len(v)) - 1) / 2)
+                g, h = v[:k], v[k:].reshape(k, k)
+                ridge = np.eye(k)
+                ridge[0, 0] = 1e-9
+                found.append(np.linalg.solve(c * h + ridge, c * g + ridge @ weights.get(key, np.zeros(k))))
+            yield pd.DataFrame({"key": batch["key"], "step": found})
+
+    pieces = sum_arrays_by(frame, kind, products)
+    whole = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "flat"))), lambda p: p["flat"])).alias("v"))
+    return {row["key"]: np.array(row["step"]) for row in whole.mapInPandas(solve, f"key {kind}, step array<double>").collect()}  # a vector a region
+
+
+def newton_classifier(frame: DataFrame, region: str, features: str, target: str, loss: str = "logistic", c: float = 1.0, rounds: int = 25, tolerance: float = 1e-8) -> dict:
     """region -> weights (the intercept first) of |w|^2 / 2 + c * loss, by Newton's steps on summed
-    gradients; the intercept is not penalised. Targets are 0 and 1."""
+    gradients; the intercept is not penalised. Targets are 0 and 1.
+
+    Samples are saved once in the shared folder for the passes. A region is passed over until no weight moves by
+    `tolerance` (relative to the largest, at least 1); if some still move after `rounds` passes, an error names them.
+    Rows without region, target or features, or with null or non-finite ones, take no part.
+    """
+    if loss not in ("logistic", "squared_hinge"):
+        raise ValueError(f"loss is logistic or squared_hinge, not {loss!r}")
+    named = frame.select(F.col(region).alias("region"), F.col(target).cast("double").alias("y"), F.col(features).cast("array<double>").alias("x")).dropna()
+    kind = dict(named.dtypes)["region"]
     weights: dict = {}
-    for _ in range(rounds):
-        moved = 0.0
-        for key, (g, h) in _round_sums(frame, region, features, target, dict(weights), loss).items():
-            w = weights.get(key, np.zeros(len(g)))
-            ridge = np.eye(len(g))
-            ridge[0, 0] = 1e-9
-            step = np.linalg.solve(c * h + ridge, c * g + ridge @ w)
-            weights[key] = w - step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < 1e-8:
-            break
-    return weights
+    with Scratch(frame.sparkSession, "newton") as scratch:
+        rows = scratch.save(named)
+        open_: dict = {}
+        for _ in range(rounds):
+            left = {}
+            for key, step in _steps(rows, kind, open_, loss, c).items():
+                w = weights[key] = weights.get(key, np.zeros(len(step))) - step
+                if np.abs(step).max() > tolerance * max(1.0, np.abs(w).max()):
+                    left[key] = w
+            open_ = left
+            if not open_:
+                return weights
+    raise RuntimeError(f"weights of {sorted(map(str, open_))[:10]} did not settle in {rounds} passes")
 
 
 def dirichlet_weights(bands: int, n: int, concentrations: Sequence[float] = (0.1, 1.0), seed: int = 0) -> np.ndarray:

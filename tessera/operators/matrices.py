@@ -6,12 +6,18 @@ otherwise. Reducers over edges ignore NaN, unlike those of images; null is skipp
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import array_center, array_sum, corr_of_moments, dot, moments, safe_div
+from tessera.functions.columns import array_center, array_sum, dot, safe_div
+from tessera.operators.sums import sum_arrays, sum_arrays_by
+
+#: Columns of a block of products, numbers of stacked rows, and of products kept by a task until its end.
+COLUMNS, STACK, HELD = 256, 1 << 24, 1 << 22
 
 
 def with_norms(frame: DataFrame) -> DataFrame:
@@ -29,22 +35,27 @@ def block_count(frame: DataFrame) -> int:
     return max(1, -(-frame.count() // BLOCK))
 
 
+def _meet(left: DataFrame, right: DataFrame, blocks_i: int, blocks_j: int, by: Sequence[str] = ()) -> DataFrame:
+    """Every pair of a row of left and one of right with equal `by`. Ids are hashed into blocks; each side goes
+    once to each block of the other."""
+    a = left.select("*", F.pmod(F.hash("image_id_i"), F.lit(blocks_i)).alias("block_i"), F.explode(F.sequence(F.lit(0), F.lit(blocks_j - 1))).alias("block_j"))
+    b = right.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks_i - 1))).alias("block_i"), F.pmod(F.hash("image_id_j"), F.lit(blocks_j)).alias("block_j"))
+    return a.join(b.hint("merge"), [*by, "block_i", "block_j"]).drop("block_i", "block_j")
+
+
 def join_blocks(left: DataFrame, right: DataFrame, blocks: int, by: Sequence[str] = ()) -> DataFrame:
     """Every pair of a row of left (image_id_i, ...) and one of right (image_id_j, ...) with equal `by` and
-    image_id_i < image_id_j. Ids are hashed into blocks; each side goes once to each block of the other."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = left.select("*", F.pmod(F.hash("image_id_i"), F.lit(blocks)).alias("block_i"), every.alias("block_j"))
-    b = right.select("*", every.alias("block_i"), F.pmod(F.hash("image_id_j"), F.lit(blocks)).alias("block_j"))
-    return a.join(b.hint("merge"), [*by, "block_i", "block_j"]).filter("image_id_i < image_id_j").drop("block_i", "block_j")
+    image_id_i < image_id_j, as a join of blocks."""
+    return _meet(left, right, blocks, blocks, by).filter("image_id_i < image_id_j")
 
 
 def pair_images(a: DataFrame, b: DataFrame, same: bool) -> DataFrame:
     """The pairs of two sets of images: both ends, their values and sums. With `same`, the pairs of one set
-    with image_id_i < image_id_j, a whole table if need be: a join of blocks. Otherwise the second set is
-    sent to all tasks, so it is one of those a user names (templates, group means), not a whole table."""
+    with image_id_i < image_id_j; otherwise each of a with each of b, whose ids may be of another type. Both are
+    joins of blocks, so either set may be a whole table; no set is sent to all tasks."""
     left = with_norms(a).select(*[F.col(c).alias(f"{c}_i") for c in ("image_id", "values", "norm2", "sum")])
     right = with_norms(b).select(*[F.col(c).alias(f"{c}_j") for c in ("image_id", "values", "norm2", "sum")])
-    pairs = join_blocks(left, right, block_count(a)) if same else left.join(F.broadcast(right), F.lit(True))
+    pairs = join_blocks(left, right, block_count(a)) if same else _meet(left, right, block_count(a), block_count(b))
     return pairs.withColumn("xy", dot(F.col("values_i"), F.col("values_j"))).withColumn("n", F.size("values_i"))
 
 
@@ -69,11 +80,62 @@ def distance(how: str) -> Column:
     return F.array_max(gaps) if how == "chebyshev" else 1 - similarity(how)
 
 
-def column_correlations(long: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """i, j, r: correlations of columns over rows, i < j, from products summed per row."""
-    a = long.select(row, F.col(column).alias("i"), F.col(value).alias("x"))
-    b = long.select(row, F.col(column).alias("j"), F.col(value).alias("y"))
-    return a.join(b, row).filter("i < j").groupBy("i", "j").agg(*moments("x", "y")).select("i", "j", corr_of_moments().alias("r"))
+def column_correlations(frame: DataFrame, values: str = "values") -> DataFrame:
+    """i, j, r: correlations over rows of the elements i < j of a table of vectors of one length.
+
+    Three passes without a row a pair: means, deviations, then products of standardised rows as matrix products, of which
+    sums meet on the executors in pieces. A task holds STACK numbers of rows, and products of all pairs only up to HELD
+    numbers. r is 0 where an element does not vary. Vectors of two lengths, null vectors and null or non-finite elements
+    are errors; an empty table gives an empty one.
+    """
+    vectors = frame.select(values)
+
+    def stacked(batch: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.asarray(v, float) for v in batch[values]])
+
+    sums = sum_arrays(vectors, lambda batch: np.r_[len(batch), stacked(batch).sum(axis=0)])
+    if sums is not None and not np.isfinite(sums).all():
+        raise ValueError("vectors hold null or non-finite values")
+    mean = np.zeros(0) if sums is None else sums[1:] / sums[0]
+    width = len(mean)
+    spread = None if sums is None else sum_arrays(vectors, lambda batch: ((stacked(batch) - mean) ** 2).sum(axis=0))
+    scale = np.zeros(0) if spread is None else np.where(spread > 1e-12, 1 / np.sqrt(np.maximum(spread, 1e-300)), 0.0)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, np.ndarray]]:
+        held: dict[int, np.ndarray] = {}
+        waiting, rows = [], 0
+
+        def due() -> Iterator[tuple[int, np.ndarray]]:
+            z = np.concatenate(waiting)
+            for a in range(0, width, COLUMNS):
+                made = z[:, a : a + COLUMNS].T @ z[:, a:]
+                if width * width > HELD:
+                    yield a, made
+                else:
+                    held[a] = held[a] + made if a in held else made
+
+        for batch in batches:
+            if len(batch):
+                waiting.append((stacked(batch) - mean) * scale)
+                rows += len(batch)
+            if rows * width > STACK:
+                yield from due()
+                waiting, rows = [], 0
+        if waiting:
+            yield from due()
+        yield from held.items()
+
+    summed = sum_arrays_by(vectors, "int", products, COLUMNS)
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, at, flat in batch.itertuples(index=False):
+                block = np.asarray(flat, float).reshape(min(COLUMNS, width - a), -1)
+                i, j = np.arange(len(block))[:, None] + a, np.arange(block.shape[1])[None, :] + a + at
+                p, q = np.nonzero(i < j)
+                yield pd.DataFrame({"i": p + a, "j": q + a + at, "r": block[p, q]})
+
+    return summed.mapInPandas(cells, "i long, j long, r double")
 
 
 def threshold_edges(adj: DataFrame, lower: float | None = None, upper: float | None = None, binarize: bool = False) -> DataFrame:

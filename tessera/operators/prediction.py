@@ -1,39 +1,65 @@
 """Cross-validated prediction from sums: ridge, ridge classifier, lasso and linear discriminants.
 
-A region's model needs its cross products for each fold and class, a few hundred numbers. Those are
-summed by tasks over all samples of all regions in one aggregation; a training set's are the total
+A region's model needs its cross products for each fold and class, a few hundred numbers. Tasks make
+those of their own samples as matrix products and sums meet on the executors; a training set's are the total
 less the fold's. What is solved for each region is small, and regions are spread over the cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sums import sum_arrays_by
+
+
+#: Numbers of sums that a task holds before it hands them on.
+HELD = 1 << 22
+
 
 def region_sums(frame: DataFrame, by: Sequence[str], features: str, target: str, fold: str) -> DataFrame:
-    """by..., fold, class, n, sums, grams: of feature arrays, for each fold and value of the target."""
-    x = F.col(features)
-    wide = frame.select(*by, F.col(fold).alias("fold"), F.col(target).cast("double").alias("class"), F.posexplode(x).alias("i", "xi"), x.alias("x"))
-    sums = wide.select(*by, "fold", "class", "i", "xi", F.posexplode(F.concat(F.array(F.lit(1.0)), "x")).alias("j", "xj"))
-    cells = sums.filter("j = 0 OR j - 1 >= i").groupBy(*by, "fold", "class", "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("s"), F.count(F.lit(1)).alias("n"))
-    packed = F.collect_list(F.struct("i", "j", "s"))
-    return cells.groupBy(*by, "fold", "class").agg(F.max("n").alias("n"), packed.alias("cells"))
+    """by..., fold, class, n, sums, grams (upper triangle by rows): of feature arrays, for each fold and value of the target.
+
+    A task adds up cross products of its own samples as matrix products, HELD numbers at most at a time; sums of a
+    region, fold and class meet on the executors FAN at a time, so no region is one task's, however many its samples.
+    Rows without a target or features, or with null or non-finite ones, take no part. Arrays of two lengths in a region are an error.
+    """
+    kinds = dict(frame.dtypes)
+    named = F.struct(*by, F.col(fold).alias("fold"), F.col(target).cast("double").alias("class"))
+    rows = frame.filter(F.col(target).isNotNull() & F.col(features).isNotNull()).select(F.to_json(named, {"ignoreNullFields": "false"}).alias("key"), F.col(features).cast("array<double>").alias("x"))
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, np.ndarray]]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for key, group in batch.groupby("key"):
+                x = np.stack([np.asarray(v, float) for v in group["x"]])
+                x = x[np.isfinite(x).all(axis=1)]
+                if len(x):
+                    made = np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x)[np.triu_indices(x.shape[1])]])[None, :]
+                    held[key] = held[key] + made if key in held else made
+            if sum(v.size for v in held.values()) > HELD:
+                yield from held.items()
+                held = {}
+        yield from held.items()
+
+    pieces = sum_arrays_by(rows, "string", products)
+    whole = pieces.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "flat"))), lambda c: c["flat"])).alias("v"))
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in by), f"fold {kinds[fold]}", "class double"])
+    # size(v) = 1 + k + k (k + 1) / 2
+    k = ((F.sqrt(8 * F.size("v") + 1.0) - 3) / 2).cast("int")
+    split = whole.select(F.from_json("key", schema).alias("of"), "v", k.alias("k"))
+    return split.select("of.*", F.get("v", F.lit(0)).alias("n"), F.slice("v", F.lit(2), F.col("k")).alias("sums"), F.slice("v", F.col("k") + 2, F.size("v")).alias("grams"))
 
 
 def _unpack(row) -> tuple[float, np.ndarray, np.ndarray]:
-    k = max(c["i"] for c in row.cells) + 1
-    s, g = np.zeros(k), np.zeros((k, k))
-    for c in row.cells:
-        if c["j"] == 0:
-            s[c["i"]] = c["s"]
-        else:
-            g[c["i"], c["j"] - 1] = g[c["j"] - 1, c["i"]] = c["s"]
-    return float(row.n), s, g
+    s = np.asarray(row.sums, float)
+    g = np.zeros((len(s), len(s)))
+    g[np.triu_indices(len(s))] = row.grams
+    return float(row.n), s, g + np.triu(g, 1).T
 
 
 def lasso(gram: np.ndarray, xy: np.ndarray, alpha: float, n: float, rounds: int = 200) -> np.ndarray:
@@ -91,11 +117,15 @@ def cross_validated_weights(sums: DataFrame, by: Sequence[str], model: str, alph
 
 
 def cross_validated_scores(frame: DataFrame, weights: DataFrame, by: Sequence[str], features: str, target: str, fold: str, classify: bool) -> DataFrame:
-    """by..., fold, n, score: accuracy, or 1 - SSE / SST, of each held-out fold."""
+    """by..., fold, n, score: accuracy, or 1 - SSE / SST, of each held-out fold.
+
+    Samples meet their fold's weights by an equi-join, which Spark broadcasts only where the weights turn out small.
+    Rows without a target or with missing features are not scored."""
     w = weights.withColumnRenamed("fold", "w_fold")
     on = [frame[k] == w[k] for k in by] + [frame[fold] == w["w_fold"]]
     value = F.aggregate(F.zip_with(frame[features], w["weights"], lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) + w["intercept"]
-    joined = frame.join(F.broadcast(w), on).select(*[frame[k] for k in by], frame[fold].alias("fold"), frame[target].cast("double").alias("y"), value.alias("p"))
+    joined = frame.join(w, on).select(*[frame[k] for k in by], frame[fold].alias("fold"), frame[target].cast("double").alias("y"), value.alias("p"))
+    joined = joined.filter("y IS NOT NULL AND p IS NOT NULL AND NOT isnan(p)")
     if classify:
         score = F.avg((F.when(F.col("p") > 0, 1).otherwise(0) == F.col("y")).cast("double"))
     else:

@@ -1,4 +1,4 @@
-"""Work on neighbourhoods of dense images as sparse matrices: distances in spheres, and resampling between grids.
+"""Work on neighbourhoods of dense images as sparse matrices: means and distances in spheres, smoothing, resampling between grids.
 
 A task holds the voxels' coordinates (12 bytes each, whatever the number of images) and makes the neighbour lists of the
 centres that it works on; no row is made for a sphere and one of its voxels.
@@ -65,6 +65,79 @@ def neighbour_lists(points: np.ndarray, centres: np.ndarray, radius: float) -> t
     return found[there], np.concatenate([[0], np.cumsum(there.sum(axis=1))])
 
 
+class Box:
+    """The box around a grid's voxels, with a margin: sums over neighbours are sums of shifted boxes, without neighbour lists."""
+
+    def __init__(self, points: np.ndarray, radius: float) -> None:
+        self.margin = r = math.floor(radius + 1e-9)
+        self.inner = tuple(int(n) for n in np.ptp(points, axis=0) + 1)
+        if 8 * math.prod(n + 2 * r for n in self.inner) > SENT_BYTES:
+            raise ValueError("the voxels' box is larger than tasks can hold")
+        self.at = tuple((points - points.min(axis=0)).astype(np.int64).T)
+        self.steps = [s for s in itertools.product(range(-r, r + 1), repeat=3) if sum(x * x for x in s) <= radius * radius + 1e-9]
+
+    def around(self, x: np.ndarray, weights: Sequence[float]) -> np.ndarray:
+        """For each voxel the sum of x, a number a voxel, over its neighbours, times the weights of the steps to them."""
+        r = self.margin
+        box = np.pad(np.zeros(self.inner), r)
+        box[tuple(a + r for a in self.at)] = x
+        total = np.zeros(self.inner)
+        for (a, b, c), w in zip(self.steps, weights, strict=True):
+            total += w * box[r + a : r + a + self.inner[0], r + b : r + b + self.inner[1], r + c : r + c + self.inner[2]]
+        return total[self.at]
+
+
+def _neighbour_means(images: DataFrame, voxels: DataFrame, radius: float, weight, values: str, counted: str | None) -> DataFrame:
+    """images with weighted means over neighbours for values; weight is a function of a step's squared length."""
+    points = coordinates(voxels)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        box = Box(points, radius)
+        weights = [weight(sum(x * x for x in s)) for s in box.steps]
+        ones = [1.0] * len(weights)
+        whole = box.around(np.ones(len(points)), weights), box.around(np.ones(len(points)), ones)
+        for batch in batches:
+            means, counts = [], []
+            for v in batch[values]:
+                if v is None:
+                    means.append(None)
+                    counts.append(None)
+                    continue
+                x = np.asarray(v, float)
+                if len(x) != len(points):
+                    raise ValueError("a vector of another length than its grid")
+                there = ~np.isnan(x)
+                share, n = whole if there.all() else (box.around(there, weights), box.around(there, ones))
+                total = box.around(np.where(there, x, 0.0), weights)
+                means.append([t / s if m else None for t, s, m in zip(total, share, n, strict=True)] if (n == 0).any() else total / share)
+                counts.append(np.rint(n).astype(np.int64))
+            yield batch.assign(**{values: means}, **({counted: counts} if counted else {}))
+
+    fields = [T.StructField(f.name, T.ArrayType(T.DoubleType())) if f.name == values else f for f in images.schema]
+    return images.mapInPandas(run, T.StructType([*fields, *([T.StructField(counted, T.ArrayType(T.LongType()))] if counted else [])]))
+
+
+def smooth(images: DataFrame, voxels: DataFrame, fwhm: float, reach: float = 3.0, values: str = "values") -> DataFrame:
+    """images smoothed by Gaussian weights of the voxels in reach, which sum to one inside the mask.
+
+    One pass, no shuffle and no row a voxel: a task holds the coordinates (size checked) and a box of one image. Null and
+    NaN elements are left out of sum and weights, so smoothing fills them; null where nothing is in reach. A null
+    vector stays null; one of another length than the grid is an error. An empty table gives an empty one.
+    """
+    if fwhm <= 0:
+        raise ValueError("fwhm is positive")
+    sigma = fwhm / math.sqrt(8 * math.log(2))
+    return _neighbour_means(images, voxels, reach, lambda d2: math.exp(-d2 / (2 * sigma * sigma)), values, None)
+
+
+def searchlight_means(images: DataFrame, voxels: DataFrame, radius: float, values: str = "values", counted: str = "n") -> DataFrame:
+    """images with each sphere's mean for values, and the number of elements it is of in the array `counted`.
+
+    As `smooth`, with equal weights. Null and NaN elements count nowhere; a sphere of nothing else is null, its count 0.
+    """
+    return _neighbour_means(images, voxels, radius, lambda d2: 1.0, values, counted)
+
+
 def _distances(x: np.ndarray, y: np.ndarray, listed: np.ndarray, begin: np.ndarray, metric: str) -> np.ndarray:
     """rows of x times rows of y times centres."""
 

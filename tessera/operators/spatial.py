@@ -1,4 +1,4 @@
-"""Spatial operators: neighbourhoods, smoothing, cluster tables, peaks, spheres and atlas labels.
+"""Spatial operators: neighbourhoods, cluster tables, peaks, spheres and atlas labels (smoothing is in `searchlight`).
 
 voxels(voxel_id, i, j, k) is the grid's dimension table. A neighbourhood is found by an equi-join on
 grid cells, never by comparing all pairs.
@@ -35,21 +35,6 @@ def neighbourhoods(voxels: DataFrame, radius: float) -> DataFrame:
     return at.join(voxels.select(F.col("voxel_id").alias("neighbor_id"), "i", "j", "k"), ["i", "j", "k"]).select("center_id", "neighbor_id", "d2")
 
 
-def smooth(long: DataFrame, voxels: DataFrame, fwhm: float, reach: float = 3.0) -> DataFrame:
-    """image_id, voxel_id, value: Gaussian weights of the voxels in reach, which sum to one inside the mask."""
-    sigma = fwhm / math.sqrt(8 * math.log(2))
-    near = F.broadcast(neighbourhoods(voxels, reach).withColumn("w", F.exp(-F.col("d2") / (2 * sigma * sigma))))
-    joined = long.join(near, long["voxel_id"] == near["neighbor_id"])
-    return joined.groupBy("image_id", "center_id").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value")).withColumnRenamed("center_id", "voxel_id")
-
-
-def searchlight_means(long: DataFrame, voxels: DataFrame, radius: float) -> DataFrame:
-    """image_id, center_id, n, value: the mean of each sphere."""
-    near = F.broadcast(neighbourhoods(voxels, radius))
-    joined = long.join(near, long["voxel_id"] == near["neighbor_id"])
-    return joined.groupBy("image_id", "center_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("value"))
-
-
 def spheres(voxels: DataFrame, centres: list[tuple[float, float, float]], radius: float) -> DataFrame:
     """The voxels within the radius of any centre."""
     inside = F.lit(False)

@@ -44,7 +44,7 @@ def isps(spark, d):
 for _loss, _name in (("logistic", "logistic"), ("squared_hinge", "svm")):
 
     def _fit(spark, d, loss=_loss):
-        w = iterative.newton_classifier(samples(spark, d), "roi", "x", "y", loss, rounds=4)
+        w = iterative.newton_classifier(samples(spark, d), "roi", "x", "y", loss)
         return spark.createDataFrame([(int(k), [float(x) for x in v]) for k, v in sorted(w.items())], "roi int, weights array<double>")
 
     query(f"predict_{_name}")(_fit)

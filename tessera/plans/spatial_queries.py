@@ -36,7 +36,8 @@ def neighbourhoods(spark, d):
     SELECT image_id, CAST(c AS INTEGER) AS voxel_id, round(sum(value * w) / sum(w), 6) + 0.0 AS value FROM L JOIN N ON L.voxel_id = N.n GROUP BY ALL""",
 )
 def image_smooth(spark, d):
-    return rounded(spatial.smooth(long(spark, d), spatial.grid(spark, 4), 2.0), "value")
+    made = searchlight.smooth(images(spark, d).select("image_id", "values"), spatial.grid(spark, 4), 2.0)
+    return rounded(made.select("image_id", F.posexplode("values").alias("voxel_id", "value")), "value")
 
 
 @query(
@@ -45,7 +46,9 @@ def image_smooth(spark, d):
     SELECT image_id, CAST(c AS INTEGER) AS center_id, count(*) AS n, round(avg(value), 6) + 0.0 AS value FROM L JOIN N ON L.voxel_id = N.n GROUP BY image_id, c""",
 )
 def searchlight_means(spark, d):
-    return rounded(spatial.searchlight_means(long(spark, d), spatial.grid(spark, 4), 1.0), "value")
+    made = searchlight.searchlight_means(images(spark, d).select("image_id", "values"), spatial.grid(spark, 4), 1.0)
+    one = made.select("image_id", F.posexplode(F.arrays_zip("n", "values")).alias("center_id", "of"))
+    return rounded(one.select("image_id", "center_id", "of.n", F.col("of.values").alias("value")), "value")
 
 
 @query("spheres", f"WITH {VOX} SELECT CAST(voxel_id AS INTEGER) AS voxel_id FROM V WHERE (i - 1) ** 2 + (j - 1) ** 2 + (k - 1) ** 2 <= 1 OR (i - 3) ** 2 + (j - 3) ** 2 + (k - 2) ** 2 <= 1")

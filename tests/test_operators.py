@@ -218,7 +218,7 @@ def test_newton_classifiers_reach_their_optimum(spark):
     y = (x @ [1.5, -1.0] + 0.3 + r.logistic(size=120) > 0).astype(int)
     f = frame(spark, [(1, int(b), list(map(float, a))) for a, b in zip(x, y, strict=True)], "roi int, y int, x array<double>")
     for loss in ("logistic", "squared_hinge"):
-        w = iterative.newton_classifier(f, "roi", "x", "y", loss, rounds=12)[1]
+        w = iterative.newton_classifier(f, "roi", "x", "y", loss)[1]
 
         def cost(v, loss=loss):
             m = (2 * y - 1) * (v[0] + x @ v[1:])
