@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import safe_div
@@ -18,6 +18,7 @@ from tessera.functions.distributions import p_of_t
 from tessera.operators.inference import Signs, bootstrap_weights, random_signs
 from tessera.operators.matrices import social_relations
 from tessera.operators.resampling import _STATISTICS, _described
+from tessera.sources.scratch import keep
 
 #: Bytes of weights (rows x replicates) that a task makes at a time.
 WEIGHT_BYTES = 32 << 20
@@ -79,6 +80,74 @@ def _edge_replicates(adj: DataFrame, replicates: int, weigh: Signs, parts: dict,
     return ordered.mapInPandas(run, schema).groupBy("i", "j", "block").agg(*columns)
 
 
+#: Rows of one edge in a piece of its order.
+PIECE = 4096
+
+
+def _edge_medians(adj: DataFrame, replicates: int, weigh: Signs) -> DataFrame:
+    """i, j, block, v: the medians of an edge's values in WIDTH replicates, each value counted as often as it is drawn; null
+    where none is.
+
+    Values are sorted over range partitions that may split an edge and saved as pieces of PIECE rows at most. The first pass
+    counts what is drawn of each piece; counts before a piece say in which one the middle lies (two where the middle is
+    between two values), and the second pass looks it up there. No task holds an edge, and none has more than its pieces.
+    """
+    kinds = dict(adj.dtypes)
+    number = F.col("matrix_id").cast("long") if kinds["matrix_id"] in ("tinyint", "smallint", "int", "bigint") else F.xxhash64("matrix_id")
+    there = adj.filter("value IS NOT NULL AND NOT isnan(value)").select("i", "j", number.alias("number"), F.col("value").cast("double").alias("value"))
+    ordered = there.repartitionByRange("i", "j", "value", "number").sortWithinPartitions("i", "j", "value", "number").withColumn("part", F.spark_partition_id())
+    edge = f"i {kinds['i']}, j {kinds['j']}"
+    blocks = -(-(replicates + 1) // WIDTH)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seq = 0
+        for batch in batches:
+            i, j = batch["i"].to_numpy(), batch["j"].to_numpy()
+            ends = np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            edges = [0, *ends, len(batch)]
+            cuts = [(a, min(a + PIECE, z)) for lo, z in zip(edges[:-1], edges[1:], strict=True) for a in range(lo, z, PIECE)]
+            n, v = batch["number"].to_numpy(), batch["value"].to_numpy()
+            at = [a for a, _ in cuts]
+            held = {"numbers": [n[a:z] for a, z in cuts], "held": [v[a:z] for a, z in cuts]}
+            yield pd.DataFrame({"i": i[at], "j": j[at], "part": batch["part"].to_numpy()[at], "seq": np.arange(seq, seq + len(cuts)), **held})
+            seq += len(cuts)
+
+    pieces = keep(ordered.mapInPandas(cut, f"{edge}, part int, seq long, numbers array<long>, held array<double>"), "medians")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                drawn = weigh(np.asarray(row.numbers), np.arange(blocks * WIDTH)).sum(axis=1).reshape(blocks, WIDTH)
+                yield pd.DataFrame({"i": row.i, "j": row.j, "part": row.part, "seq": row.seq, "block": np.arange(blocks), "w": list(drawn)})
+
+    counts = pieces.select("i", "j", "part", "seq", "numbers").mapInPandas(count, f"{edge}, part int, seq long, block int, w array<double>")
+    own = Window.partitionBy("i", "j", "block")
+    earlier = own.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    each = [F.get("w", F.lit(k)) for k in range(WIDTH)]
+    sums = counts.select("*", F.array(*[F.coalesce(F.sum(w).over(earlier), F.lit(0.0)) for w in each]).alias("before"), F.array(*[F.sum(w).over(own) for w in each]).alias("total"))
+    asked = sums.groupBy("i", "j", "part", "seq").agg(F.collect_list(F.struct("block", "before", "total")).alias("asked"))  # an entry a block
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                values, found = np.asarray(row.held), []
+                for of in row.asked:
+                    before, total = np.asarray(of["before"]), np.asarray(of["total"])
+                    weights = weigh(np.asarray(row.numbers), np.arange(of["block"] * WIDTH, (of["block"] + 1) * WIDTH))
+                    after = np.cumsum(weights, axis=1)
+                    half = np.full(WIDTH, np.nan)
+                    for k in np.flatnonzero(total > 0):
+                        for middle in ((total[k] - 1) // 2, total[k] // 2):
+                            place = middle - before[k]
+                            if 0 <= place < after[k, -1]:
+                                half[k] = np.nan_to_num(half[k]) + values[np.searchsorted(after[k], place, side="right")] / 2
+                    found.append((row.i, row.j, of["block"], [None if np.isnan(h) else h for h in half]))
+                yield pd.DataFrame(found, columns=["i", "j", "block", "v"])
+
+    met = pieces.join(asked, ["i", "j", "part", "seq"]).mapInPandas(pick, f"{edge}, block int, v array<double>")
+    return met.groupBy("i", "j", "block").agg(F.array(*[F.sum(F.get("v", F.lit(k))) for k in range(WIDTH)]).alias("v"))
+
+
 def _per_edge(blocks: DataFrame, made: Column, replicates: int) -> DataFrame:
     """i, j, drawn: the array of all replicates of an edge, 0 first."""
     one = blocks.select("i", "j", "block", made.alias("made")).groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("block", "made"))).alias("all"))
@@ -125,8 +194,8 @@ def edge_permutation(adj: DataFrame, replicates: int = 5000, signs: Signs | None
 
 
 def edge_bootstrap(adj: DataFrame, how: str = "mean", replicates: int = 5000, weigh: Signs | None = None, percentiles: tuple[float, float] = (2.5, 97.5)) -> DataFrame:
-    """i, j, stat (of the data), mean, std, z, p, lo, hi of an edge's mean, sum, std (population), min or max over
-    matrices that are drawn again; a draw is the same for all edges.
+    """i, j, stat (of the data), mean, std, z, p, lo, hi of an edge's mean, median, sum, std (population), min or max over
+    matrices that are drawn again; a draw is the same for all edges. The median's result reads a saved table (`keep`).
 
     Replicates are Poisson counts by hashes of matrix_id. One in which an edge has no matrix is left out of that edge's
     mean, std and percentiles; an edge that no replicate has gets nulls, and std is 0 where one replicate has it.
@@ -144,8 +213,10 @@ def edge_bootstrap(adj: DataFrame, how: str = "mean", replicates: int = 5000, we
     elif how in ("min", "max"):
         blocks = _edge_replicates(adj, replicates, weights, {"v": _least if how == "min" else _greatest}, {"v": how})
         made = F.transform("v", lambda x: F.when(F.abs(x) < float("inf"), x))
+    elif how == "median":
+        blocks, made = _edge_medians(adj, replicates, weights), F.col("v")
     else:
-        raise ValueError(f"{how} is none of mean, sum, std, min, max")
+        raise ValueError(f"{how} is none of mean, median, sum, std, min, max")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -57,8 +57,9 @@ def test_edge_permutation_tells_an_effect_from_none(spark):
     assert got[1] < 0.01 and got[2] == 1.0
 
 
-@pytest.mark.parametrize("how", ["mean", "sum", "std", "min", "max"])
-def test_edge_bootstrap_is_plain_resampling(spark, how):
+@pytest.mark.parametrize("how, piece", [*((h, 4096) for h in ("mean", "sum", "std", "min", "max", "median")), ("median", 3)])
+def test_edge_bootstrap_is_plain_resampling(spark, monkeypatch, how, piece):
+    monkeypatch.setattr(op, "PIECE", piece)
     adj, ends, x = stack(spark, m=25)
     _, counts = plain()
     got = {(r["i"], r["j"]): r for r in op.edge_bootstrap(adj, how, 99, counts).collect()}
@@ -80,7 +81,13 @@ def test_missing_edges_are_left_out(spark):
     assert boot[0, 1]["stat"] == 3.0 and boot[1, 2]["lo"] == boot[1, 2]["hi"] == 5.0 and boot[1, 2]["std"] == 0.0
     gone = op.edge_bootstrap(adj, "mean", 3, lambda ids, numbers: np.where(numbers[:, None] == 0, 1.0, 0.0) * np.ones(len(ids))).collect()
     assert {r["stat"] for r in gone} == {2.0, 5.0} and {r["mean"] for r in gone} == {None}
+    middle = {(r["i"], r["j"]): r for r in op.edge_bootstrap(adj, "median", 50).collect()}
+    assert {k: r["stat"] for k, r in middle.items()} == {(0, 1): 2.0, (1, 2): 5.0} and middle[1, 2]["lo"] == middle[1, 2]["hi"] == 5.0
+    once = lambda ids, numbers: np.where(numbers[:, None] == 0, 1.0, 0.0) * np.ones(len(ids))
+    gone = op.edge_bootstrap(adj, "median", 40, once).collect()
+    assert {r["stat"] for r in gone} == {2.0, 5.0} and {r["mean"] for r in gone} == {None}
     none = adj.limit(0)
+    assert op.edge_bootstrap(none, "median", 9).count() == 0
     assert op.edge_permutation(none, 9).count() == 0 and op.edge_bootstrap(none, "std", 9).count() == 0
     with pytest.raises(ValueError):
         op.edge_bootstrap(adj, "mode")
