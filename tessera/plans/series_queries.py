@@ -95,16 +95,17 @@ def series_find_spikes(spark, d):
     f"""WITH {S}, B AS (SELECT *, coalesce(abs(value - lag(value) OVER (PARTITION BY subject ORDER BY row_id)) > 40, false) AS bad FROM S),
     G AS (SELECT *, sum(bad::INT) OVER (PARTITION BY subject ORDER BY row_id) AS g FROM B),
     K AS (SELECT *, NOT bad AND count(*) FILTER (WHERE NOT bad) OVER (PARTITION BY subject, g) >= 3 AS kept FROM G)
-    SELECT subject, row_id, kept, round(value - avg(value) FILTER (WHERE kept) OVER (PARTITION BY subject), 6) + 0.0 AS value FROM K""",
+    SELECT subject, row_id, kept, round(value - avg(value) FILTER (WHERE kept) OVER (PARTITION BY subject), 9) + 0.0 AS value FROM K""",
 )
 def series_censor(spark, d):
-    """Daily values as a confound whose steps are the displacement: days after a jump and short stretches go, the rest is demeaned."""
+    """Daily values as a confound whose steps are the displacement: days after a jump and short stretches go, the rest is demeaned.
+    Nine digits, as means of a few cents are ties of the seventh."""
     s = series(spark, d)
     step = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("subject").orderBy("row_id")))
     named = F.create_map(F.lit("global_signal"), F.col("value"), F.lit(confounds.DISPLACEMENT), step)
     masked = confounds.sample_masks(s.select(F.col("subject").alias("path"), "row_id", named.alias("values")), 40.0, None, 3)
     made = confounds.select_confounds(masked, {"global_signal": "basic"})
-    return made.select(F.col("path").alias("subject"), F.col("row_id").cast("long"), "kept", r6(F.col("values")["global_signal"]).alias("value"))
+    return made.select(F.col("path").alias("subject"), F.col("row_id").cast("long"), "kept", (F.round(F.col("values")["global_signal"], 9) + 0.0).alias("value"))
 
 
 @query(
