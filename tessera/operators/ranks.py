@@ -54,14 +54,55 @@ def spearman(frame: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     return pearson(ranked, "rx_", "ry_", by)
 
 
-def kendall(frame: DataFrame, x: str, y: str, by: Sequence[str], key: str) -> DataFrame:
-    """by..., tau-b from all pairs of a group; meant for groups of bounded size, as a series."""
-    a = frame.select(*by, F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya"))
-    b = frame.select(*by, F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"))
-    pairs = a.join(b, list(by)).filter("ka < kb")
-    sx, sy = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
-    s = pairs.groupBy(*by).agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
-    return s.select(*by, safe_div(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
+def total_before(frame: DataFrame, by: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """frame with the sum of `value` over the rows before each one in `order` within `by` (0 for the first), as a long.
+
+    As `ordered_places`: range partitions may split a group; sums inside a part of it are added to those of the parts before.
+    Rows of one place in the order are an undefined order. The rows are saved once.
+    """
+    n = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = keep(frame.repartitionByRange(n, *by, *order).withColumn("part_", F.spark_partition_id()), "totals")
+    counts = rows.groupBy("part_", *by).agg(F.sum(value).alias("n_"))
+    earlier = Window.partitionBy(*by).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    parts = counts.select(F.col("part_").alias("part_2"), *[F.col(c).alias(f"{c}_2") for c in by], F.coalesce(F.sum("n_").over(earlier), F.lit(0)).alias("add_"))
+    inside = Window.partitionBy("part_", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col("part_") == F.col("part_2")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_2"))
+    summed = rows.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(parts, on).select(*frame.columns, (F.col(out) + F.col("add_")).cast("long").alias(out))
+
+
+def kendall(frame: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
+    """by..., tau-b of all pairs of a group's rows; 0 where a side is constant. Groups of one row, and null groups, have no row.
+
+    Discordant pairs are counted, not made: y's rank as a binary number, two rows differ first at one level of its
+    digits, so at each level the rows of one prefix, in the order of x, count the ones before each zero. That is
+    n log n rows for n, in range partitions that may split a group. Null and NaN pairs of values take no part.
+    """
+    if not by:
+        return kendall(frame.withColumn("whole_", F.lit(0)), x, y, ["whole_"]).drop("whole_")
+    both = frame.select(*by, F.col(x).alias("x_"), F.col(y).alias("y_")).dropna()
+    both = keep(both, "kendall")
+    pairs = lambda n: F.sum(n * (n - 1) / 2)
+    n = F.col("n_")
+    cells = both.groupBy(*by, "x_", "y_").agg(F.count(F.lit(1)).alias("n_"))
+    tied = cells.groupBy(*by).agg(F.sum("n_").alias("n"), pairs(n).alias("xy"))
+    for side in ("x_", "y_"):
+        own = cells.groupBy(*by, side).agg(F.sum("n_").alias("n_")).groupBy(*by).agg(pairs(n).alias(f"t{side}"))
+        tied = tied.join(own, list(by))
+    ranks = ordered_places(cells.select(*by, "y_").distinct(), by, ["y_"], "rank_", "values_")
+    # levels of digits from the lowest to that of the group's number of values
+    digits = F.explode(F.sequence(F.lit(0), F.length(F.bin("values_")) - 1))
+    placed = cells.join(ranks, [*by, "y_"]).select(*by, "x_", "n_", "rank_", digits.alias("level_"))
+    prefix, bit = F.expr("shiftright(rank_, level_ + 1)"), F.expr("shiftright(rank_, level_) & 1")
+    spread = placed.select(*by, "x_", "n_", "level_", prefix.alias("prefix_"), bit.alias("bit_"))
+    levels = spread.groupBy(*by, "level_", "prefix_", "x_").agg(F.sum(F.col("n_") * F.col("bit_")).alias("ones_"), F.sum(F.col("n_") * (1 - F.col("bit_"))).alias("zeros_"))
+    crossed = total_before(levels, [*by, "level_", "prefix_"], ["x_"], "ones_", "before_").groupBy(*by).agg(F.sum(F.col("before_") * F.col("zeros_")).alias("d"))
+    all_ = F.col("n") * (F.col("n") - 1) / 2
+    s = all_ - F.col("tx_") - F.col("ty_") + F.col("xy") - 2 * F.col("d")
+    made = tied.filter("n > 1").join(crossed, list(by))
+    return made.select(*by, safe_div(s, F.sqrt((all_ - F.col("tx_")) * (all_ - F.col("ty_")))).alias("tau"))
 
 
 def _by_rank(frame: DataFrame, p: str, by: Sequence[str]) -> DataFrame:

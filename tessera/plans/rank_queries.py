@@ -49,7 +49,7 @@ def kendall_by_group(spark, d):
     o = table(spark, d, "orders").select(
         "o_custkey", "o_orderkey", F.col("o_totalprice").alias("x"), F.datediff("o_orderdate", F.lit("1970-01-01").cast("date")).cast("double").alias("y")
     )
-    return op.kendall(o, "x", "y", ["o_custkey"], "o_orderkey").withColumn("tau", r6(F.col("tau")))
+    return op.kendall(o, "x", "y", ["o_custkey"]).withColumn("tau", r6(F.col("tau")))
 
 
 _P = "P AS (SELECT o_orderpriority AS g, o_orderkey AS k, ((o_orderkey * 7919) % 10007 / 10007.0::DOUBLE) ** 3 AS p FROM orders)"

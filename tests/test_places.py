@@ -55,3 +55,36 @@ def test_order_statistics_by_buckets(spark, monkeypatch):
     none = images.threshold_percentile(frame.filter("image_id = 99"), 30)
     assert none.collect()[0]["values"] is None
     assert images.threshold_percentile(frame.filter(F.lit(False)), 30).collect() == []
+
+
+def tau_of_pairs(x, y):
+    a, b = (np.sign(np.subtract.outer(v, v))[np.triu_indices(len(v), 1)] for v in (x, y))
+    scale = np.sqrt(np.abs(a).sum() * np.abs(b).sum())
+    return float((a * b).sum() / scale) if scale else 0.0
+
+
+def test_kendall_counts_what_pairs_give(spark):
+    r = np.random.default_rng(11)
+    groups = {"big": (r.integers(0, 60, 400), r.integers(0, 45, 400)), "line": (np.arange(33), -np.arange(33)), "flat": (np.ones(5), np.arange(5)), "two": ([1, 2], [5, 9]), "same": ([3, 3], [4, 4])}
+    groups["mixed"] = (r.normal(size=129), r.normal(size=129))
+    rows = [(g, float(a), float(b)) for g, (x, y) in groups.items() for a, b in zip(x, y, strict=True)]
+    rows += [("one", 1.0, 1.0), ("big", None, 1.0), ("big", 2.0, float("nan")), (None, 1.0, 2.0), (None, 2.0, 3.0)]
+    f = spark.createDataFrame(rows, "g string, a double, b double").repartition(6)
+    got = {q["g"]: q["tau"] for q in ranks.kendall(f, "a", "b", ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, (x, y) in groups.items():
+        assert abs(got[g] - tau_of_pairs(np.asarray(x, float), np.asarray(y, float))) < 1e-12, g
+    assert ranks.kendall(f.limit(0), "a", "b", ["g"]).count() == 0
+    whole = ranks.kendall(f.filter("g = 'mixed'"), "a", "b", []).collect()
+    assert [q.asDict() for q in whole] == [{"tau": got["mixed"]}]
+
+
+def test_totals_before_a_row_of_a_group_in_many_parts(spark):
+    rows = [("a", k, k % 4) for k in range(500)] + [("b", 3, 2), (None, 1, 7), (None, 2, 1)]
+    f = spark.createDataFrame(rows, "g string, k int, v int").repartition(5)
+    got = {(q["g"], q["k"]): q["t"] for q in ranks.total_before(f, ["g"], ["k"], "v", "t").collect()}
+    want, run = {}, {}
+    for g, k, v in rows:
+        want[g, k] = run.get(g, 0)
+        run[g] = want[g, k] + v
+    assert got == want
