@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import array_center, array_mean, array_std, array_sum, let, safe_div
+from tessera.operators.sizes import sent
 from tessera.operators.sums import sum_arrays
 from tessera.sources.tables import explode_images
 
@@ -227,7 +228,7 @@ def reduce_voxels(frame: DataFrame, how: str) -> DataFrame:
 
 def extract_roi(frame: DataFrame, atlas: DataFrame, how: str = "mean") -> DataFrame:
     """image_id, roi, value: reduced over the voxels of each non-zero region of atlas(voxel_id, roi)."""
-    long = explode_images(frame.select("image_id", "values")).join(F.broadcast(atlas.filter("roi <> 0")), "voxel_id")
+    long = explode_images(frame.select("image_id", "values")).join(sent(atlas.filter("roi <> 0")), "voxel_id")
     return long.groupBy("image_id", "roi").agg(REDUCERS[how]("value").alias("value"))
 
 

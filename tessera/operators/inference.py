@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import corr_of_moments, moments, safe_div
 from tessera.operators.ranks import ordered_places
+from tessera.operators.sizes import sent
 
 Signs = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -200,7 +201,7 @@ def matrix_permutation(a: DataFrame, b: DataFrame, moves: DataFrame, tail: str =
     """stat, p of Mantel's test: square(i, j, value) of a with rows and columns moved together by
     moves(replicate, i, to), against the upper triangle of b. Replicate 0 moves nothing."""
     left, right = moves.select("replicate", "i", F.col("to").alias("ti")), moves.select("replicate", F.col("i").alias("j"), F.col("to").alias("tj"))
-    moved = a.join(F.broadcast(left), "i").join(F.broadcast(right), ["replicate", "j"]).select("replicate", F.col("ti").alias("i"), F.col("tj").alias("j"), "value")
+    moved = a.join(sent(left), "i").join(sent(right), ["replicate", "j"]).select("replicate", F.col("ti").alias("i"), F.col("tj").alias("j"), "value")
     other = b.select("i", "j", F.col("value").alias("other"))
     r = moved.filter("i < j").join(other, ["i", "j"]).groupBy("replicate").agg(*moments("value", "other")).select("replicate", corr_of_moments().alias("value"))
     return p_from_replicates(r.withColumn("one", F.lit(1)), ["one"], tail).drop("one")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import array_center, array_sum, dot, safe_div
+from tessera.operators.sizes import sent
 from tessera.operators.sums import sum_arrays, sum_arrays_by
 
 #: Columns of a block of products, numbers of stacked rows, and of products kept by a task until its end.
@@ -166,7 +167,7 @@ def full_square(adj: DataFrame, diagonal: float = 0.0) -> DataFrame:
 def permute_nodes(square: DataFrame, moved: DataFrame) -> DataFrame:
     """P A P' with moved(i, to): only names change."""
     a, b = moved.select("i", F.col("to").alias("ti")), moved.select(F.col("i").alias("j"), F.col("to").alias("tj"))
-    return square.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("matrix_id", F.col("ti").alias("i"), F.col("tj").alias("j"), "value")
+    return square.join(sent(a), "i").join(sent(b), "j").select("matrix_id", F.col("ti").alias("i"), F.col("tj").alias("j"), "value")
 
 
 def to_similarity(adj: DataFrame, how: str = "correlation", beta: float = 1.0) -> DataFrame:
@@ -337,7 +338,7 @@ def label_distance_test(adj: DataFrame, labels: DataFrame, moves: DataFrame) ->
     moved = labels.join(moves, "i").select("replicate", F.col("to").alias("i"), "label")
     a = moved.select("replicate", "i", F.col("label").alias("li"))
     b = moved.select("replicate", F.col("i").alias("j"), F.col("label").alias("lj"))
-    named = adj.join(F.broadcast(a), "i").join(F.broadcast(b), ["replicate", "j"])
+    named = adj.join(sent(a), "i").join(sent(b), ["replicate", "j"])
     ends = named.select("replicate", F.explode(F.array_distinct(F.array("li", "lj"))).alias("label"), (F.col("li") == F.col("lj")).alias("same"), "value")
     diff = F.avg(F.when(~F.col("same"), F.col("value"))) - F.avg(F.when(F.col("same"), F.col("value")))
     return p_from_replicates(ends.groupBy("replicate", "label").agg(diff.alias("value")).filter("value IS NOT NULL"), ["label"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import corr_of_moments, moments, safe_div
+from tessera.operators.sizes import sent
 from tessera.sources.scratch import keep
 
 
@@ -138,9 +139,9 @@ def contiguous_folds(frame: DataFrame, key: str, k: int, by: Sequence[str]) -> D
 
 
 def group_folds(frame: DataFrame, group: str) -> DataFrame:
-    """fold: one for each group, in order; the list of groups is small next to the rows."""
+    """fold: one for each group, in order."""
     groups = frame.select(group).distinct().withColumn("fold", (F.dense_rank().over(Window.orderBy(group)) - 1).cast("long"))
-    return frame.join(F.broadcast(groups), group)
+    return frame.join(sent(groups), group)
 
 
 def roc_points(frame: DataFrame, score: str, positive: str, by: Sequence[str]) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.sizes import sent
+
 
 def grid(spark: SparkSession, n: int) -> DataFrame:
     """A cube of n * n * n voxels, k running fastest."""
@@ -65,7 +67,7 @@ def label_coordinates(points: DataFrame, atlas: DataFrame, size: int, voxel_mm:
     """points(point_id, x, y, z) in mm to atlas(i, j, k, label): rounded half to even to a voxel; points
     outside the box take voxel (0, 0, 0)."""
     clipped = _placed(points, size, voxel_mm, origin)
-    return clipped.join(F.broadcast(atlas), ["i", "j", "k"], "left").select("point_id", "i", "j", "k", F.coalesce("label", F.lit("no label")).alias("label"))
+    return clipped.join(sent(atlas), ["i", "j", "k"], "left").select("point_id", "i", "j", "k", F.coalesce("label", F.lit("no label")).alias("label"))
 
 
 def label_probabilities(
@@ -81,7 +83,7 @@ def label_probabilities(
     told = F.array_join(F.transform(listed, lambda r: F.concat(F.format_string("%.1f%% ", F.bround(r["percent"], 1)), r["label"])), "; ")
     voxels = kept.groupBy("i", "j", "k").agg(told.alias("label"))
     clipped = _placed(points, size, voxel_mm, origin)
-    return clipped.join(F.broadcast(voxels), ["i", "j", "k"], "left").select("point_id", "i", "j", "k", F.coalesce("label", F.lit("no label")).alias("label"))
+    return clipped.join(sent(voxels), ["i", "j", "k"], "left").select("point_id", "i", "j", "k", F.coalesce("label", F.lit("no label")).alias("label"))
 
 
 def resample_nearest(long: DataFrame, source: DataFrame, target: DataFrame, ratio: float) -> DataFrame:
@@ -90,12 +92,12 @@ def resample_nearest(long: DataFrame, source: DataFrame, target: DataFrame, rati
     place = {n: F.floor((F.col(n) + 0.5) * ratio).cast("int") for n in "ijk"}
     at = target.select(F.col("voxel_id").alias("target_id"), *[c.alias(n) for n, c in place.items()])
     found = at.join(source, ["i", "j", "k"]).select("target_id", "voxel_id")
-    return long.join(F.broadcast(found), "voxel_id").select("image_id", F.col("target_id").alias("voxel_id"), "value")
+    return long.join(sent(found), "voxel_id").select("image_id", F.col("target_id").alias("voxel_id"), "value")
 
 
 def sphere_features(long: DataFrame, voxels: DataFrame, radius: float) -> DataFrame:
     """center_id, image_id, x: each sphere's values in the order of voxels, for models of neighbourhoods."""
-    near = F.broadcast(neighbourhoods(voxels, radius))
+    near = sent(neighbourhoods(voxels, radius))
     joined = long.join(near, long["voxel_id"] == near["neighbor_id"])
     packed = F.array_sort(F.collect_list(F.struct("neighbor_id", "value")))
     return joined.groupBy("center_id", "image_id").agg(F.transform(packed, lambda p: p["value"]).alias("x"))
@@ -104,7 +106,7 @@ def sphere_features(long: DataFrame, voxels: DataFrame, radius: float) -> DataFr
 def separate_peaks(labelled: DataFrame, voxels: DataFrame, min_distance: float) -> DataFrame:
     """image_id, cluster, voxel_id, value: a cluster's voxels of largest |value| at least min_distance apart.
     A group is one cluster."""
-    placed = labelled.join(F.broadcast(voxels), "voxel_id")
+    placed = labelled.join(sent(voxels), "voxel_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.assign(a=group["value"].abs()).sort_values(["a", "voxel_id"], ascending=[False, True])
