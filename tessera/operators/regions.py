@@ -3,6 +3,9 @@
 long(image_id, voxel_id, value); voxels(voxel_id, i, j, k). A voxel meets its neighbours by an equi-join on shifted
 grid cells within its image. Labels settle by minima over links and by following labels of labels, so a
 region that is n voxels long takes a number of rounds that grows with the logarithm of n.
+
+Tables with a row a voxel meet by shuffles alone (`_large`): as Parquet they are a few MB where their rows, sent to all tasks,
+fill the driver, so their size on disk must not decide.
 """
 
 from __future__ import annotations
@@ -19,6 +22,11 @@ HALF = [s for s in itertools.product((-1, 0, 1), repeat=3) if s > (0, 0, 0)]
 ALL = [s for s in itertools.product((-1, 0, 1), repeat=3) if s != (0, 0, 0)]
 
 
+def _large(side: DataFrame) -> DataFrame:
+    """side, marked to meet the other side of a join by a shuffle, whatever its size on disk."""
+    return side.hint("merge")
+
+
 def placed(long: DataFrame, voxels: DataFrame, threshold: float) -> DataFrame:
     """image_id, voxel_id, value, sign and i, j, k of the voxels with |value| >= threshold and a place in the grid."""
     kept = long.filter(F.abs("value") >= threshold).select("image_id", "voxel_id", "value", F.signum("value").alias("sign"))
@@ -31,13 +39,13 @@ def neighbours(rows: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:
     here = rows.select("image_id", F.col("voxel_id").alias("a"), F.col("value").alias("value_a"), "sign", "i", "j", "k", F.explode(moves).alias("m"))
     at = here.select("image_id", "a", "value_a", "sign", *[(F.col(c) + F.col(f"m.{m}")).alias(c) for c, m in zip("ijk", "xyz", strict=True)])
     there = rows.select("image_id", F.col("voxel_id").alias("b"), F.col("value").alias("value_b"), "sign", "i", "j", "k")
-    return at.join(there, ["image_id", "sign", "i", "j", "k"]).select("image_id", "a", "value_a", "b", "value_b")
+    return at.join(_large(there), ["image_id", "sign", "i", "j", "k"]).select("image_id", "a", "value_a", "b", "value_b")
 
 
 def _followed(labels: DataFrame, onto: DataFrame) -> DataFrame:
     """labels(image_id, node, to), each `to` replaced by where onto sends it."""
     nxt = onto.select("image_id", F.col("node").alias("to"), F.col("to").alias("further"))
-    return labels.join(nxt, ["image_id", "to"], "left").select("image_id", "node", F.coalesce("further", "to").alias("to"))
+    return labels.join(_large(nxt), ["image_id", "to"], "left").select("image_id", "node", F.coalesce("further", "to").alias("to"))
 
 
 def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
@@ -60,7 +68,7 @@ def components(nodes: DataFrame, links: DataFrame, scratch: Scratch, rounds: int
         ends = edges
         for end in ("hi", "lo"):
             onto = hooks.select("image_id", F.col("node").alias(end), F.col("to").alias("label"))
-            ends = ends.join(onto, ["image_id", end], "left").withColumn(end, F.coalesce("label", end)).drop("label")
+            ends = ends.join(_large(onto), ["image_id", end], "left").withColumn(end, F.coalesce("label", end)).drop("label")
         edges = scratch.save(ends.filter("hi <> lo").select("image_id", F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
     raise RuntimeError(f"regions did not settle in {rounds} rounds")
 
@@ -70,7 +78,7 @@ def _numbered(rows: DataFrame, min_size: int) -> DataFrame:
     sizes = rows.groupBy("image_id", "region").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= min_size)
     order = Window.partitionBy("image_id").orderBy(F.col("size").desc(), "region")  # a row a region
     named = sizes.select("image_id", "region", F.row_number().over(order).cast("long").alias("cluster"))
-    return rows.join(named, ["image_id", "region"]).select("image_id", "cluster", "voxel_id", "value")
+    return rows.join(_large(named), ["image_id", "region"]).select("image_id", "cluster", "voxel_id", "value")
 
 
 def clusters(long: DataFrame, voxels: DataFrame, threshold: float, min_size: int = 1) -> DataFrame:
@@ -84,7 +92,7 @@ def clusters(long: DataFrame, voxels: DataFrame, threshold: float, min_size: int
     with Scratch(long.sparkSession, "regions") as scratch:
         rows = scratch.save(placed(held, voxels, threshold))
         found = components(rows.withColumnRenamed("voxel_id", "node"), neighbours(rows, HALF), scratch)
-        named = rows.join(found.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("region")), ["image_id", "voxel_id"])
+        named = rows.join(_large(found.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("region"))), ["image_id", "voxel_id"])
         return keep(_numbered(named, min_size))
 
 
@@ -104,10 +112,10 @@ def peak_regions(long: DataFrame, voxels: DataFrame, threshold: float, min_size:
         climbs = scratch.save(pairs.groupBy("image_id", F.col("a").alias("node")).agg(best.alias("best")).select("image_id", "node", F.col("best.to").alias("to")))
         while True:  # each pass doubles the steps taken; a climb is at most as long as its image's voxels
             further = scratch.save(_followed(climbs, climbs))
-            moved = further.join(climbs, ["image_id", "node", "to"], "left_anti")
+            moved = further.join(_large(climbs), ["image_id", "node", "to"], "left_anti")
             climbs = further
             if moved.isEmpty():
                 break
-        named = rows.join(climbs.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("region")), ["image_id", "voxel_id"])
-        numbered = _numbered(named, min_size).join(climbs.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("peak")), ["image_id", "voxel_id"])
+        named = rows.join(_large(climbs.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("region"))), ["image_id", "voxel_id"])
+        numbered = _numbered(named, min_size).join(_large(climbs.select("image_id", F.col("node").alias("voxel_id"), F.col("to").alias("peak"))), ["image_id", "voxel_id"])
         return keep(numbered)

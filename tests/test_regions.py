@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import col as spark_col
 
 from tessera.operators import regions, searchlight, spatial
 
@@ -112,3 +113,15 @@ def test_resampling_between_affines(spark):
     np.testing.assert_allclose(resampled(five, turned, "nearest"), cube.transpose(0, 2, 1, 3).reshape(2, -1))
     with pytest.raises(ValueError, match="linear or nearest"):
         resampled(five, unit, "cubic")
+
+
+def test_no_table_of_voxels_is_sent_to_all_tasks(spark):
+    """As Parquet such tables are small enough for Spark to send them, whole, through the driver."""
+    from tessera.sources.scratch import Scratch
+
+    r = np.random.default_rng(3)
+    with Scratch(spark, "test") as scratch:
+        rows = scratch.save(regions.placed(long_of(spark, r.normal(size=(3, 64))), spatial.grid(spark, 4), 0.1))
+        labels = rows.select("image_id", spark_col("voxel_id").alias("node"), spark_col("voxel_id").alias("to"))
+        for made in (regions.neighbours(rows, regions.ALL), regions._followed(labels, labels), regions._numbered(rows.withColumn("region", spark_col("voxel_id")), 1)):
+            assert made.count() and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
