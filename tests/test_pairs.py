@@ -61,3 +61,24 @@ def test_copies_do_not_fill_the_shuffle():
 
 def test_halves_are_rounded_away_from_zero():
     assert pairs.rounded(np.array([0.5, 1.5, -0.5, -1.49, -0.0]), 0).tolist() == [1.0, 2.0, -1.0, -1.0, 0.0]
+
+
+def test_distances_in_spheres_are_summed_up_where_they_are_made(spark, small_blocks, monkeypatch):
+    from tessera.operators import searchlight, spatial
+
+    monkeypatch.setattr(searchlight, "IMAGES", 3)
+    monkeypatch.setattr(searchlight, "CENTRES", 5)
+    x = np.random.default_rng(5).normal(size=(20, 8))
+    labels = [None if n % 4 == 0 else n % 3 for n in range(20)]
+    frame = spark.createDataFrame([(n, labels[n], v.tolist()) for n, v in enumerate(x)], "image_id long, label int, values array<double>")
+    made = searchlight.searchlight_distance_summary(frame, spatial.grid(spark, 2), 1.0, "label")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" not in plan
+    every = searchlight.searchlight_distances(frame, spatial.grid(spark, 2), 1.0).collect()
+    want = {}
+    for g in every:
+        want.setdefault((g["center_id"], labels[g["i"]] == labels[g["j"]]), []).append(g["value"])
+    got = {(g["center_id"], g["same"]): (g["pairs"], g["mean"], g["nearest"], g["farthest"]) for g in made.collect()}
+    assert got.keys() == want.keys() and len(every) == 8 * 190
+    for k, v in want.items():
+        np.testing.assert_allclose(got[k], (len(v), np.mean(v), min(v), max(v)), atol=1e-12)
