@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import legendre, safe_div
+from tessera.operators.ranks import total_before
+from tessera.operators.sizes import sent
+from tessera.sources.scratch import keep
 
 
 def with_row_id(frame: DataFrame, by: Sequence[str], order: str) -> DataFrame:
@@ -37,11 +40,32 @@ def zscore(frame: DataFrame, columns: Sequence[str], by: Sequence[str] = (), cen
     return joined.drop(*named)
 
 
+def quantiles(frame: DataFrame, column: str, by: Sequence[str], **shares: float) -> DataFrame:
+    """by... and a linear quantile for each of `shares` by its name; null of a group without values.
+
+    Distinct values are counted and their counts added up over range partitions, which may split a group, so no task has all
+    values of one. Null values take no part; NaN is the largest.
+    """
+    named = frame.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("value_")).agg(F.count(F.lit(1)).alias("n_"))
+    counts = keep(named, "quantiles")
+    placed = total_before(counts, by, ["value_"], "n_", "before_")
+    sums = counts.groupBy(*by).agg(F.sum("n_").alias("all_"))
+    met = placed.join(sent(sums), list(by)) if by else placed.join(F.broadcast(sums))
+    made = {}
+    for name, share in shares.items():
+        at = (F.col("all_") - 1) * F.lit(share)
+        below, above = (F.max(F.when((F.col("before_") <= k) & (k < F.col("before_") + F.col("n_")), F.col("value_"))) for k in (F.floor(at), F.ceil(at)))
+        part = F.max(at - F.floor(at))
+        made[name] = F.when(part == 0, below).otherwise((1 - part) * below + part * above)
+    found = met.groupBy(*by).agg(*[c.alias(name) for name, c in made.items()])
+    return frame.select(*by).distinct().join(found, list(by), "left") if by else found
+
+
 def outlier_bounds(frame: DataFrame, column: str, by: Sequence[str], how: str, low: float, high: float) -> DataFrame:
     """frame with lo and hi: linear quantiles, or mean -/+ k deviations (ddof 1)."""
     if how == "quantile":
-        cut = F.percentile(column, F.array(F.lit(low), F.lit(high)))
-        return _group_stats(frame, by, lo=F.get(cut, F.lit(0)), hi=F.get(cut, F.lit(1)))
+        cut = sent(keep(quantiles(frame, column, by, lo=low, hi=high), "quantiles"))  # a row a group
+        return frame.join(cut, list(by)) if by else frame.join(cut)
     return _group_stats(frame, by, lo=F.avg(column) - low * F.stddev_samp(column), hi=F.avg(column) + high * F.stddev_samp(column))
 
 
@@ -53,7 +77,7 @@ def winsorize(
     x, lo, hi = F.col(column), F.col("lo"), F.col("hi")
     if not to_cutoff:
         inside = cut.filter((x > lo) & (x < hi)).groupBy(*by).agg(F.min(column).alias("lo_in"), F.max(column).alias("hi_in"))
-        cut = cut.join(inside, list(by), "left") if by else cut.join(F.broadcast(inside))
+        cut = cut.join(sent(keep(inside, "inside")), list(by), "left") if by else cut.join(F.broadcast(inside))
     floor, ceil = (lo, hi) if to_cutoff else (F.col("lo_in"), F.col("hi_in"))
     return cut.withColumn(column, F.when(x < lo, floor).when(x > hi, ceil).otherwise(x)).drop("lo", "hi", "lo_in", "hi_in")
 
