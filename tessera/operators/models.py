@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import safe_div
 from tessera.functions.distributions import f_sf, t_sf2
+from tessera.operators.sizes import sent
+from tessera.sources.scratch import keep
 
 
 def one_sample_t(frame: DataFrame, value: str, by: Sequence[str], popmean: float = 0.0) -> DataFrame:
@@ -197,7 +199,7 @@ def clean_columns(corr: DataFrame, columns: Sequence[str], limit: float) -> list
 def with_fit(frame: DataFrame, fit: DataFrame, design: Sequence[str], target: str, by: Sequence[str]) -> DataFrame:
     """frame with predicted and residual from the terms of fit_linear (or ridge_by_fold's, by fold)."""
     wide = fit.groupBy(*by).pivot("term", list(design)).agg(F.first("effect"))
-    named = wide.select(*by, *[F.col(d).alias(f"beta_{d}") for d in design])
+    named = sent(keep(wide.select(*by, *[F.col(d).alias(f"beta_{d}") for d in design]), "fit"))  # a row a group: rows stay where they are
     predicted = sum((F.col(d) * F.col(f"beta_{d}") for d in design), F.lit(0.0))
     joined = frame.join(named, list(by)).withColumn("predicted", predicted).drop(*[f"beta_{d}" for d in design])
     return joined.withColumn("residual", F.col(target) - F.col("predicted"))

@@ -24,3 +24,10 @@ def test_quantiles_agree_with_percentiles_and_no_task_gathers_a_group(spark):
     np.testing.assert_allclose(whole, np.median([x for _, x in rows if x is not None] + [5.0, 7.0]), atol=1e-12)
     kept = series.winsorize(frame, "x", ["g"], to_cutoff=False)
     assert kept.count() == 302 and "percentile" not in kept._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_fits_are_sent_to_the_rows(spark):
+    from tessera.plans import registry
+
+    plan = registry.QUERIES["ols_residuals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
