@@ -82,3 +82,9 @@ def test_distances_in_spheres_are_summed_up_where_they_are_made(spark, small_blo
     assert got.keys() == want.keys() and len(every) == 8 * 190
     for k, v in want.items():
         np.testing.assert_allclose(got[k], (len(v), np.mean(v), min(v), max(v)), atol=1e-12)
+
+
+def test_four_pieces_of_isc_fit_an_executor():
+    from tessera.operators import inference
+
+    assert 4 * 300 * inference.PIECE < 2e9  # a value took about 300 bytes of a worker
