@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from tessera.operators.sums import sum_arrays_by
 Draws = Callable[[int, np.ndarray], np.ndarray]
 #: Weights (replicates x pairs) that a task holds at a time, and products of all replicates for a block of voxels.
 HELD_BYTES, BLOCK_BYTES = 64 << 20, 16 << 20
+#: Rows asked for that a task holds, predictions (replicates x rows x voxels) that it makes at a time, and tasks at most.
+SHARE_ROWS, TILE_VALUES, MOST_TASKS = 1 << 13, 1 << 20, 2048
 
 
 def random_draws(seed: int = 0) -> Draws:
@@ -215,30 +219,47 @@ def ridge_prediction_bootstrap(
 ) -> DataFrame:
     """key, voxel_id, predicted (by the data), mean, std, z, p, lo, hi of ridge predictions of asked(key, features).
 
-    As ridge_weight_bootstrap; each block of voxels, its replicates' weights still at hand, meets the rows asked for in chunks of
-    `rows` by an equi-join on the block. The result has a row for each row asked for and voxel.
+    As ridge_weight_bootstrap; the rows asked for are dealt to shares of SHARE_ROWS at most (and of `rows` at least, where tasks would be
+    idle), and a block of voxels, its replicates' weights still at hand, is sent once to each share and described there tile by tile. The
+    result has a row for each row asked for and voxel.
     """
     if alpha <= 0:
         raise ValueError("alpha must be above 0, or a replicate may have no solution")
     sums, width = _weighted_products(frame, features, k, replicates, weigh or bootstrap_weights(), key, values)
     longest = frame.agg(F.max(F.size(values))).first()[0] or 0
-    chunks = max(1, -(-asked.count() // rows))
-    packed = asked.groupBy(F.pmod(F.hash(key), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(F.col(key).alias("key_"), F.col(features).alias("x_"))).alias("asked"))
-    sent = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-longest // width) - 1)))))
+    blocks, n = max(1, -(-longest // width)), asked.count()
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, -(-n // SHARE_ROWS), min(-(-tasks // blocks), -(-n // rows)))
     solved = sums.select("key", "flat").mapInPandas(_weights(k, replicates, alpha), "key int, voxels int, w array<double>")
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                w = np.asarray(r["w"], float).reshape(replicates + 1, k, r["voxels"])
-                for one in r["asked"]:
-                    made = np.asarray(one["x_"], float) @ w
-                    named = dict(zip(_STATISTICS, _described(made[1:], percentiles), strict=True))
-                    yield pd.DataFrame({key: one["key_"], "voxel_id": r["block"] * width + np.arange(r["voxels"]), "predicted": made[0], **named})
+    sent = solved.select(F.col("key").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), "voxels", "w")
+    own = F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share")
+    wanted = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), own, F.col(key).alias("key_"), F.col(features).cast("array<double>").alias("x_"))
+    met = wanted.unionByName(sent, allowMissingColumns=True).repartition(max(tasks, min(MOST_TASKS, blocks * shares)), "block", "share")
+    names = [key, "voxel_id", "predicted", *_STATISTICS]
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches)
+        is_weights = held["voxels"].is_valid()
+        weights, here = held.filter(is_weights), held.filter(pc.invert(is_weights))
+        if not len(weights) or not len(here):
+            return
+        if here["x_"].null_count:
+            raise ValueError("a row asked for has no features")
+        voxels = weights["voxels"][0].as_py()
+        w = pc.list_flatten(weights["w"]).to_numpy().reshape(replicates + 1, k, voxels)
+        x = pc.list_flatten(here["x_"]).to_numpy().reshape(len(here), k)
+        place = held["block"][0].as_py() * width + np.arange(voxels)
+        step = max(1, TILE_VALUES // ((replicates + 1) * voxels))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            made = part @ w  # replicates x rows x voxels
+            keys = here["key_"].take(pa.array(np.repeat(np.arange(at, at + len(part)), voxels))).combine_chunks()
+            numbers = [made[0], *_described(made[1:], percentiles)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(place, len(part))), *(pa.array(v.reshape(-1)) for v in numbers)], names=names)
 
     kind = dict(asked.dtypes)[key]
     schema = ", ".join([f"{key} {kind}, voxel_id long, predicted double", *(f"{s} double" for s in _STATISTICS)])
-    return sent.join(solved, sent["block"] == solved["key"]).select("block", "voxels", "w", "asked").mapInPandas(predict, schema)
+    return met.groupBy("block", "share").applyInArrow(predict, schema)
 
 
 def _weights(k: int, replicates: int, alpha: float):

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import inference, resampling
 from tessera.operators.inference import bootstrap_weights
@@ -123,3 +124,12 @@ def test_ridge_bootstraps(spark, monkeypatch, block):
     assert resampling.ridge_weight_bootstrap(frame.limit(0), "x", 3, 5).collect() == []
     with pytest.raises(ValueError, match="alpha"):
         resampling.ridge_weight_bootstrap(frame, "x", 3, 5, alpha=0)
+
+
+def test_predictions_of_one_block_are_made_by_many_tasks(spark):
+    frame = spark.range(400).select(
+        F.col("id").alias("image_id"), F.array(F.lit(1.0), F.col("id") % 5 / 5.0).alias("x"), F.array(F.col("id") % 7 / 7.0, F.col("id") % 3 / 3.0).alias("values")
+    )
+    got = resampling.ridge_prediction_bootstrap(frame, frame.select("image_id", "x"), "x", 2, 5).withColumn("task", F.spark_partition_id())
+    seen = got.groupBy("task").count().toPandas()["count"]
+    assert seen.sum() == 800 and len(seen) > 1  # one block of voxels was one task, whatever the rows asked for
