@@ -125,3 +125,31 @@ def test_no_table_of_voxels_is_sent_to_all_tasks(spark):
         labels = rows.select("image_id", spark_col("voxel_id").alias("node"), spark_col("voxel_id").alias("to"))
         for made in (regions.neighbours(rows, regions.ALL), regions._followed(labels, labels), regions._numbered(rows.withColumn("region", spark_col("voxel_id")), 1)):
             assert made.count() and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_peaks_of_many_clusters_are_kept_apart_in_one_task(spark):
+    """Clusters of all sizes against plain loops, with ties; a cluster may lie in several batches, and a task holds many clusters."""
+    r = np.random.default_rng(8)
+    voxels = spatial.grid(spark, 8)
+    places = np.array(list(itertools.product(range(8), repeat=3)))
+    rows, want = [], set()
+    for image in range(6):
+        of, values = r.integers(1, 40, 512), r.integers(-9, 10, 512) / 4.0
+        of[r.permutation(512)[:200]] = 1  # a large one
+        rows += [(image, int(c), v, float(x)) for v, (c, x) in enumerate(zip(of, values, strict=True))]
+        for c in set(of.tolist()):
+            kept = []
+            for v in sorted(np.flatnonzero(of == c), key=lambda v: (-abs(values[v]), v)):
+                if all(((places[v] - places[m]) ** 2).sum() >= 4 for m in kept):
+                    kept.append(v)
+            want |= {(image, c, int(v), float(values[v])) for v in kept}
+    labelled = spark.createDataFrame(rows, "image_id long, cluster long, voxel_id int, value double").repartition(5)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        peaks = spatial.separate_peaks(labelled, voxels, 2.0)
+        assert {tuple(x) for x in peaks.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    # a group a cluster cost some 2 ms a cluster, a job that grew with their number
+    assert "FlatMapGroupsInPandas" not in peaks._jdf.queryExecution().toString()
