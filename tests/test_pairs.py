@@ -88,3 +88,23 @@ def test_four_pieces_of_isc_fit_an_executor():
     from tessera.operators import inference
 
     assert 4 * 300 * inference.PIECE < 2e9  # a value took about 300 bytes of a worker
+
+
+@pytest.mark.parametrize("shape", [(64, 2048), (77, 3001), (3, 5), (20000, 2)])
+def test_passes_over_pairs_stay_in_the_cache_and_give_the_same_numbers(shape):
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(shape[0], 6)), r.normal(size=(shape[1], 6))
+    seen = []
+
+    def add(total, gap):
+        seen.append(gap.size)
+        np.add(total, np.abs(gap), out=total)
+
+    got = pairs._gaps(x, y, add, range(6))
+    assert max(seen) <= pairs.CACHED  # a tile's differences were made in one go, out of the cache
+    want = np.zeros(shape)
+    for k in range(6):
+        want += np.abs(x[:, k][:, None] - y[:, k])
+    np.testing.assert_array_equal(got, want)
+    np.testing.assert_array_equal(pairs.cityblock(x, y), want)
+    np.testing.assert_array_equal(pairs.rounded(want), pairs._rounded(want, 6))
