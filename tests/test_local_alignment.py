@@ -104,3 +104,24 @@ def test_centring_takes_time_in_proportion_to_the_samples(spark):
     begin = time.time()
     made = alignment.centred(frame).select(F.get(F.get("matrix", F.lit(1)), F.lit(0)).alias("x")).first()["x"]
     assert made == -9999.5 and time.time() - begin < 10  # a mean for each sample: 800 million steps
+
+
+@pytest.mark.parametrize("method", ["hyperalignment", "srm"])
+def test_local_alignment_takes_times_in_stretches(spark, method, monkeypatch):
+    """The same numbers whatever the length of a stretch; times need not be numbered from 0."""
+    monkeypatch.setattr(alignment, "STRETCH", 16)
+    r = np.random.default_rng(6)
+    points = np.array(list(itertools.product(range(2), repeat=3)))
+    shared = r.normal(size=(8, 37))
+    cubes = {s: shared + 0.5 * r.normal(size=(8, 37)) + s for s in range(3)}
+    rows = [(s, t * 5 + 9, x[:, t].tolist()) for s, x in cubes.items() for t in range(37)]
+    images = spark.createDataFrame(rows, "subject int, t long, values array<double>").repartition(3)
+    got = {}
+    for x in alignment.align_local(images, spatial.grid(spark, 2), 1.0, method, 3, rounds=2).collect():
+        got.setdefault((x["subject"], x["voxel_id"]), {})[x["t"]] = x["value"]
+    want = plain_local(cubes, points, 1.0, method, 3, 2)
+    assert set(got) == set(want)
+    for key, series in want.items():
+        np.testing.assert_allclose([got[key][t] for t in range(37)], series, atol=1e-7)
+    placed = images.withColumn("t", (F.col("t") - 9) / 5)
+    assert alignment.local_rows(placed.withColumn("t", F.col("t").cast("long")), points, 1.0).agg(F.max("times")).first()[0] == 16
