@@ -5,7 +5,7 @@ grid cells within its image. Labels settle by minima over links and by following
 region that is n voxels long takes a number of rounds that grows with the logarithm of n.
 
 Tables with a row a voxel meet by shuffles alone (`_large`): as Parquet they are a few MB where their rows, sent to all tasks,
-fill the driver, so their size on disk must not decide.
+fill the driver, so their size on disk must not decide. Of the grid rows are counted: it alone may go to all tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import itertools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.sizes import sent
 from tessera.sources.scratch import Scratch, keep
 
 #: Half of the 26 steps to a neighbour, one of each pair of opposite ones; and all of them.
@@ -30,7 +31,7 @@ def _large(side: DataFrame) -> DataFrame:
 def placed(long: DataFrame, voxels: DataFrame, threshold: float) -> DataFrame:
     """image_id, voxel_id, value, sign and i, j, k of the voxels with |value| >= threshold and a place in the grid."""
     kept = long.filter(F.abs("value") >= threshold).select("image_id", "voxel_id", "value", F.signum("value").alias("sign"))
-    return kept.join(voxels.select("voxel_id", "i", "j", "k"), "voxel_id")
+    return kept.join(sent(voxels.select("voxel_id", "i", "j", "k")), "voxel_id")
 
 
 def neighbours(rows: DataFrame, steps: list[tuple[int, int, int]]) -> DataFrame:

@@ -127,6 +127,35 @@ def test_no_table_of_voxels_is_sent_to_all_tasks(spark):
             assert made.count() and "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 3])
+def test_images_of_any_number_meet_a_stored_grid_without_being_sent(spark, monkeypatch, tmp_path, limit):
+    """A stored grid is larger on disk than the few voxels over a threshold, which Spark would then send through the driver."""
+    from tessera.operators import sizes
+    from tessera.sources.scratch import Scratch
+
+    monkeypatch.setattr(sizes, "SENT_ROWS", limit)
+    sent, save = [], Scratch.save
+
+    def watched(self, df):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        sent.extend(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    r = np.random.default_rng(5)
+    points = np.array(list(itertools.product(range(4), repeat=3)))
+    values = r.normal(size=(20, 64)) * (r.random((20, 64)) < 0.5)
+    at = points @ [1600, 40, 1]  # the corner of the grid that the images fill
+    back = {int(x): v for v, x in enumerate(at)}
+    spatial.grid(spark, 40).write.parquet(f"{tmp_path}/grid")
+    rows = [(n, int(at[v]), float(x)) for n, row in enumerate(values) for v, x in enumerate(row)]
+    spark.createDataFrame(rows, "image_id long, voxel_id int, value double").write.parquet(f"{tmp_path}/long")
+    got = regions.clusters(spark.read.parquet(f"{tmp_path}/long"), spark.read.parquet(f"{tmp_path}/grid"), 0.8, 2)
+    assert {(x["image_id"], x["cluster"], back[x["voxel_id"]]) for x in got.collect()} == plain_clusters(values, points, 0.8, 2)
+    # the grid alone, the right side, and only where its rows are few
+    assert len(sent) == (limit > 3) and all("BuildRight" in x for x in sent)
+
+
 def test_peaks_of_many_clusters_are_kept_apart_in_one_task(spark):
     """Clusters of all sizes against plain loops, with ties; a cluster may lie in several batches, and a task holds many clusters."""
     r = np.random.default_rng(8)
