@@ -156,6 +156,27 @@ def test_images_of_any_number_meet_a_stored_grid_without_being_sent(spark, monke
     assert len(sent) == (limit > 3) and all("BuildRight" in x for x in sent)
 
 
+@pytest.mark.parametrize("name", ["clusters", "cluster_table"])
+def test_queries_of_clusters_send_nothing_but_the_grid(spark, monkeypatch, name):
+    """Tables are all a few KB here: any join that leaves it to their size sends one whole through the driver."""
+    import tessera.plans  # noqa: F401
+    from tessera.plans import registry
+    from tessera.sources.scratch import Scratch
+
+    plans, save = [], Scratch.save
+
+    def watched(self, df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return save(self, df)
+
+    monkeypatch.setattr(Scratch, "save", watched)
+    made = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    plans.append(made._jdf.queryExecution().sparkPlan().toString())
+    assert made.count() and sum("SortMergeJoin" in x for x in plans) > 3
+    sends = [x for x in plans if "Broadcast" in x]
+    assert len(sends) == 1 and sends[0].count("BroadcastHashJoin") == 1 and "Range (0, 64" in sends[0]
+
+
 def test_peaks_of_many_clusters_are_kept_apart_in_one_task(spark):
     """Clusters of all sizes against plain loops, with ties; a cluster may lie in several batches, and a task holds many clusters."""
     r = np.random.default_rng(8)
