@@ -108,3 +108,34 @@ def test_passes_over_pairs_stay_in_the_cache_and_give_the_same_numbers(shape):
     np.testing.assert_array_equal(got, want)
     np.testing.assert_array_equal(pairs.cityblock(x, y), want)
     np.testing.assert_array_equal(pairs.rounded(want), pairs._rounded(want, 6))
+
+
+@pytest.mark.parametrize("one", [False, True])
+def test_tables_of_sphere_distances_have_mostly_one_name_a_side(monkeypatch, one):
+    from types import SimpleNamespace
+
+    from tessera.operators import searchlight
+
+    monkeypatch.setattr(searchlight, "IMAGES", 16)
+    monkeypatch.setattr(searchlight, "ACROSS", 32)
+    r = np.random.default_rng(6)
+    names = np.r_[r.integers(0, 4, 390), np.arange(10, 20)]  # four of many rows, ten of one
+    ids = np.arange(400)
+    ids[7] = ids[9]  # rows of equal keys make no pair
+    left, right = (np.arange(400),) * 2 if one else (np.arange(150), np.arange(150, 400))
+    met, whole, tables = [], 0, 0
+    for p, q, parts in searchlight._named_tiles(SimpleNamespace(ids=ids, left=left, right=right, one=one), names):
+        tables, whole = tables + 1, whole + (parts[0][1] is None)
+        for k, at in parts:
+            i, j = np.divmod(np.arange(len(p) * len(q)) if at is None else at, len(q))
+            assert ((names[p[i]] == names[q[j]]) == k).all()
+            met += [(*sorted(pair), k) for pair in zip(p[i].tolist(), q[j].tolist(), strict=True)]
+    want = {(a, b) for a in left.tolist() for b in right.tolist() if ids[a] != ids[b] and (a < b or not one)}
+    assert len(met) == len(want) and {m[:2] for m in met} == want
+    assert whole > 0.6 * tables
+    x = r.normal(size=(400, 7))
+    x[300] = x[3]
+    spheres = searchlight.Spheres(x, np.array([0, 1, 2, 4, 5, 6]), np.array([0, 2, 6]), "euclidean")
+    for own, made in zip(([0, 1], [2, 4, 5, 6]), spheres.squares(np.arange(90), np.arange(90, 400)), strict=True):
+        np.testing.assert_allclose(made, ((x[:90, None, own] - x[None, 90:, own]) ** 2).sum(axis=2), rtol=1e-9)
+        assert made[3, 210] == 0.0
