@@ -139,3 +139,33 @@ def test_tables_of_sphere_distances_have_mostly_one_name_a_side(monkeypatch, one
     for own, made in zip(([0, 1], [2, 4, 5, 6]), spheres.squares(np.arange(90), np.arange(90, 400)), strict=True):
         np.testing.assert_allclose(made, ((x[:90, None, own] - x[None, 90:, own]) ** 2).sum(axis=2), rtol=1e-9)
         assert made[3, 210] == 0.0
+
+
+def test_pairs_leave_a_task_by_value_where_values_come_again(spark):
+    r = np.random.default_rng(7)
+    x = r.integers(0, 4, (600, 3)).astype(float)
+    frame = spark.createDataFrame([*((n, v.tolist()) for n, v in enumerate(x)), (600, None)], "image_id long, values array<double>")
+    got = pairs.image_pairs(frame, pairs.euclidean).toPandas()
+    assert len(got) == 601 * 600 // 2 and not got.duplicated(["i", "j"]).any() and (got["i"] < got["j"]).all()
+    there = got[got["j"] < 600]
+    np.testing.assert_array_equal(there["value"], pairs.rounded(np.linalg.norm(x[there["i"]] - x[there["j"]], axis=1)))
+    assert got["value"][got["j"] == 600].isna().all()
+    assert (np.diff(there["value"]) != 0).sum() < len(there) / 100
+
+
+def test_places_by_value():
+    value = np.array([3.0, 1.0, 3.0, 1.0, 1.0, 3.0, 1.0, 3.0, 1.0, 3.0]) / 1e6
+    assert pairs._by_value(value, None, 6).tolist() == [1, 3, 4, 6, 8, 0, 2, 5, 7, 9]
+    assert pairs._by_value(value, np.array([0, 1, 2, 3, 4, 5, 6, 7]), 6).tolist() == [1, 3, 4, 6, 0, 2, 5, 7]
+    for odd in (np.arange(10.0), np.r_[value, np.inf], np.r_[value, np.nan], np.r_[value, 1e200], value[:0]):  # nothing comes again, or no codes
+        at = np.arange(len(odd))[::-1]
+        assert pairs._by_value(odd, None, 6) is None and pairs._by_value(odd, at, 6) is at
+
+
+def test_blocks_without_rows(spark):
+    rows = [(0, n, float(n), n % 3) for n in range(600)] + [(1, 700, 1.0, 0), (2, 701, 1.0, 0), (2, 702, 3.0, 1)]
+    got = pairs.differences(spark.createDataFrame(rows, "g int, k long, x double, y int"), "x", "y", "g", "k").collect()
+    assert len(got) == 3 * 200 * 200 + 1
+    assert [(r["ka"], r["kb"], r["dx"], r["label"]) for r in got if r["g"] != 0] == [(701, 702, -2.0, -1.0)]
+    frame = spark.createDataFrame([(7, [1.0, 2.0])] * 300 + [(8, [1.0, 3.0])], "image_id long, values array<double>")
+    assert [tuple(r) for r in pairs.image_pairs(frame, pairs.euclidean).collect()] == [(7, 8, 1.0)] * 300
