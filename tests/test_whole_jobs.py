@@ -88,3 +88,11 @@ def test_pairs_of_all_customers(spark):
     got = {(r["ka"], r["kb"]) for r in registry.QUERIES["transform_pairs_all"](spark, TINY).collect()}
     assert got == want
     assert any(k % 4 for pair in want for k in pair)
+
+
+def test_transform_pairs_reads_every_customer(spark):
+    from tessera.plans import rank_queries
+
+    n = registry.QUERIES["transform_pairs_all"](spark, TINY).count()
+    assert rank_queries.transform_pairs(spark, TINY).count() == registry.QUERIES["transform_pairs"](spark, TINY).count() == n
+    assert registry.ORACLE_SQL["transform_pairs"] == registry.ORACLE_SQL["transform_pairs_all"] and "%" not in registry.ORACLE_SQL["transform_pairs"]
